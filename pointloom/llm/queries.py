@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointloom.llm import exact, mixing, pieces, quality
+from pointloom.llm import chat, exact, idfile, mixing, near, pieces, pii, quality, secrets, sharding
 
 
 def tokenizer(name: str) -> str:
@@ -20,6 +20,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_chat_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.segments(chat.pairs_of_neighbours(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(documents(spark, sf_dir))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(documents(spark, sf_dir))
 
@@ -28,6 +36,19 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.groups(documents(spark, sf_dir))
 
 
+def op5_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return idfile.round_trip(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"))
+
+
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.classes(documents(spark, sf_dir))
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = sharding.sharded(documents(spark, sf_dir))
+    return df.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = quality.ledger(documents(spark, sf_dir))
     return book.select("doc_id", *quality.MEASURES, (~quality.verdict("failed_rules", "base-1")).alias("base_failed"), quality.verdict("failed_rules").alias("kept"), "failed_rules")
@@ -37,23 +58,61 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(documents(spark, sf_dir), tokenizer("piece_bpe_32k.model"))
 
 
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat_preferences": op1_chat_preferences,
+    "op2_secrets": op2_secrets,
     "op3_mixing": op3_mixing,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_id_files": op5_id_files,
+    "op6_ngram_join": op6_ngram_join,
+    "op7_sharding": op7_sharding,
     "op8_quality_rules": op8_quality_rules,
     "op9_sentencepiece": op9_sentencepiece,
+    "op10_personal_data": op10_personal_data,
 }
 
 _SPACE = r"[\x20\x09-\x0D]"
 _WORD = r"[^\x20\x09-\x0D]+"
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_chat_preferences": """
+        WITH last AS (SELECT conv_id, max(turn) AS last_turn, max(turn) FILTER (role = 'assistant') AS reply_turn, max_by(text, turn) FILTER (role = 'assistant') AS reply FROM conversations GROUP BY conv_id),
+        rows AS (
+            SELECT conv_id AS pair_id, 'chosen' AS side, turn, role, text FROM conversations
+            UNION ALL SELECT c.conv_id, 'rejected', turn, role, text FROM conversations c JOIN last USING (conv_id) WHERE NOT (turn = last_turn AND role = 'assistant')
+            UNION ALL SELECT a.conv_id, 'rejected', a.last_turn, 'assistant', b.reply FROM last a JOIN last b ON b.conv_id = xor(a.conv_id, 1) WHERE a.reply_turn = a.last_turn AND b.reply_turn IS NOT NULL),
+        p AS (SELECT *, row_number() OVER (PARTITION BY pair_id, side ORDER BY turn, role, text) - 1 AS place FROM rows),
+        n AS (SELECT pair_id, coalesce(min(place) FILTER (c.role IS DISTINCT FROM r.role OR c.text IS DISTINCT FROM r.text), max(place) + 1) AS n_prompt
+              FROM (SELECT * FROM p WHERE side = 'chosen') c FULL JOIN (SELECT * FROM p WHERE side = 'rejected') r USING (pair_id, place) GROUP BY pair_id),
+        s AS (SELECT pair_id, CASE WHEN place < n_prompt THEN 'prompt' ELSE side END AS part, place, role, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS rendered, place >= n_prompt AND role = 'assistant' AS trained, n_prompt
+              FROM p JOIN n USING (pair_id) WHERE place >= n_prompt OR side = 'chosen'),
+        e AS (SELECT *, sum(length(rendered)) OVER (PARTITION BY pair_id, part ORDER BY place) AS stop FROM s)
+        SELECT pair_id, part, place::BIGINT AS place, role, rendered, (stop - length(rendered))::BIGINT AS start, stop::BIGINT AS "end", trained, n_prompt::BIGINT AS n_prompt FROM e
+    """,
     "op4_exact_dedup": rf"""
         WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_replace(coalesce(text, ''), '{_SPACE}', '', 'g') AS body FROM documents),
         g AS (SELECT doc_id, sha256(body) AS text_sha256, count(*) OVER (PARTITION BY body) AS group_size,
                      first_value(doc_id) OVER (PARTITION BY body ORDER BY length(text) DESC, doc_id) AS keep_id FROM t)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
     """,
+    "op6_ngram_join": rf"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS words FROM documents),
+        g AS (SELECT words, min(doc_id) AS id, count(*) AS copies FROM w WHERE len(words) > 0 GROUP BY words),
+        s AS (SELECT DISTINCT id, CASE WHEN len(words) < 5 THEN array_to_string(words, ' ') ELSE array_to_string(words[i : i + 4], ' ') || ' +' END AS x FROM (SELECT id, words, unnest(range(1, greatest(len(words) - 3, 2))) AS i FROM g)),
+        n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+        c AS (SELECT a.id AS a, b.id AS b, count(*) AS common FROM s a JOIN s b ON a.x = b.x AND a.id < b.id GROUP BY 1, 2),
+        l AS (SELECT a, b FROM c JOIN n na ON na.id = a JOIN n nb ON nb.id = b WHERE common >= 0.8 * (na.n + nb.n - common) - 1e-9),
+        e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+        r AS (SELECT id AS a, id AS b FROM g UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b),
+        k AS (SELECT a AS id, min(b) AS class_id FROM r GROUP BY a),
+        d AS (SELECT e.a AS id, count(*) AS links, sum(g.copies) AS docs FROM e JOIN g ON g.id = e.b GROUP BY e.a)
+        SELECT w.doc_id, coalesce(k.class_id, w.doc_id) AS class_id, coalesce(g.copies - 1 + coalesce(d.docs, 0), 0)::BIGINT AS n_links, coalesce(d.links, 0)::BIGINT AS n_text_links
+        FROM w LEFT JOIN g ON g.words = w.words LEFT JOIN k ON k.id = g.id LEFT JOIN d ON d.id = g.id
+    """,
     "op8_quality_rules": rf"""
         WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
         w AS (SELECT doc_id, text, regexp_extract_all(text, '{_WORD}') AS words, [x FOR x IN string_split(text, chr(10)) IF regexp_matches(x, '{_WORD}')] AS lines FROM t),
