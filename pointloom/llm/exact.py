@@ -67,7 +67,8 @@ def groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id", digest:
     rows = rows.select("id", "length", "text_sha256", *keys)
     out = rows.join(won, keys)
     best = F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("length") == F.col("keep_length"))
-    nth = F.row_number().over(Window.partitionBy("id", *keys).orderBy(F.desc("length")))
+    # dealt anew by id and text: on the join's own key the window would keep AQE from splitting a hot group
+    nth = F.row_number().over(Window.partitionBy("id", "text_sha256").orderBy(F.desc("length")))
     return out.withColumn("kept", best & (nth == 1)).select(F.col("id").alias(id_col), "keep_id", "group_size", "kept", "text_sha256")
 
 
