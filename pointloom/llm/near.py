@@ -17,8 +17,9 @@ n_text_links (the same, counting different texts once).
 Defined results: words are runs of non-space characters, compared as they are; a
 text of one to four words has one shingle, all its words; a null text or one
 without words has no shingles, stands alone and has no links; rows with a null
-id have a null class unless a copy has an id; repeated rows count as copies; an
-empty table gives an empty result; other columns are not read.
+id take no part: their class is null, they have no links and count for none;
+repeated rows count as copies; an empty table gives an empty result; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -235,8 +236,8 @@ def classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> Data
     """(id, class_id, n_links, n_text_links), one row for each input row."""
     signed = stored(signatures(docs, text, id_col), "signatures")
     # copies have equal labels, whichever comes first
-    nodes = signed.where("n_shingles > 0").groupBy("digest").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("labels").alias("labels"))
-    nodes = stored(nodes.where("id IS NOT NULL"), "nodes")
+    nodes = signed.where("n_shingles > 0 AND id IS NOT NULL").groupBy("digest").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("labels").alias("labels"))
+    nodes = stored(nodes, "nodes")
     k = prefix_length()
     keys = F.array(*[F.xxhash64(F.lit(t), F.slice("labels", t * DEPTH + 1, k)) for t in range(TREES)])
     keyed = nodes.select("id", F.explode(keys).alias("key"))
@@ -258,8 +259,9 @@ def classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> Data
     labels = connected_components(checked.where("other IS NOT NULL").select(F.col("id").alias("a"), F.col("other").alias("b")))
     linked = nodes.select("digest", F.col("id").alias("node"), "copies").join(labels, "node", "left").join(counts, F.col("node") == counts["id"], "left")
     linked = linked.select("digest", F.coalesce("label", "node").alias("class_id"), (F.coalesce("docs", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("links", F.lit(0)).cast("long").alias("n_text_links"))
-    out = signed.select("id", "digest", "n_shingles").join(linked, "digest", "left")
-    return out.select(F.col("id").alias(id_col), F.when(F.col("n_shingles") > 0, F.col("class_id")).otherwise(F.col("id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_text_links", F.lit(0)).cast("long").alias("n_text_links"))
+    # rows that take no part find no partner here: their digest is null
+    out = signed.select("id", F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.col("digest")).alias("digest")).join(linked, "digest", "left")
+    return out.select(F.col("id").alias(id_col), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_text_links", F.lit(0)).cast("long").alias("n_text_links"))
 
 
 def signed_sketches(nodes: DataFrame) -> DataFrame:
