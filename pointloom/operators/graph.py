@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pointloom.operators.spatial import neighbours
 from pointloom.scratch import stored
 
 
@@ -29,3 +30,49 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
             break
         before = after
     return now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
+
+
+def with_labels(nodes: DataFrame, edges: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(pid, comp) for all nodes: the least pid of the component, a lone node its own."""
+    found = connected_components(edges.select(F.col("pid").alias("a"), F.col("other").alias("b")))
+    return nodes.select("pid", *by).join(found, F.col("pid") == F.col("node"), "left").select("pid", *by, F.coalesce("label", "pid").alias("comp"))
+
+
+def dense_ids(labels: DataFrame, by: tuple[str, ...] = (), label: str = "comp", into: str = "instance_id") -> DataFrame:
+    """Labels numbered 1, 2, ... by least pid, within `by`. Only the distinct labels are sorted."""
+    groups = labels.groupBy(*by, label).agg(F.min("pid").alias("first"))
+    window = Window.partitionBy(*by).orderBy("first") if by else Window.orderBy("first")
+    numbered = groups.withColumn(into, F.row_number().over(window)).drop("first")
+    return labels.join(numbered, [*by, label])
+
+
+def dbscan(cloud: DataFrame, eps: float | Column, least: int | Column, dims: tuple[str, ...] = ("x", "y"), by: tuple[str, ...] = ()) -> DataFrame:
+    """(pid, *by, cluster): DBSCAN per value of `by`; the least core pid names a cluster, -1 is noise.
+
+    A point counts itself. Core points within eps are one cluster; a border point
+    goes to the cluster among its core neighbours whose name is least, which is
+    the one that a scan in pid order would have reached first.
+    eps may be a column of `by` with one join per distinct radius (dbscan_by_class).
+    """
+    near = stored(neighbours(cloud, cloud, eps, dims, by), "near")
+    least = least if isinstance(least, Column) else F.lit(least)
+    core = stored(near.groupBy("pid").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("pid"), "core")
+    edges = near.where("pid < other").select("pid", "other").join(core, "pid", "left_semi").join(core.withColumnRenamed("pid", "other"), "other", "left_semi")
+    labels = with_labels(core, edges)
+    from_core = near.select("pid", "other").join(labels.withColumnsRenamed({"pid": "other", "comp": "cluster"}), "other")
+    reached = from_core.groupBy("pid").agg(F.min("cluster").alias("reached"))
+    own = cloud.select("pid", *by).join(labels, "pid", "left").join(reached, "pid", "left")
+    return own.select("pid", *by, F.coalesce("comp", "reached", F.lit(-1)).cast("long").alias("cluster"))
+
+
+def reachable(edges: DataFrame, seed: int) -> DataFrame:
+    """(pid, steps): nodes that a path of edges (pid, other) joins to the seed, breadth first."""
+    spark = edges.sparkSession
+    both = stored(edges.select("pid", "other").unionByName(edges.select(F.col("other").alias("pid"), F.col("pid").alias("other"))).distinct(), "edges")
+    found, front, step = spark.createDataFrame([(seed, 0)], "pid bigint, steps int"), spark.createDataFrame([(seed,)], "pid bigint"), 0
+    while True:
+        step += 1
+        front = stored(both.join(front, "pid").select(F.col("other").alias("pid")).distinct().join(found, "pid", "left_anti"), "front")
+        if front.isEmpty():
+            return found
+        found = stored(found.unionByName(front.withColumn("steps", F.lit(step))), "found")
