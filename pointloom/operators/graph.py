@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pointloom.operators.prefix import numbered
 from pointloom.operators.spatial import neighbours
 from pointloom.scratch import stored
 
@@ -39,11 +40,12 @@ def with_labels(nodes: DataFrame, edges: DataFrame, by: tuple[str, ...] = ()) ->
 
 
 def dense_ids(labels: DataFrame, by: tuple[str, ...] = (), label: str = "comp", into: str = "instance_id") -> DataFrame:
-    """Labels numbered 1, 2, ... by least pid, within `by`. Only the distinct labels are sorted."""
-    groups = labels.groupBy(*by, label).agg(F.min("pid").alias("first"))
-    window = Window.partitionBy(*by).orderBy("first") if by else Window.orderBy("first")
-    numbered = groups.withColumn(into, F.row_number().over(window)).drop("first")
-    return labels.join(numbered, [*by, label])
+    """Labels numbered 1, 2, ... by least pid, within `by`."""
+    groups = numbered(labels.groupBy(*by, label).agg(F.min("pid").alias("first")), [*by, "first"], into).drop("first")
+    if by:
+        base = groups.groupBy(*by).agg((F.min(into) - 1).alias("__base"))
+        groups = groups.join(base, list(by)).withColumn(into, F.col(into) - F.col("__base")).drop("__base")
+    return labels.join(groups, [*by, label])
 
 
 def dbscan(cloud: DataFrame, eps: float | Column, least: int | Column, dims: tuple[str, ...] = ("x", "y"), by: tuple[str, ...] = ()) -> DataFrame:
