@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.llm.prefix import running_sum
+from pointloom.operators.prefix import running_sum
 
 SIDES = ("chosen", "rejected")
 HEAD, MIDDLE, TAIL = "<|", "|>\n", "<|end|>\n"

@@ -23,8 +23,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pointloom.llm.prefix import running_sum
 from pointloom.llm.text import n_words, whole
+from pointloom.operators.prefix import running_sum
 from pointloom.scratch import fresh, stored
 
 WEIGHTS = (3, 1, 2)

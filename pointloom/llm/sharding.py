@@ -20,8 +20,8 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.llm.prefix import running_sum
 from pointloom.llm.text import sha256_hex, whole
+from pointloom.operators.prefix import running_sum
 from pointloom.scratch import stored
 
 SHARDS = 24
