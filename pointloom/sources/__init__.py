@@ -1,0 +1,77 @@
+"""Point files: data sources, text clouds, and the choice of a reader by a file's first bytes or its name."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pointloom.operators.prefix import numbered
+from pointloom.sources.files import filesystem, listing
+from pointloom.sources.formats import Las, LasHeader, Lasd, Pcbn, Pcd, Ply, RawXyz
+
+#: First bytes of each format, and file name endings that are read as text.
+MAGICS = {b"LASF": "las", b"PCBN": "pcbn", b"ply": "ply", b"#PCD": "pcd", b"# .PCD": "pcd", b"LASD": "lasd"}
+TEXT_SUFFIXES = ("txt", "csv", "xyz")
+BINARY_SUFFIXES = ("las", "laz", "ply", "pcd", "obj", "bin")
+
+
+def register(spark: SparkSession) -> None:
+    for source in (RawXyz, Lasd, Pcbn, Las, LasHeader, Ply, Pcd):
+        spark.dataSource.register(source)
+
+
+def read_text(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of numbers split by commas or white space: x, y, z and, if there is a fourth number, intensity, else 128. Blank lines, # comments and lines without three numbers are skipped; pids follow no order but are stable."""
+    parts = F.split(F.trim("value"), r"[\s,]+")
+    number = lambda k: F.get(parts, F.lit(k)).try_cast("double")
+    rows = spark.read.text(path).where((F.trim("value") != "") & ~F.trim("value").startswith("#"))
+    rows = rows.select(*[number(k).alias(c) for k, c in enumerate("xyz")], F.coalesce(number(3), F.lit(128.0)).alias("intensity")).where("x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL")
+    return rows.select(F.monotonically_increasing_id().alias("pid"), "*")
+
+
+def read_obj(spark: SparkSession, path: str) -> DataFrame:
+    """Vertices of OBJ files."""
+    parts = F.split(F.trim("value"), r"\s+")
+    rows = spark.read.text(path).where(F.col("value").rlike(r"^\s*v\s"))
+    return rows.select(F.monotonically_increasing_id().alias("pid"), *[F.get(parts, F.lit(k + 1)).try_cast("double").alias(c) for k, c in enumerate("xyz")])
+
+
+def format_of(path: str) -> str:
+    """The format of a file, or of a folder's first file: by its first bytes, else by its name."""
+    fs, _ = filesystem(path)
+    name = listing(path)[0]
+    with fs.open_input_file(name) as f:
+        head = f.read(8)
+    for magic, kind in MAGICS.items():
+        if head.startswith(magic):
+            return kind
+    suffix = name.rsplit(".", 1)[-1].lower()
+    if suffix == "obj":
+        return "obj"
+    if suffix in BINARY_SUFFIXES:
+        raise ValueError(f"{name}: no known format; read headerless files with format rawxyz and a layout")
+    return "text"
+
+
+def read_points(spark: SparkSession, path: str, **options: str) -> DataFrame:
+    register(spark)
+    kind = format_of(path)
+    if kind in ("text", "obj"):
+        return read_text(spark, path) if kind == "text" else read_obj(spark, path)
+    return spark.read.format(kind).options(**options).load(path)
+
+
+def local_files(spark: SparkSession, path: str, suffixes: tuple[str, ...] = (*BINARY_SUFFIXES, *TEXT_SUFFIXES)) -> DataFrame:
+    """(path, length, modificationTime) of point files, newest first; contents aren't read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", "modificationTime")
+    return found.where(F.lower("path").rlike(rf"\.({'|'.join(suffixes)})$")).orderBy(F.desc("modificationTime"), "path")
+
+
+def write_instances(points: DataFrame, path: str) -> None:
+    """Points by category and instance, one folder each."""
+    points.repartition("category", "instance_id").write.partitionBy("category", "instance_id").parquet(path)
+
+
+def with_pids(cloud: DataFrame, order: list[str]) -> DataFrame:
+    """The cloud with pids 0, 1, ... in the given order."""
+    return numbered(cloud.drop("pid"), order, "pid").withColumn("pid", F.col("pid") - 1)
