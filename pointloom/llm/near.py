@@ -250,7 +250,8 @@ def classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> Data
     comps = comps.select(F.col("node").alias("id"), F.col("label").alias("comp")).join(nodes.select("id", "digest", "copies", "n_shingles"), "id")
     sizes = comps.groupBy("comp").agg(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).alias("blocks"))
     comps = stored(comps.join(sizes, "comp").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))), "components")
-    found = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).join(comps, "id").select("comp", "id", "copies", "blocks", "block", "digest", words_of_trimmed(trimmed(whole("text"))).alias("words"))
+    # the same join whatever the number of components: the texts go to their ids, once
+    found = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).join(comps.hint("merge"), "id").select("comp", "id", "copies", "blocks", "block", "digest", words_of_trimmed(trimmed(whole("text"))).alias("words"))
     found = found.where(F.md5(F.array_join("words", " ")) == F.col("digest"))
     found = found.select("comp", "id", "copies", "blocks", "block", shingles(F.col("words")).alias("shingles"))
     found = _pairs_of_blocks(found, "blocks", "block").repartition("comp", "bi", "bj").sortWithinPartitions("comp", "bi", "bj", "id")
