@@ -85,7 +85,7 @@ def tree_layers(trees: DataFrame, least: int = 10, max_height: float = 80.0, lay
     means = stored(members.join(t.select("pid", "x", "y"), "pid").groupBy("layer", F.col("cluster").alias("pid")).agg(F.avg("x").alias("x"), F.avg("y").alias("y")), "means")
     above = means.withColumn("layer", F.col("layer") - 1)
     links = neighbours(means, above, reach, ("x", "y"), ("layer",)).groupBy("pid").agg(F.min(F.struct("d2", "other"))["other"].alias("other"))
-    comps = with_labels(means, links).withColumnsRenamed({"pid": "cluster", "comp": "tree"})
+    comps = with_labels(means, links).select(F.col("pid").alias("cluster"), F.col("comp").alias("tree"))
     whole = members.join(comps, "cluster")
     first = whole.groupBy("tree").agg(F.count("*").alias("n"), F.max("layer").alias("top")).where(F.col("n") >= least)
     order = whole.join(first, "tree").where(F.col("layer") == F.col("top")).groupBy("tree", "top").agg(F.min("cluster").alias("first"))
@@ -114,7 +114,7 @@ def building_instances(buildings: DataFrame, least: int = 20, k: int = 20, step:
     dot = F.col("anx") * F.col("bnx") + F.col("any") * F.col("bny") + F.col("anz") * F.col("bnz")
     norm = lambda p: F.greatest(F.lit(1e-8), F.sqrt(F.col(f"{p}nx") * F.col(f"{p}nx") + F.col(f"{p}ny") * F.col(f"{p}ny") + F.col(f"{p}nz") * F.col(f"{p}nz")))
     angle = F.degrees(F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), dot / (norm("a") * norm("b"))))))
-    comps = with_labels(means, near.where(angle <= 2 * step).select("pid", "other")).withColumnsRenamed({"pid": "cluster", "comp": "building"})
+    comps = with_labels(means, near.where(angle <= 2 * step).select("pid", "other")).select(F.col("pid").alias("cluster"), F.col("comp").alias("building"))
     whole = members.join(comps, "cluster")
     ids = whole.groupBy("building").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     ids = numbered(ids, ["building"], "building_id")

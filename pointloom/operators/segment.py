@@ -73,7 +73,7 @@ def trunks(points: DataFrame, s: float, min_tree_spacing: float) -> DataFrame:
     parts = stored(clustered(points.join(found, "pid", "left_semi"), max(min_tree_spacing, 3 * s)).join(points.select("pid", "x", "y"), "pid"), "trunks")
     centres = stored(parts.groupBy("comp").agg(F.avg("x").alias("x"), F.avg("y").alias("y")).withColumnRenamed("comp", "pid"), "centres")
     close = neighbours(centres, centres, min_tree_spacing, ("x", "y")).where((F.col("pid") < F.col("other")) & (F.col("d2") < min_tree_spacing * min_tree_spacing))
-    merged = parts.join(with_labels(centres, close).withColumnsRenamed({"pid": "comp", "comp": "trunk"}), "comp")
+    merged = parts.join(with_labels(centres, close).select(F.col("pid").alias("comp"), F.col("comp").alias("trunk")), "comp")
     sizes = merged.groupBy("trunk").agg(F.count("*").alias("k")).where(F.col("k") >= max(5, int(10 * s)))
     ranks = numbered(sizes, ["trunk"], "rank")
     return merged.join(ranks, "trunk").select("pid", "rank")

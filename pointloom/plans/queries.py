@@ -163,10 +163,10 @@ def density_grid(cloud):
     return stats.density_grid(cloud, 8.0)
 
 
-@events("""v AS (SELECT x AS poly, x, y, z, pid, lead(x) OVER w AS bx, lead(y) OVER w AS by, lead(z) OVER w AS bz, first_value(x) OVER w AS fx, first_value(y) OVER w AS fy, y + z AS u, lead(y + z) OVER w AS bu, first_value(y + z) OVER w AS fu
+@events("""v AS (SELECT x AS poly, x, y, z, pid, lead(x) OVER w AS bx, lead(y) OVER w AS vy, lead(z) OVER w AS bz, first_value(x) OVER w AS fx, first_value(y) OVER w AS fy, y + z AS u, lead(y + z) OVER w AS bu, first_value(y + z) OVER w AS fu
          FROM cloud WINDOW w AS (PARTITION BY x ORDER BY pid))
-    SELECT poly, count(*) AS n, round(coalesce(sum(sqrt((bu - u) * (bu - u) + (by - y) * (by - y) + (bz - z) * (bz - z))), 0), 4) AS length,
-           CASE WHEN count(*) >= 3 THEN round(abs(sum(u * coalesce(by, fy) - coalesce(bu, fu) * y)) / 2, 4) ELSE 0 END AS area FROM v GROUP BY poly""")
+    SELECT poly, count(*) AS n, round(coalesce(sum(sqrt((bu - u) * (bu - u) + (vy - y) * (vy - y) + (bz - z) * (bz - z))), 0), 4) AS length,
+           CASE WHEN count(*) >= 3 THEN round(abs(sum(u * coalesce(vy, fy) - coalesce(bu, fu) * y)) / 2, 4) ELSE 0 END AS area FROM v GROUP BY poly""")
 def measure_polyline(cloud):
     return rounded(stats.polygon_areas(cloud.select(F.col("x").alias("poly"), (F.col("y") + F.col("z")).alias("x"), "y", "z", F.col("pid").alias("ord")), "poly"), 4)
 
@@ -209,9 +209,9 @@ def height_slice(cloud):
     return cloud.where(F.col("z").between(20, 80)).select("pid")
 
 
-@events("s AS (SELECT 1) SELECT 2 * (x - 10) + 3 * (y - 100) - 40 * (z - 30) >= 0 AS above, count(*) AS n FROM cloud GROUP BY 1")
+@events("s AS (SELECT 1) SELECT -2 * (x - 10) - 3 * (y - 100) + 40 * (z - 30) >= 0 AS above, count(*) AS n FROM cloud GROUP BY 1")
 def plane_split(cloud):
-    # three points of the plane 2x + 3y - 40z = const
+    # three points of the plane 2x + 3y - 40z = const; the cross product of their sides points up
     return cloud.groupBy(filters.above_plane((10, 100, 30), (10, 140, 33), (-10, 100, 29)).alias("above")).agg(F.count("*").alias("n"))
 
 
@@ -473,9 +473,9 @@ def dense_instances(cloud):
     return dense_ids(dbscan(cloud, 0.3, 4, ("x", "y"), ("classification",)).where("cluster >= 0"), ("classification",), "cluster").select("pid", "classification", "instance_id")
 
 
-@embed(f"{_EDGES.format(r2=0.01)}, r AS (SELECT 0::BIGINT AS pid UNION SELECT e.b FROM r JOIN e ON e.a = r.pid) SELECT pid FROM r")
+@embed(f"{_EDGES.format(r2=0.04)}, r AS (SELECT 0::BIGINT AS pid UNION SELECT e.b FROM r JOIN e ON e.a = r.pid) SELECT pid FROM r")
 def region_growing(cloud):
-    return reachable(spatial.neighbours(cloud, cloud, 0.1).where("pid < other"), 0).select("pid")
+    return reachable(spatial.neighbours(cloud, cloud, 0.2).where("pid < other"), 0).select("pid")
 
 
 _RULE = "CASE WHEN w < 0.8 AND h < 1.2 THEN 'low_vegetation' WHEN w <= 5 AND h > 1 THEN 'tree' WHEN w <= 5 AND h > 0.3 THEN 'low_vegetation' WHEN w > 5 THEN 'building' ELSE 'other' END"
@@ -560,7 +560,7 @@ def inference_expanded(cloud):
 
 @events()
 def tree_layers(cloud):
-    return inference.tree_layers(cloud, layer=5.0, eps=4.0, reach=8.0, max_height=500.0)
+    return inference.tree_layers(cloud, layer=20.0, eps=20.0, reach=15.0, max_height=500.0)
 
 
 @embed()
