@@ -115,6 +115,13 @@ def ablations(book: DataFrame, policies: Mapping[str, Sequence[str]] = POLICIES,
 
 
 def keep_good(docs: DataFrame, policy: str | Sequence[str] = PRODUCTION, text: str = "text") -> DataFrame:
-    """The documents that pass the policy, with their own columns."""
+    """The documents that pass the policy, with their own columns.
+
+    The measurements go through explode() as an array of one: a filter on what it
+    gives isn't pushed under the steps of measure(), which would do them again
+    for every element of their arrays.
+    """
     into = fresh(docs.columns, "__measured")
-    return measure(docs, text, into).where(verdict(failure_bits(into), policy)).select(*docs.columns)
+    once = fresh([*docs.columns, into], "__once")
+    judged = measure(docs, text, into).withColumn(once, F.explode(F.array(into)))
+    return judged.where(verdict(failure_bits(once), policy)).select(*docs.columns)
