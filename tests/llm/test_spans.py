@@ -63,7 +63,7 @@ def test_secrets_base(spark, messy, documents, nothing):
 
 def test_secrets_by_novelty(spark):
     code = "def connect(host, user): auth = "
-    texts = [code + "Zk9qW3xTq7LmB2vRt8YcN4pHs6Jd0GfA", code + "connect_to_the_host_and_the_user_1", "plain words only", code + "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaa1"]
+    texts = [code + "Zk9qW3xTq7LmB2vRt8YcN4pHs6Jd0GfA", code + "connect_to_the_host_and_the_user_1", "plain words only", code + "z" * 30 + "1"]
     got = {r.doc_id: r.spans for r in secrets.digests(as_docs(spark, texts)).collect()}
     assert got[0] == f"novel:{len(code)}:{len(texts[0])}" and got[2] == got[3] == ""
 
