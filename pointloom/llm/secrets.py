@@ -1,8 +1,9 @@
 """Secret scan: fixed patterns, and strings in sensitive context that zstandard finds no precedent for.
 
 One scan of the texts keeps, per document, the spans of the patterns and the
-candidates: runs of token characters with a digit that follow a sensitive word
-closely. The identifiers around all candidates are counted over all documents;
+candidates: maximal runs of token characters, '=' and ':' ending a run, that
+follow a sensitive word closely or, after a joining mark, in the same run, and
+are not wholly inside a pattern's span. The identifiers around all candidates are counted over all documents;
 the DICTIONARY_WORDS most frequent ones prime a zstandard dictionary. A
 candidate's marginal bytes are those that it adds to its compressed surroundings
 under that dictionary; if they are at least NOVELTY of its length, it is reported.
@@ -15,7 +16,9 @@ an empty table gives an empty result; other columns are not read.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,7 +37,10 @@ LEAST = {"assign": 12, "access": 18}
 
 #: Words that make what follows sensitive.
 SENSITIVE = re.compile(r"secret|token|passw|pwd|api|key|auth|bearer|credential|private|signature", re.I | re.A)
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,512}")
+LEAST_RUN = 16
+#: A run of token characters that nothing but '=' or ':' cuts; '=' at its very end is padding and belongs to it.
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,512}(?:={1,2}(?![A-Za-z0-9+/_=-]))?")
+JOINED = re.compile(rf"(?:{SENSITIVE.pattern})[+/_-]+", re.I | re.A)
 REACH = 64  # code points from the sensitive word to a candidate
 AROUND = 200  # code points of surroundings on each side
 IDENTIFIER = r"[A-Za-z_][A-Za-z0-9_]{2,31}"
@@ -58,27 +64,25 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[dict]:
-    """Token runs in sensitive context that no base span touches, with their surroundings."""
-    found: dict[int, dict] = {}
-    for word in SENSITIVE.finditer(text):
-        for m in CANDIDATE.finditer(text, word.end(), word.end() + REACH + 512):
-            start, end = m.span()
-            if start > word.end() + REACH:
-                break
-            if start in found or not any(c.isdigit() for c in m[0]) or start and CANDIDATE_CHAR.match(text[start - 1]) or any(a < end and start < b for a, _, b in base):
+    """Token runs in sensitive context that are not wholly inside a base span, with their surroundings."""
+    words = [m.end() for m in SENSITIVE.finditer(text)]
+    starts, furthest = [a for a, _, _ in base], list(accumulate((b for _, _, b in base), max))
+    out = []
+    for m in CANDIDATE.finditer(text) if words else ():
+        start, end = m.span()
+        before = bisect_right(words, start)
+        if not before or start > words[before - 1] + REACH:
+            # the word may be in the run itself, with a mark between it and the rest
+            joined = JOINED.search(text, start, end)
+            if not joined or end - joined.end() < LEAST_RUN:
                 continue
-            found[start] = {"start": start, "end": end, "string": m[0], "around": text[max(0, start - AROUND) : start] + text[end : end + AROUND]}
-    out, last = [], -1
-    for start in sorted(found):
-        if start >= last:
-            out.append(found[start])
-            last = found[start]["end"]
+            start = joined.end()
+        inside = bisect_right(starts, start)
+        if not inside or furthest[inside - 1] < end:
+            out.append({"start": start, "end": end, "string": text[start:end], "around": text[max(0, start - AROUND) : start] + text[end : end + AROUND]})
     return out
 
 
-CANDIDATE_CHAR = re.compile(r"[A-Za-z0-9+/_=-]")
-
-
 def scanned(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row per document: counts and spans of the patterns, and candidates."""
     rows = docs.select(F.col(id_col).alias("id"), whole(text).alias("text"))

@@ -68,6 +68,16 @@ def test_secrets_by_novelty(spark):
     assert got[0] == f"novel:{len(code)}:{len(texts[0])}" and got[2] == got[3] == ""
 
 
+def test_secrets_joined_to_their_names(spark):
+    """Values right behind '=' or '_' and values without a digit are measured; NAME=VALUE gives the value's span."""
+    value, letters = "Zk9qW3xTq7LmB2vRt8YcN4pHs6Jd0GfA", "ZkPqWHxTqRLmBvVRtUYcNpKHsGJdXGfA"
+    names = ["auth=", "pwd=", "credential=", "AWS_SECRET_ACCESS_KEY=", "auth:", "auth = ", "client_auth_"]
+    texts = [n + v for n in names for v in (value, letters)] + [f"auth={value}== end", f"auth={value}==x", f"number={value}"]
+    want = [f"novel:{len(n)}:{len(n + v)}" for n in names for v in (value, letters)] + [f"novel:5:{7 + len(value)}", f"novel:5:{5 + len(value)}", ""]
+    got = {r.doc_id: r.spans for r in secrets.digests(as_docs(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
 def test_pii_base(spark, messy, documents, nothing):
     pieces = ["a", "b_c", "@", ".", "-", "+", "%", "1", "255", "256", "00010", " ", "(", "4111 1111 1111 1111", "+49 30 1234567", "x.y@z.de", "_d@e.f", "é", "日", "1.2.3.4", "@@", "…"]
     long = ["1 " * 20_000, "9" * 30_000, "a" * 50_000 + "@b.c", "a.b" * 5_000 + "@" + "c.d" * 5_000, "1.2.3.4.5.6.7.8", "999999999999999999999.1.1.1", "+1 (2) 3"]
