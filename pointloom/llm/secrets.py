@@ -39,7 +39,7 @@ LEAST = {"assign": 12, "access": 18}
 SENSITIVE = re.compile(r"secret|token|passw|pwd|api|key|auth|bearer|credential|private|signature", re.I | re.A)
 LEAST_RUN = 16
 #: A run of token characters that nothing but '=' or ':' cuts; '=' at its very end is padding and belongs to it.
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,512}(?:={1,2}(?![A-Za-z0-9+/_=-]))?")
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}(?:={1,2}(?![A-Za-z0-9+/_=-]))?")
 JOINED = re.compile(rf"(?:{SENSITIVE.pattern})[+/_-]+", re.I | re.A)
 REACH = 64  # code points from the sensitive word to a candidate
 AROUND = 200  # code points of surroundings on each side

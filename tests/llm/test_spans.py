@@ -78,6 +78,14 @@ def test_secrets_joined_to_their_names(spark):
     assert [got[i] for i in range(len(texts))] == want
 
 
+def test_secrets_of_any_length(spark):
+    """A long key is measured and reported whole, however far its end is from the word."""
+    r = random.Random(3)
+    keys = ["".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(n)) for n in (513, 1600, 100_000)]
+    got = {x.doc_id: x.spans for x in secrets.digests(as_docs(spark, [f"private_key: {k} end" for k in keys])).collect()}
+    assert [got[i] for i in range(3)] == [f"novel:13:{13 + len(k)}" for k in keys]
+
+
 def test_pii_base(spark, messy, documents, nothing):
     pieces = ["a", "b_c", "@", ".", "-", "+", "%", "1", "255", "256", "00010", " ", "(", "4111 1111 1111 1111", "+49 30 1234567", "x.y@z.de", "_d@e.f", "é", "日", "1.2.3.4", "@@", "…"]
     long = ["1 " * 20_000, "9" * 30_000, "a" * 50_000 + "@b.c", "a.b" * 5_000 + "@" + "c.d" * 5_000, "1.2.3.4.5.6.7.8", "999999999999999999999.1.1.1", "+1 (2) 3"]
