@@ -106,6 +106,15 @@ def test_sensitive_terms(spark):
     assert "[EMAIL]" in clean[0] and "zor" not in clean[0].lower() and "said" in clean[0]
 
 
+def test_sensitive_terms_of_entities_in_one_text(spark):
+    """A name far from the only mention of an address is found, in its text and in another; words of many texts aren't, nor does a copy add weight."""
+    common = " ".join(f"word{i}" for i in range(60))
+    texts = [f"Quendrix {common} one@y.org", f"then quendrix {common}", *(f"{common} {i} then" for i in range(1600))]
+    got = {r.doc_id: r.spans for r in pii.digests(as_docs(spark, texts + [texts[1]] * 50)).collect()}
+    assert got[0].split(",")[0] == "term:0:8" and got[1] == got[1601 + 50] == "term:5:13"
+    assert all(got[i] == "" for i in range(2, 1602)) and got[0].count("term:") == 1
+
+
 def test_redacted_union_of_overlaps(spark):
     spans = [(0, 2, 4, "abcd"), (2, 3, 6, "cdef"), (8, 4, 9, "i")]
     df = spark.createDataFrame([("abcdefghij", spans)], "text string, spans array<struct<start:bigint,kind:int,end:bigint,value:string>>")
