@@ -70,8 +70,8 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share:
 
 
 def placed(docs: DataFrame, text: str = "text", id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """(id, source, source_key, bucket, size): what the mix needs of the documents, without texts; written once."""
-    return stored(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), n_words(whole(text)).alias("size"), F.pmod(F.xxhash64(F.col(id_col), F.coalesce(F.col(text), F.lit(""))), F.lit(BUCKETS)).alias("bucket")), "mixing")
+    """(id, source, text_hash, size, bucket): what the mix needs of the documents, without texts; written once."""
+    return stored(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.xxhash64(whole(text)).alias("text_hash"), n_words(whole(text)).alias("size"), F.pmod(F.xxhash64(F.col(id_col), F.coalesce(F.col(text), F.lit(""))), F.lit(BUCKETS)).alias("bucket")), "mixing")
 
 
 def slots(targets: DataFrame, block: int = BLOCK, seed: int = 0) -> DataFrame:
@@ -96,31 +96,37 @@ def pieces(rows: DataFrame, targets: DataFrame, block: int = BLOCK) -> DataFrame
     """(id, source_no, block_no, words, ...): the words that each document has in each block of its source. Sources are matched null-safely."""
     t = targets.select(F.col("source").alias("t_source"), "source_no", "source_size", "target")
     df = rows.join(t, F.col("source").eqNullSafe(F.col("t_source"))).drop("t_source")
-    df = running_sum(df, ["source_no"], "bucket", ["id"], "size", "begin")
+    df = running_sum(df, ["source_no"], "bucket", ["id", "text_hash"], "size", "begin")
     last = F.greatest(F.col("begin") + F.col("size") - 1, F.col("begin"))
     df = df.withColumn("block_no", F.explode(F.sequence(F.floor(F.col("begin") / block), F.floor(last / block))))
     inside = F.least(F.col("begin") + F.col("size"), (F.col("block_no") + 1) * block) - F.greatest(F.col("begin"), F.col("block_no") * block)
     return df.withColumn("words", F.greatest(inside, F.lit(0)).cast("long"))
 
 
-def taken(docs: DataFrame, text: str = "text", id_col: str = "doc_id", source_col: str = "source", seed: int = 0, **how) -> DataFrame:
-    """(id, size, source_size, target, taken) for each document: the words that the mix takes of it, repeats counted."""
+def taken_rows(docs: DataFrame, text: str = "text", id_col: str = "doc_id", source_col: str = "source", seed: int = 0, **how) -> DataFrame:
+    """(id, source, text_hash, size, source_size, target, taken) for each document."""
     rows = placed(docs, text, id_col, source_col)
     targets = stored(source_targets(rows.select("source", "size"), **how), "targets")
     drawn = slots(targets, seed=seed).groupBy("source_no", "block_no").agg(F.count("*").alias("times"))
     joined = pieces(rows.withColumn("row", F.monotonically_increasing_id()), targets).join(drawn, ["source_no", "block_no"], "left")
-    out = joined.groupBy("row", "id", "size", "source_size", "target").agg(F.sum(F.col("words") * F.coalesce("times", F.lit(0))).cast("long").alias("taken"))
-    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", "taken")
+    out = joined.groupBy("row", "id", "source", "text_hash", "size", "source_size", "target").agg(F.sum(F.col("words") * F.coalesce("times", F.lit(0))).cast("long").alias("taken"))
+    return out.drop("row")
+
+
+def taken(docs: DataFrame, text: str = "text", id_col: str = "doc_id", source_col: str = "source", seed: int = 0, **how) -> DataFrame:
+    """(id, size, source_size, target, taken) for each document: the words that the mix takes of it, repeats counted."""
+    return taken_rows(docs, text, id_col, source_col, seed, **how).select(F.col("id").alias(id_col), "size", "source_size", "target", "taken")
 
 
 def mixed(docs: DataFrame, text: str = "text", id_col: str = "doc_id", source_col: str = "source", seed: int = 0, **how) -> DataFrame:
     """The mix in whole documents: each row comes floor(taken / size + u) times, u being its own hashed fraction, so sources keep their targets in expectation. Columns as given."""
     keep = docs.columns
-    times, key = fresh(keep, "__times"), fresh(keep, "__key")
-    part = taken(docs, text, id_col, source_col, seed, **how)
-    u = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed + 77)), F.lit(1 << 30)) / float(1 << 30)
-    part = part.where(F.col("size") > 0).select(F.col(id_col).alias(key), F.floor(F.col("taken") / F.col("size") + u).cast("int").alias(times)).where(F.col(times) > 0)
-    # ids that repeat stand for repeated rows: one decision for all of them
-    part = part.groupBy(key).agg(F.max(times).alias(times))
-    df = docs.join(part, docs[id_col].eqNullSafe(F.col(key))).withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times))))
+    times, key, source, text_hash = (fresh(keep, f"__{x}") for x in ("times", "key", "source", "hash"))
+    part = taken_rows(docs, text, id_col, source_col, seed, **how).where("size > 0")
+    # rows that agree in id, text and source are repeated rows: one decision for all of them, on what is taken of them together
+    part = part.groupBy("id", "text_hash", "source").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
+    u = F.pmod(F.xxhash64("id", "text_hash", "source", F.lit(seed + 77)), F.lit(1 << 30)) / float(1 << 30)
+    part = part.select(F.col("id").alias(key), F.col("text_hash").alias(text_hash), F.col("source").alias(source), F.floor(F.col("taken") / F.col("size") + u).cast("int").alias(times)).where(F.col(times) > 0)
+    same = docs[id_col].eqNullSafe(F.col(key)) & (F.xxhash64(whole(docs[text])) == F.col(text_hash)) & docs[source_col].cast("string").eqNullSafe(F.col(source))
+    df = docs.join(part, same).withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times))))
     return df.select(*[F.col(f"`{c}`") for c in keep])

@@ -75,3 +75,13 @@ def test_empty(nothing):
 def test_mixed_keeps_columns(messy):
     out = mixing.mixed(messy)
     assert out.columns == messy.columns and all(size(r.text) for r in out.collect())
+
+
+def test_rows_without_id_are_decided_apart(spark):
+    """Of two sources whose rows have no ids, the one that the mix takes twice comes twice and the other, with an empty text, as its own target says."""
+    rows = [(None, f"{s} {i} " + "word " * 62, s) for s, n in (("a", 20), ("b", 200)) for i in range(n)] + [(None, "", "a")]
+    out = mixing.mixed(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()
+    took = {s: sum(r.source == s for r in out) for s in "ab"}
+    want = targets({s: sum(size(t) for _, t, x in rows if x == s) for s in "ab"})
+    assert took["a"] == 40 and all(r.text for r in out)
+    assert abs(took["b"] * 64 - want["b"]) < 0.15 * want["b"] and len({r.text for r in out}) > 150
