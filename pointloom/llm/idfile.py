@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from pointloom.llm.chunks import ids_by_row, slices
+from pointloom.llm.chunks import Table, ids_by_row, slices
 from pointloom.llm.text import whole
 from pointloom.scratch import new_path
 
@@ -81,10 +81,21 @@ class EliasFano:
         place = (byte << 3) + ((word & -word).bit_length() - 1)
         return (place - i) << self.low_bits | self._low(i)
 
+    def block(self, k: int) -> np.ndarray:
+        """The numbers from k * SAMPLE on, up to SAMPLE of them: from the k-th sample to the next."""
+        first, stop = k * SAMPLE, min(self.n, (k + 1) * SAMPLE)
+        place = int(self.samples[k])
+        until = int(self.samples[k + 1]) if k + 1 < len(self.samples) else 8 * len(self.high)
+        base = place >> 3
+        bits = np.flatnonzero(np.unpackbits(self.high[base : (until + 7) >> 3], bitorder="little")) + 8 * base
+        places = bits[bits >= place][: stop - first]
+        at = first * self.low_bits
+        low = np.unpackbits(self.low[at >> 3 : (stop * self.low_bits + 7) >> 3], bitorder="little")[at & 7 :][: (stop - first) * self.low_bits]
+        low = low.reshape(stop - first, self.low_bits).astype(np.int64)
+        return (places - np.arange(first, stop) << self.low_bits) + (low << np.arange(self.low_bits)).sum(1)
+
     def all(self) -> np.ndarray:
-        places = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        bits = np.unpackbits(self.low, bitorder="little")[: self.n * self.low_bits].reshape(self.n, self.low_bits).astype(np.int64)
-        return (places - np.arange(self.n) << self.low_bits) + (bits << np.arange(self.low_bits)).sum(1)
+        return np.concatenate([np.empty(0, np.int64), *(self.block(k) for k in range(len(self.samples)))])
 
     def to_bytes(self) -> bytes:
         return struct.pack("<QBQQ", self.n, self.low_bits, len(self.low), len(self.high)) + self.low.tobytes() + self.high.tobytes() + self.samples.astype("<u4").tobytes()
@@ -148,9 +159,14 @@ class IdFile:
         self.source.seek(8 + start * self.kind.itemsize)
         return np.frombuffer(self.source.read((stop - start) * self.kind.itemsize), self.kind)
 
-    def doc_ids(self) -> pa.Array:
-        known = pa.array((self.docs.all().astype(np.uint64) + np.int64(self.least).astype(np.uint64)).astype(np.int64), pa.int64())
-        return pa.concat_arrays([pa.nulls(self.n_null, pa.int64()), known])
+    def doc_ids(self, first: int = 0, last: int | None = None) -> pa.Array:
+        """Ids of the documents from first to last, without last; those without an id come first."""
+        last = self.n_docs if last is None else last
+        a, b = max(0, first - self.n_null), max(0, last - self.n_null)
+        blocks = [self.docs.block(k) for k in range(a // SAMPLE, -(-b // SAMPLE))] if b > a else []
+        gaps = np.concatenate([np.empty(0, np.int64), *blocks])[a % SAMPLE :][: b - a]
+        known = pa.array((gaps.astype(np.uint64) + np.int64(self.least).astype(np.uint64)).astype(np.int64), pa.int64())
+        return pa.concat_arrays([pa.nulls(max(0, min(last, self.n_null) - first), pa.int64()), known])
 
 
 def _filesystem(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
@@ -181,6 +197,25 @@ def encode_chunks(chunks: Sequence[str], path: str) -> list[list[int]]:
     return out
 
 
+@functools.cache
+def table(path: str) -> Table:
+    """The worker's table for a tokenizer."""
+    return Table(lambda chunks: encode_chunks(chunks, path))
+
+
+@functools.cache
+def splits_at_spaces(path: str) -> bool:
+    """Whether the tokenizer drops white space before it looks for pieces, whatever stands around it, so that words can be encoded one by one."""
+    spec = json.loads(tokenizer(path).to_str())
+    parts = lambda x, kind: [x, *[z for y in x.get(kind, []) for z in parts(y, kind)]] if x else []
+    steps = parts(spec["pre_tokenizer"], "pretokenizers")
+    keeps = [x for x in parts(spec["normalizer"], "normalizers") if x["type"] not in ("Sequence", "NFC", "NFD", "NFKC", "NFKD", "Lowercase", "Replace")]
+    swaps = [x for x in parts(spec["normalizer"], "normalizers") if x["type"] == "Replace" and (x["pattern"], x["content"]) != ({"Regex": r"\s+"}, " ")]
+    drops = [x["type"] in ("WhitespaceSplit", "Whitespace", "BertPreTokenizer") or x["type"] == "Split" and x["invert"] and x["behavior"] == "Removed" and r"\s" in str(x["pattern"]) for x in steps]
+    prefix = any(x.get("add_prefix_space") for x in steps)
+    return any(drops) and not keeps and not swaps and not prefix and not spec["truncation"]
+
+
 @dataclass
 class _Written(WriterCommitMessage):
     part: int
@@ -204,7 +239,7 @@ class _Writer(DataSourceArrowWriter):
             file = IdFileWriter(sink, _id_bytes(self.tokenizer))
             for batch in iterator:
                 for rows in slices(batch, "chunks"):
-                    ids, ends = ids_by_row(rows.column("chunks"), lambda c: encode_chunks(c, self.tokenizer))
+                    ids, ends = ids_by_row(rows.column("chunks"), table(self.tokenizer))
                     # the end id goes in behind every document
                     file.add(rows.column("doc_id"), np.insert(ids, ends[1:], END_ID), ends[1:] + np.arange(1, rows.num_rows + 1))
             n_ids, n_docs = file.close()
@@ -249,14 +284,17 @@ class _Reader(DataSourceReader):
         fs, root = _filesystem(self.path)
         with fs.open_input_file(f"{root}/{partition.name}") as source:
             file = IdFile(source)
-            ends, docs, first = np.append(0, file.ends.all()), file.doc_ids(), 0
-            while first < file.n_docs:  # about READ_IDS ids at a time
-                last = max(first + 1, int(np.searchsorted(ends, ends[first] + READ_IDS, side="right")) - 1)
-                data = file.ids(int(ends[first]), int(ends[last])).astype("<u4").tobytes()
-                at = ((ends[first : last + 1] - ends[first]) * 4).astype(np.int32)
-                ids = pa.Array.from_buffers(pa.binary(), last - first, [None, pa.py_buffer(at.tobytes()), pa.py_buffer(data)])
-                yield pa.RecordBatch.from_arrays([docs.slice(first, last - first), pa.array(ends[first:last] + partition.start), pa.array(np.diff(ends[first : last + 1])), ids], ["doc_id", "start", "n_tokens", "ids_le32"])
-                first = last
+            for k in range(len(file.ends.samples)):  # offsets of SAMPLE documents at a time, from the code itself
+                base = k * SAMPLE
+                ends = np.concatenate([[file.ends[base - 1] if k else 0], file.ends.block(k)])
+                docs, first = file.doc_ids(base, base + len(ends) - 1), 0
+                while first < len(ends) - 1:  # about READ_IDS ids at a time
+                    last = max(first + 1, int(np.searchsorted(ends, ends[first] + READ_IDS, side="right")) - 1)
+                    data = file.ids(int(ends[first]), int(ends[last])).astype("<u4").tobytes()
+                    at = ((ends[first : last + 1] - ends[first]) * 4).astype(np.int32)
+                    ids = pa.Array.from_buffers(pa.binary(), last - first, [None, pa.py_buffer(at.tobytes()), pa.py_buffer(data)])
+                    yield pa.RecordBatch.from_arrays([docs.slice(first, last - first), pa.array(ends[first:last] + partition.start), pa.array(np.diff(ends[first : last + 1])), ids], ["doc_id", "start", "n_tokens", "ids_le32"])
+                    first = last
 
 
 class EliasFanoIds(DataSource):
@@ -280,10 +318,14 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, text: str = "text", i
     """Encodes docs in ascending id order (null ids first, repeated rows one after another) into files under path.
 
     The tokenizer must split at white space and drop it, so that a text's ids are
-    those of its words one after another. A null or empty text has the end id
-    alone; an empty table gives a manifest without files; columns other than id
-    and text are not read, whatever their names.
+    those of its words one after another; one that doesn't is refused. A null or
+    empty text has the end id alone; rows that tie by id follow one another in no
+    set order; a very long text is cut into words in its task and written whole;
+    an empty table gives a manifest without files; columns other than id and text
+    are not read, whatever their names.
     """
+    if not splits_at_spaces(tokenizer_path):
+        raise ValueError("this tokenizer doesn't drop white space; its words can't be encoded apart")
     docs.sparkSession.dataSource.register(EliasFanoIds)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     chunks = F.filter(F.split("text", r"[ \t\r\n]+"), lambda x: x != "")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.llm.chunks import ids_by_row, slices
+from pointloom.llm.chunks import Table, ids_by_row, slices
 from pointloom.llm.text import whole
 
 MARK = "▁"  # fixed value: how the library writes a space
@@ -60,6 +60,12 @@ def segment(words: list[str], path: str) -> list[list[int]]:
     return [lone if w == MARK else x for w, x in zip(words, ids, strict=True)]
 
 
+@functools.cache
+def table(path: str) -> Table:
+    """The worker's table for a model."""
+    return Table(lambda words: segment(words, path))
+
+
 def encoded(docs: DataFrame, model: str, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(id, ids array<int>, decoded string) for each row."""
     if not words_stand_alone(model):
@@ -68,7 +74,7 @@ def encoded(docs: DataFrame, model: str, text: str = "text", id_col: str = "doc_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "words"):
-                ids, at = ids_by_row(part.column("words"), lambda w: segment(w, model))
+                ids, at = ids_by_row(part.column("words"), table(model))
                 lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))
                 texts = [processor(model).decode(ids[a:b].tolist()) if b > a else "" for a, b in zip(at[:-1], at[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(texts, pa.string())], ["id", "ids", "decoded"])
