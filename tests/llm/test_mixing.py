@@ -1,7 +1,11 @@
+import functools
+import math
 import re
-from collections import defaultdict
+import struct
+from collections import Counter, defaultdict
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from pointloom.llm import mixing
@@ -42,7 +46,7 @@ def check(docs):
         assert 0 <= r.taken <= 2 * r.size
         took[where[r.doc_id]] += r.taken
     for s in sizes:
-        assert abs(took[s] - want[s]) <= 2 * mixing.BLOCK
+        assert abs(took[s] - want[s]) <= 2 * mixing.BLOCK + mixing.TOLERANCE * want[s]
     again = mixing.taken(docs.repartition(7)).collect()
     assert sorted(map(str, again)) == sorted(map(str, got))
 
@@ -58,13 +62,68 @@ def test_permutation(spark):
         assert sorted(got) == list(range(n)) and (n < 7 or got != sorted(got))
 
 
-def test_shards_hold_their_slots_once(documents):
-    t = mixing.source_targets(mixing.placed(documents).select("source", "size"))
-    drawn = mixing.slots(t).collect()
-    places = sorted(r.shard * mixing.SHARD_SLOTS + r.slot for r in drawn)
-    assert places == list(range(len(places)))
-    # sources mix within a shard as they do overall
-    assert len({r.source_no for r in drawn if r.shard == 0}) > 1
+def drawn_by_hand(targets, seed=0):
+    """(per source: blocks, quota), counts of each shard, final draws of each source: the same draw in plain Python."""
+    per = {r.source_no: (-(-r.source_size // mixing.BLOCK), r.target, r.source_size) for r in targets.collect() if r.source_size}
+    quota = {s: math.floor(t * n / w + 0.5) for s, (n, t, w) in sorted(per.items())}
+    quota = {s: q for s, q in quota.items() if q}
+    line = [s for s, q in quota.items() for _ in range(q)]
+    hashed = lambda *x: functools.reduce(lambda h, y: xxhash.xxh64_intdigest(struct.pack("<q", y), h), x, 42)
+    shards = defaultdict(Counter)
+    for place in range(len(line)):
+        u = hashed(seed, place)
+        shards[place // mixing.SHARD_SLOTS][line[(u - (1 << 64) * (u >> 63)) % len(line)]] += 1
+    drawn = sum(shards.values(), Counter())
+    low = {s: math.ceil(q * (1 - mixing.TOLERANCE)) for s, q in quota.items()}
+    high = {s: min(math.floor(q * (1 + mixing.TOLERANCE)), max(q, 2 * per[s][0])) for s, q in quota.items()}
+    final = {s: min(max(drawn[s], low[s]), high[s]) for s in quota}
+    while sum(final.values()) < len(line):
+        final[next(s for s in final if final[s] < high[s])] += 1
+    while sum(final.values()) > len(line):
+        final[next(s for s in final if final[s] > low[s])] -= 1
+    return {s: per[s][0] for s in quota}, shards, final
+
+
+def test_draw_against_plain_python(documents, messy, monkeypatch):
+    """Each shard's counts are its own multinomial draw; what is taken follows the slots, and the slots the draw."""
+    monkeypatch.setattr(mixing, "SHARD_SLOTS", 256)
+    for docs in (documents, messy):
+        t = mixing.source_targets(mixing.placed(docs).select("source", "size"))
+        blocks, shards, final = drawn_by_hand(t)
+        per = mixing.quotas(t)
+        n_slots = sum(final.values())
+        got = defaultdict(Counter)
+        for r in mixing.counts(per, n_slots, per.count()).collect():
+            got[r.shard][r.source_no] += r.n
+        assert got == shards
+        drawn = mixing.slots(t).collect()
+        assert sorted(r.shard * 256 + r.slot for r in drawn) == list(range(n_slots))
+        assert Counter(r.source_no for r in drawn) == Counter(final)
+        times = Counter((r.source_no, r.block_no) for r in drawn)
+        for s, n in blocks.items():
+            assert Counter(times[s, b] for b in range(n)) == Counter({final[s] // n: n - final[s] % n, final[s] // n + 1: final[s] % n} if final[s] % n else {final[s] // n: n})
+        assert docs is messy or len({tuple(sorted(x.items())) for x in shards.values()}) == len(shards)
+
+
+def test_another_draw_takes_other_words(documents):
+    """The counts that shards draw reach the result: with another seed sources take other numbers of words."""
+    took = []
+    for seed in (0, 1):
+        per = defaultdict(int)
+        for r in mixing.taken_rows(documents, seed=seed).collect():
+            per[r.source] += r.taken
+        took.append(per)
+    assert took[0] != took[1]
+
+
+def test_packed_blocks_hold_the_words_taken(messy, documents):
+    for docs in (messy, documents):
+        rows = docs.collect()
+        said = Counter(w for r in mixing.packed(docs).collect() for w in re.findall(r"[^\x20\x09-\x0D]+", r.text))
+        sizes = [len(re.findall(r"[^\x20\x09-\x0D]+", r.text)) for r in mixing.packed(docs).collect()]
+        assert max(sizes) <= mixing.BLOCK and sum(sizes) == sum(r.taken for r in mixing.taken(docs).collect())
+        have = Counter(w for r in rows for w in re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))
+        assert all(n <= 2 * have[w] for w, n in said.items())
 
 
 def test_empty(nothing):
