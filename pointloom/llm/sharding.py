@@ -1,21 +1,25 @@
 """Sharding by best-fit decreasing: indivisible groups into the fewest fixed-capacity shards, or into a given number of near-equal ones.
 
-Groups are the documents of one text. A group larger than 1/GRAINS of the total
-is an item of its own, of which there are fewer than GRAINS; all others are
-folded by hash into CELLS cells, each an item. So the sequential part sees at
-most GRAINS + CELLS items whatever the corpus, and only (item, size) reaches the
-driver. Items in decreasing order enter the bin with the least room that still
-fits them, found in a balanced tree of remaining capacities. Documents then join
-the plan by item; the plan's size is bounded, so it is broadcast.
+Groups are the documents of one text. Groups of one size are interchangeable, so
+the packing is worked out on the histogram of group sizes: only (size, number of
+groups) reaches the driver, at most sqrt(2 * bytes) rows however the sizes fall,
+and far fewer where sizes repeat. Sizes in decreasing order enter the bin with the
+least room that still fits them, found in a balanced tree of remaining
+capacities; a bin takes as many of a size as it has room for before the next one
+is asked, which is what packing them one by one does too. The plan says which
+ranks of which size go where; Spark ranks the groups within their size by digest
+and joins them with it.
 
 Defined results: a null text has the size of an empty one; null ids come first in
-a shard; repeated rows each take a slot; an item larger than the capacity takes a
-bin of its own; an empty table gives an empty result; other columns are not read.
+a shard; repeated rows each take a slot; groups of one size tie by their digest; a
+group larger than the capacity takes a bin of its own; a very long text is one
+row of its size; an empty table gives an empty result; columns other than id and
+text are not read, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,10 +29,11 @@ from pointloom.operators.prefix import running_sum
 from pointloom.scratch import stored
 
 SHARDS = 24
-GRAINS = 4096
-CELLS = 4096
+FINE = 1 << 14  # the capacity of near-equal shards is searched to this part of it
 OVERHEAD = 8  # bytes that a row has besides its text
 BUCKETS = 4096  # parts of a shard whose slots are numbered apart
+SIZE_BUCKETS = 256  # parts of a size whose groups are numbered apart
+CELL = 256  # ranks that the plan is looked up by
 
 
 class Capacities:
@@ -80,62 +85,72 @@ class Capacities:
         return at[0]
 
 
-def best_fit(items: Iterable[tuple[str, int]], capacity: int, bins: int | None = None) -> dict[str, int] | None:
-    """Item -> bin, for items in decreasing size; None if more than `bins` are needed. Without a limit, oversized items have bins of their own."""
-    rooms, placed, used = Capacities(), {}, 0
-    for name, size in items:
-        if (found := rooms.take(size)) is None:
-            if used == bins or bins is not None and size > capacity:
+Run = tuple[int, int, int, int, int]  # size, first rank, number of ranks, first bin, ranks per bin
+
+
+def best_fit(sizes: Iterable[tuple[int, int]], capacity: int, bins: int | None = None) -> list[Run] | None:
+    """Where the groups of each size go, for (size, number) in decreasing size; None if more than `bins` are needed. Without a limit, oversized groups have bins of their own."""
+    rooms, runs, used = Capacities(), [], 0
+    for size, n in sizes:
+        rank = 0
+        while rank < n and (found := rooms.take(size)) is not None:
+            fit = min(n - rank, found[0] // size)
+            runs.append((size, rank, fit, found[1], fit))
+            rooms.add(found[0] - fit * size, found[1])
+            rank += fit
+        if rank < n:  # the rest fills new bins one after another
+            each = max(1, capacity // size)
+            new = -(-(n - rank) // each)
+            if bins is not None and (size > capacity or used + new > bins):
                 return None
-            found, used = (max(capacity, size), used), used + 1
-        placed[name] = found[1]
-        rooms.add(found[0] - size, found[1])
-    return placed
-
-
-def equal_bins(items: list[tuple[str, int]], bins: int) -> dict[str, int]:
-    """Best-fit decreasing into `bins` bins at the least capacity that works, by bisection."""
-    if not items:
-        return {}
-    low = max(items[0][1], -(-sum(size for _, size in items) // bins))
-    high = low + items[0][1]  # enough: a bin that refuses an item is fuller than the mean
-    while (plan := best_fit(items, high, bins)) is None:
-        high *= 2
-    while low < high:
+            runs.append((size, rank, n - rank, used, each))
+            for k in range(new):
+                rooms.add(max(0, capacity - size * min(each, n - rank - k * each)), used + k)
+            used += new
+    return runs
+
+
+def equal_bins(sizes: Sequence[tuple[int, int]], bins: int) -> list[Run]:
+    """Best-fit decreasing into `bins` bins at the least capacity that works, to 1/FINE of it."""
+    if not sizes:
+        return []
+    low = max(sizes[0][0], -(-sum(size * n for size, n in sizes) // bins))
+    step = max(1, low // FINE)
+    if (plan := best_fit(sizes, low, bins)) is not None:
+        return plan
+    high = low + step
+    while (plan := best_fit(sizes, high, bins)) is None:
+        low, high = high, high + 2 * (high - low)
+    while high - low > step:  # low is too small, high is enough
         middle = (low + high) // 2
-        if (better := best_fit(items, middle, bins)) is not None:
+        if (better := best_fit(sizes, middle, bins)) is not None:
             plan, high = better, middle
         else:
-            low = middle + 1
+            low = middle
     return plan
 
 
 def sized(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(id, group, size, text_crc32) without texts, written once."""
     t = whole(text)
-    return stored(docs.select(F.col(id_col).cast("long").alias("id"), sha256_hex(t).alias("group"), (F.octet_length(t) + OVERHEAD).cast("long").alias("size"), F.crc32(t.cast("binary")).alias("text_crc32")), "sizes")
-
-
-def items_of(rows: DataFrame, grains: int = GRAINS, cells: int = CELLS) -> DataFrame:
-    """(group, item, group_size) for the large groups only; all other groups have the item cell_of(group)."""
-    per = rows.groupBy("group").agg(F.sum("size").alias("group_size"))
-    total = per.agg(F.sum("group_size").alias("total"))
-    return per.join(F.broadcast(total), F.col("group_size") * grains > F.col("total")).select("group", F.concat(F.lit("g"), "group").alias("item"), "group_size")
+    return stored(docs.select(F.col(id_col).cast("long").alias("id"), F.unhex(sha256_hex(t)).alias("group"), (F.octet_length(t) + OVERHEAD).cast("long").alias("size"), F.crc32(t.cast("binary")).alias("text_crc32")), "sizes")
 
 
-def cell_of(cells: int = CELLS):
-    return F.concat(F.lit("c"), F.pmod(F.xxhash64("group"), F.lit(cells)).cast("string"))
+def ranked(groups: DataFrame) -> DataFrame:
+    """Adds `rank` to (group, group_size): 0, 1, ... among the groups of one size."""
+    rows = groups.withColumn("one", F.lit(1).cast("long")).withColumn("bucket", F.pmod(F.xxhash64("group"), F.lit(SIZE_BUCKETS)))
+    return running_sum(rows, ["group_size"], "bucket", ["group"], "one", "rank").drop("one", "bucket")
 
 
 def sharded(docs: DataFrame, shards: int | None = SHARDS, capacity: int | None = None, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(id, size, text_crc32, shard, slot): into `shards` near-equal shards, or as few as best fit needs at `capacity` bytes. Slots of a shard go from 0 in (bucket, id) order."""
     spark, rows = docs.sparkSession, sized(docs, text, id_col)
-    large = F.broadcast(stored(items_of(rows), "large"))  # fewer than GRAINS rows
-    with_item = rows.join(large.select("group", "item"), "group", "left").withColumn("item", F.coalesce("item", cell_of()))
-    weights = with_item.groupBy("item").agg(F.sum("size").alias("weight"))
-    items = sorted(((r["item"], int(r["weight"])) for r in weights.collect()), key=lambda x: (-x[1], x[0]))
-    plan = best_fit(items, capacity) if capacity else equal_bins(items, shards or 1)
-    bins = spark.createDataFrame(list(plan.items()), "item string, shard int")
-    dealt = with_item.join(F.broadcast(bins), "item").withColumn("bucket", F.pmod(F.xxhash64("id", "group"), F.lit(BUCKETS)))
+    groups = stored(rows.groupBy("group").agg(F.sum("size").alias("group_size")), "groups")
+    sizes = sorted(((r["group_size"], r["count"]) for r in groups.groupBy("group_size").count().collect()), reverse=True)
+    plan = spark.createDataFrame(best_fit(sizes, capacity) if capacity else equal_bins(sizes, shards or 1), "group_size bigint, first bigint, n bigint, bin bigint, each bigint")
+    plan = plan.withColumn("cell", F.explode(F.sequence(F.floor(F.col("first") / CELL), F.floor((F.col("first") + F.col("n") - 1) / CELL))))
+    at = ranked(groups).withColumn("cell", F.floor(F.col("rank") / CELL)).join(plan, ["group_size", "cell"]).where((F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("n")))
+    at = stored(at.select("group", (F.col("bin") + F.floor((F.col("rank") - F.col("first")) / F.col("each"))).cast("int").alias("shard")), "shards")
+    dealt = rows.join(at, "group").withColumn("bucket", F.pmod(F.xxhash64("id", "group"), F.lit(BUCKETS)))
     dealt = running_sum(dealt.withColumn("one", F.lit(1).cast("long")), ["shard"], "bucket", ["id", "text_crc32"], "one", "slot")
     return dealt.select(F.col("id").alias(id_col), "size", "text_crc32", "shard", "slot")
