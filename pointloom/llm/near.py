@@ -1,11 +1,16 @@
 """Near-duplicate join on five-word shingles: a MinHash LSH forest, then exact verification.
 
 1. Texts of equal words fold into one node. Every node has TREES labels of DEPTH
-   MinHash values, the words of a prefix trie per tree, and a byte sketch of all.
-2. Matched prefixes are shortened from DEPTH until pairs at the threshold meet in
-   some tree with the target recall (prefix_length). Nodes of a trie node of that
-   length whose sketches leave similarity possible are linked; a large trie node
-   is dealt out as pairs of blocks, so all its pairs are seen and none is emitted.
+   MinHash values, the paths of a prefix trie per tree, and a byte sketch of all.
+2. Trie nodes of the longest prefixes are searched first: nodes that share one and
+   whose sketches leave similarity possible are linked. What is found measures the
+   recall of that length: a pair of similarity s shares a prefix of length k in some
+   tree with probability 1 - (1 - s^k)^TREES, so the links of a node stand for the
+   sum of the inverses of theirs. Nodes that so have found RECALL of their partners
+   are settled; for all others, those without a link among them, the matched prefix
+   is shortened by one and their trie nodes are searched again, against settled
+   members too, down to the length that has RECALL even right at the threshold
+   (prefix_length). A large trie node is dealt out as pairs of blocks.
 3. Components of those links are verified exactly, all pairs of a component by
    its shingle sets, again in pairs of blocks. Counts of links and a spanning
    forest come out, never all pairs; components of the forest are the classes.
@@ -16,10 +21,11 @@ n_text_links (the same, counting different texts once).
 
 Defined results: words are runs of non-space characters, compared as they are; a
 text of one to four words has one shingle, all its words; a null text or one
-without words has no shingles, stands alone and has no links; rows with a null
-id take no part: their class is null, they have no links and count for none;
-repeated rows count as copies; an empty table gives an empty result; other
-columns are not read.
+without words has no shingles, stands alone and has no links; a text of any
+length is compared by all its shingles; rows with a null id take no part: their
+class is null, they have no links and count for none; repeated rows count as
+copies; ids that tie stand for the text of the least digest; an empty table gives
+an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -45,10 +51,15 @@ BLOCK_SHINGLES = 1 << 19  # of a component
 MARGIN = 6.0  # standard deviations that a sketch may lie under the threshold
 
 
+def found_at(length: int, similarity, trees: int = TREES):
+    """Probability that a pair shares a prefix of the length in some tree."""
+    return 1 - (1 - similarity**length) ** trees
+
+
 def prefix_length(threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> int:
-    """Shortens the matched prefix until a pair at the threshold shares one in some tree with the target recall."""
+    """The longest prefix at which a pair at the threshold is found with the target recall: no node needs a shorter one."""
     length = depth
-    while length > 1 and 1 - (1 - threshold**length) ** trees < recall:
+    while length > 1 and found_at(length, threshold, trees) < recall:
         length -= 1
     return length
 
@@ -150,33 +161,54 @@ class _Sets:
         return x != y
 
 
-def _possible_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A spanning forest, per trie node or pair of its blocks, of the pairs whose sketches leave the threshold possible."""
+def _possible_links(length: int):
+    """Per trie node of prefixes of the length, or pair of its blocks: a spanning forest (id, other, null, null) of the pairs whose sketches leave the threshold possible, and for each node (id, null, links, what they stand for)."""
     n = TREES * DEPTH
     least = int(np.floor(n * (THRESHOLD - MARGIN * np.sqrt(THRESHOLD * (1 - THRESHOLD) / n))))
-    for table in _runs(batches, ["key", "bi", "bj"]):
-        at = _borders(table, ["key", "bi", "bj"])
-        ids = table.column("id").to_numpy()
-        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, n)
-        sizes, a, b = np.diff(at), [], []
-        for size in range(2, 9):  # small groups: all their pairs at once
-            first = at[:-1][sizes == size]
-            x, y = np.triu_indices(size, 1)
-            for part in np.array_split(first, max(1, len(first) // 20_000)):
-                i, j = (part[:, None] + x).ravel(), (part[:, None] + y).ravel()
-                ok = (sketch[i] == sketch[j]).sum(1) >= least
-                a.append(ids[i[ok]])
-                b.append(ids[j[ok]])
-        for k in np.flatnonzero(sizes > 8):
-            rows, sets, edges = sketch[at[k] : at[k + 1]], _Sets(int(sizes[k])), []
-            for i in range(len(rows) - 1):
-                near = np.flatnonzero((rows[i + 1 :] == rows[i]).sum(1) >= least) + i + 1
-                edges += [(i, j) for j in near.tolist() if sets.join(i, j)]
-            if edges:
-                pairs = ids[at[k] + np.array(edges)]
-                a.append(pairs[:, 0])
-                b.append(pairs[:, 1])
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a), pa.int64()), pa.array(np.concatenate(b), pa.int64())], ["a", "b"])
+    stands_for = 1 / found_at(length, np.maximum(np.arange(n + 1) / n, THRESHOLD))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _runs(batches, ["key", "bi", "bj"]):
+            at = _borders(table, ["key", "bi", "bj"])
+            ids, open_ = table.column("id").to_numpy(), table.column("open").to_numpy()
+            sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, n)
+            sizes, a, b = np.diff(at), [], []
+            links, weight = np.zeros(len(ids), np.int64), np.zeros(len(ids))
+            for size in range(2, 9):  # small groups: all their pairs at once
+                first = at[:-1][sizes == size]
+                x, y = np.triu_indices(size, 1)
+                for part in np.array_split(first, max(1, len(first) // 20_000)):
+                    i, j = (part[:, None] + x).ravel(), (part[:, None] + y).ravel()
+                    common = (sketch[i] == sketch[j]).sum(1)
+                    ok = common >= least
+                    a.append(ids[i[ok]])
+                    b.append(ids[j[ok]])
+                    for k in (i[ok], j[ok]):
+                        np.add.at(links, k, 1)
+                        np.add.at(weight, k, stands_for[common[ok]])
+            for k in np.flatnonzero(sizes > 8):
+                # pairs of settled nodes aren't looked for, so those that aren't settled come first
+                order = at[k] + np.argsort(~open_[at[k] : at[k + 1]], kind="stable")
+                rows, sets, edges = sketch[order], _Sets(len(order)), []
+                for i in range(min(len(rows) - 1, int(open_[order].sum()))):
+                    common = (rows[i + 1 :] == rows[i]).sum(1)
+                    near = np.flatnonzero(common >= least)
+                    inverse = stands_for[common[near]]
+                    links[order[i]] += len(near)
+                    weight[order[i]] += inverse.sum()
+                    links[order[near + i + 1]] += 1
+                    weight[order[near + i + 1]] += inverse
+                    edges += [(i, j) for j in (near + i + 1).tolist() if sets.join(i, j)]
+                if edges:
+                    pairs = ids[order[np.array(edges)]]
+                    a.append(pairs[:, 0])
+                    b.append(pairs[:, 1])
+            has = np.flatnonzero(links)
+            edges = np.concatenate(b).astype(np.int64)
+            none = pa.nulls(len(edges), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*a, ids[has]]), pa.int64()), pa.concat_arrays([pa.array(edges), pa.nulls(len(has), pa.int64())]), pa.concat_arrays([none, pa.array(links[has])]), pa.concat_arrays([none.cast(pa.float64()), pa.array(weight[has])])], ["id", "other", "links", "weight"])
+
+    return run
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,21 +264,39 @@ def _pairs_of_blocks(rows: DataFrame, blocks: str, block: str) -> DataFrame:
     return other.withColumn("bi", F.least(block, "o")).withColumn("bj", F.greatest(block, "o")).drop("o")
 
 
+def possible_links(nodes: DataFrame) -> DataFrame:
+    """(a, b): edges between nodes (id, labels) whose components hold all pairs found in the forest."""
+    shortest = prefix_length()
+    prefix = lambda length: F.xxhash64("tree", F.slice("path", 1, length))
+    paths = F.array(*[F.struct(F.lit(t).alias("tree"), F.slice("labels", t * DEPTH + 1, DEPTH).alias("path")) for t in range(TREES)])
+    keyed = nodes.select("id", F.explode(paths).alias("p")).select("id", "p.*").withColumn("key", prefix(shortest))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    members = stored(keyed.join(shared, "key").drop("key"), "members")
+    sketched, settled, edges = signed_sketches(nodes), None, None
+    for length in range(DEPTH, shortest - 1, -1):
+        now = members.withColumn("key", prefix(length))
+        now = now.join(settled.withColumn("done", F.lit(True)), "id", "left") if settled is not None else now.withColumn("done", F.lit(None).cast("boolean"))
+        now = now.select("id", "key", F.col("done").isNull().alias("open"))
+        groups = now.groupBy("key").agg(F.count("*").alias("n"), F.max("open").alias("any")).where("n > 1 AND any")
+        groups = groups.select("key", F.ceil(F.col("n") / BLOCK_ROWS).alias("blocks"))
+        dealt = now.join(groups, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))).join(sketched, "id")
+        dealt = _pairs_of_blocks(dealt, "blocks", "block").select("key", "bi", "bj", "id", "open", "sketch").repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
+        found = stored(dealt.mapInArrow(_possible_links(length), "id bigint, other bigint, links bigint, weight double"), "links")
+        more = found.where("other IS NOT NULL").select(F.col("id").alias("a"), F.col("other").alias("b"))
+        edges = more if edges is None else edges.unionByName(more)
+        if length > shortest:
+            good = found.where("links IS NOT NULL").groupBy("id").agg((F.sum("links") / F.sum("weight")).alias("recall")).where(F.col("recall") >= RECALL).select("id")
+            settled = stored(good if settled is None else settled.unionByName(good).distinct(), "settled")
+    return edges
+
+
 def classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(id, class_id, n_links, n_text_links), one row for each input row."""
     signed = stored(signatures(docs, text, id_col), "signatures")
     # copies have equal labels, whichever comes first
     nodes = signed.where("n_shingles > 0 AND id IS NOT NULL").groupBy("digest").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("labels").alias("labels"))
     nodes = stored(nodes, "nodes")
-    k = prefix_length()
-    keys = F.array(*[F.xxhash64(F.lit(t), F.slice("labels", t * DEPTH + 1, k)) for t in range(TREES)])
-    keyed = nodes.select("id", F.explode(keys).alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    members = stored(keyed.join(shared, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK_ROWS)).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))), "members")
-    sketched = signed_sketches(nodes)
-    dealt = _pairs_of_blocks(members.join(sketched, "id"), "blocks", "block").select("key", "bi", "bj", "id", "sketch")
-    dealt = dealt.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
-    comps = connected_components(dealt.mapInArrow(_possible_links, "a bigint, b bigint"))
+    comps = connected_components(possible_links(nodes))
     comps = comps.select(F.col("node").alias("id"), F.col("label").alias("comp")).join(nodes.select("id", "digest", "copies", "n_shingles"), "id")
     sizes = comps.groupBy("comp").agg(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).alias("blocks"))
     comps = stored(comps.join(sizes, "comp").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))), "components")
