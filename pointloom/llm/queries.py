@@ -80,11 +80,10 @@ _WORD = r"[^\x20\x09-\x0D]+"
 
 ORACLE_SQL: dict[str, str] = {
     "op1_chat_preferences": """
-        WITH last AS (SELECT conv_id, max(turn) AS last_turn, max(turn) FILTER (role = 'assistant') AS reply_turn, max_by(text, turn) FILTER (role = 'assistant') AS reply FROM conversations GROUP BY conv_id),
-        rows AS (
+        WITH rows AS (
             SELECT conv_id AS pair_id, 'chosen' AS side, turn, role, text FROM conversations
-            UNION ALL SELECT c.conv_id, 'rejected', turn, role, text FROM conversations c JOIN last USING (conv_id) WHERE NOT (turn = last_turn AND role = 'assistant')
-            UNION ALL SELECT a.conv_id, 'rejected', a.last_turn, 'assistant', b.reply FROM last a JOIN last b ON b.conv_id = xor(a.conv_id, 1) WHERE a.reply_turn = a.last_turn AND b.reply_turn IS NOT NULL),
+            UNION ALL SELECT conv_id, 'rejected', turn, role, text FROM conversations WHERE turn < 1 + conv_id % 4
+            UNION ALL SELECT xor(conv_id, 1), 'rejected', turn, role, text FROM conversations WHERE turn >= 1 + xor(conv_id, 1) % 4),
         p AS (SELECT *, row_number() OVER (PARTITION BY pair_id, side ORDER BY turn, role, text) - 1 AS place FROM rows),
         n AS (SELECT pair_id, coalesce(min(place) FILTER (c.role IS DISTINCT FROM r.role OR c.text IS DISTINCT FROM r.text), max(place) + 1) AS n_prompt
               FROM (SELECT * FROM p WHERE side = 'chosen') c FULL JOIN (SELECT * FROM p WHERE side = 'rejected') r USING (pair_id, place) GROUP BY pair_id),
