@@ -3,10 +3,12 @@
 One scan of the texts keeps, per document, the spans of the patterns and the
 candidates: maximal runs of token characters, '=' and ':' ending a run, that
 follow a sensitive word closely or, after a joining mark, in the same run, and
-are not wholly inside a pattern's span. The identifiers around all candidates are counted over all documents;
-the DICTIONARY_WORDS most frequent ones prime a zstandard dictionary. A
-candidate's marginal bytes are those that it adds to its compressed surroundings
-under that dictionary; if they are at least NOVELTY of its length, it is reported.
+are not wholly inside a pattern's span. A zstandard dictionary is primed with the
+DICTIONARY_WORDS identifiers that stand in most documents of the whole corpus and
+with as many that stand around most candidates. A candidate's marginal bytes are
+those that it adds to its compressed surroundings, AROUND code points on each
+side, under that dictionary; if they are at least NOVELTY of its length, it is
+reported. Only the two lists of top words reach the driver.
 
 Defined results: null counts as empty; an empty text has no spans; texts are
 scanned whole, however long; repeated rows each give a row; null ids stay null;
@@ -44,11 +46,11 @@ JOINED = re.compile(rf"(?:{SENSITIVE.pattern})[+/_-]+", re.I | re.A)
 REACH = 64  # code points from the sensitive word to a candidate
 AROUND = 200  # code points of surroundings on each side
 IDENTIFIER = r"[A-Za-z_][A-Za-z0-9_]{2,31}"
-DICTIONARY_WORDS = 2000
+DICTIONARY_WORDS = 2000  # of the corpus, and of the surroundings of candidates
 NOVELTY = 0.6
 LEVEL = 19
 
-_SCANNED = "id {id}, n_assign bigint, n_access bigint, n_hex bigint, base array<string>, candidates array<struct<start:bigint,end:bigint,string:string,around:string>>"
+_SCANNED = "id {id}, n_assign bigint, n_access bigint, n_hex bigint, base array<string>, candidates array<struct<start:bigint,end:bigint,string:string,run:string,around:string>>"
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -79,7 +81,7 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[dict]:
             start = joined.end()
         inside = bisect_right(starts, start)
         if not inside or furthest[inside - 1] < end:
-            out.append({"start": start, "end": end, "string": text[start:end], "around": text[max(0, start - AROUND) : start] + text[end : end + AROUND]})
+            out.append({"start": start, "end": end, "string": text[start:end], "run": m[0], "around": text[max(0, start - AROUND) : start] + text[end : end + AROUND]})
     return out
 
 
@@ -91,7 +93,7 @@ def scanned(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = None
         for batch in batches:
-            kind = kind or pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("string", pa.string()), ("around", pa.string())]))
+            kind = kind or pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("string", pa.string()), ("run", pa.string()), ("around", pa.string())]))
             counts, base, more = ([], [], []), [], []
             for value in batch.column("text"):
                 t = value.as_py()
@@ -105,11 +107,18 @@ def scanned(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> Data
     return rows.mapInArrow(run, schema)
 
 
-def identifier_dictionary(scan: DataFrame, words: int = DICTIONARY_WORDS) -> bytes:
-    """The identifiers that surround candidates in most documents, most frequent last, where matches cost least. At most `words` of 32 characters."""
-    around = scan.where(F.size("candidates") > 0).select(F.array_distinct(F.flatten(F.transform("candidates", lambda c: F.regexp_extract_all(c["around"], F.lit(IDENTIFIER), F.lit(0))))).alias("w"))
-    top = around.select(F.explode("w").alias("w")).groupBy("w").count().orderBy(F.desc("count"), "w").limit(words)
-    return " ".join(r["w"] for r in reversed(top.collect())).encode()
+def identifier_dictionary(docs: DataFrame, scan: DataFrame, text: str = "text", words: int = DICTIONARY_WORDS) -> bytes:
+    """The identifiers of most documents, but for those of candidates, which would vouch for themselves, then those around most candidates; at most `words` of 32 characters each, the most frequent last, where matches cost least."""
+    found = lambda c: F.regexp_extract_all(c, F.lit(IDENTIFIER), F.lit(0))
+    of = lambda part: F.array_distinct(F.flatten(F.transform("candidates", lambda c: found(c[part]))))
+    some = scan.where(F.size("candidates") > 0)
+    words_of = lambda rows, w, own: rows.select(F.explode(w).alias("w"), F.lit(own).alias("own"))
+    corpus = words_of(docs, F.array_distinct(found(whole(text))), False).unionByName(words_of(some, of("run"), True))
+    both = (corpus, words_of(some, of("around"), False))
+    # combined in tasks before the shuffle; a join with the candidates' own words would come before that
+    counts = [rows.groupBy("w").agg(F.count("*").alias("n"), F.max("own").alias("own")).where("NOT own") for rows in both]
+    tops = [c.orderBy(F.desc("n"), "w").limit(words).collect() for c in counts]
+    return " ".join(r["w"] for top in tops for r in reversed(top)).encode()
 
 
 class Novelty:
@@ -136,7 +145,7 @@ class Novelty:
 def secrets(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(id, n_assign, n_access, n_hex, n_novel, base array<string>, spans array<string>): spans as kind:start:end in code points, by start, then kind."""
     scan = stored(scanned(docs, text, id_col), "secrets")
-    dictionary = identifier_dictionary(scan)
+    dictionary = identifier_dictionary(docs, scan, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         measure = Novelty(dictionary)

@@ -1,7 +1,9 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
+import zstandard
 from pyspark.sql import functions as F
 
 from pointloom.llm import pii, secrets
@@ -78,6 +80,51 @@ def test_secrets_joined_to_their_names(spark):
     assert [got[i] for i in range(len(texts))] == want
 
 
+def novel_by_hand(texts):
+    """Spans of the method, one text after another, every step the plain way."""
+    identifiers = lambda t: set(re.findall(r"[A-Za-z_][A-Za-z0-9_]{2,31}", t))
+    found, around, runs = [], [], set()
+    for t in texts:
+        words, mine = [m.end() for m in secrets.SENSITIVE.finditer(t)], []
+        for m in re.finditer(r"[A-Za-z0-9+/_-]+", t):
+            start, end = m.span()
+            if end - start < 16:
+                continue
+            if pad := re.match(r"={1,2}(?![A-Za-z0-9+/_=-])", t[end:]):
+                end += len(pad[0])
+            if not any(w <= start <= w + 64 for w in words):
+                inner = re.search(r"(?i:secret|token|passw|pwd|api|key|auth|bearer|credential|private|signature)[+/_-]+", t[start:end])
+                if not inner or end - start - inner.end() < 16:
+                    continue
+                start += inner.end()
+            if not any(a <= start and end <= b for a, _, b in base_secrets(t)):
+                mine.append((start, end, t[max(0, start - 200) : start] + t[end : end + 200]))
+                runs |= identifiers(m[0])
+        found.append(mine)
+        if mine:
+            around.append(set().union(*(identifiers(x[2]) for x in mine)))
+    top = lambda sets: [w for w, _ in sorted(Counter(w for x in sets for w in x).items(), key=lambda x: (-x[1], x[0]))[:2000]][::-1]
+    primed = zstandard.ZstdCompressionDict(" ".join(top(identifiers(t) - runs for t in texts) + top(around)).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    size = lambda x: len(zstandard.ZstdCompressor(level=19, dict_data=primed, write_checksum=False, write_content_size=False).compress(x.encode()))
+    return [[(a, b) for a, b, x in mine if size(x + "\n" + t[a:b]) - size(x + "\n") >= 0.6 * (b - a)] for t, mine in zip(texts, found, strict=True)]
+
+
+def test_novelty_against_plain_python(spark, documents):
+    """Planted keys among documents and code: the same spans as the plain way, all planted ones and none in documents."""
+    r = random.Random(8)
+    key = lambda n: "".join(r.choice("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz23456789+/") for _ in range(n))
+    code = "def connect(host, user, retries):\n    client = make_client(host)\n    return client.retry(user, retries)\n"
+    planted = [(code + f"signature = '{key(n)}'\n" + code, n) for n in (16, 20, 32, 40, 64, 200, 3000)]
+    plain = [code + "auth = make_client_connect_retry_host_user\n", code + "bearer: connect-host-user-retries-client\n", "private " + "ab" * 40]
+    texts = [x.text or "" for x in documents.collect()] + [t for t, _ in planted] + plain + noise(4, ["key", "=", " ", key(20), "connect_client_retry", "a", "_", "-", "é", ":"], 100)
+    n = len(texts) - len(planted) - len(plain) - 100
+    want = novel_by_hand(texts)
+    got = {x.doc_id: [tuple(map(int, s.split(":")[1:])) for s in x.spans.split(",") if s.startswith("novel")] for x in secrets.digests(as_docs(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+    assert not any(want[:n]) and [b - a for x in want[n : n + len(planted)] for a, b in x] == [k for _, k in planted]
+    assert not any(want[n + len(planted) : n + len(planted) + len(plain)])
+
+
 def test_secrets_of_any_length(spark):
     """A long key is measured and reported whole, however far its end is from the word."""
     r = random.Random(3)
