@@ -11,9 +11,11 @@ SETTING = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a new local one only where it is unset, as in tests."""
+    """The folder the cluster names in spark.checkpoint.dir. Where it is unset, a new local one, but only for a driver that runs its tasks itself, as in tests."""
     at = spark.conf.get(SETTING, None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise ValueError(f"set {SETTING} to a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="pointloom-")
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
