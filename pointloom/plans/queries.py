@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pointloom import sources
 from pointloom.functions import colour, transforms
 from pointloom.operators import classify, cloth, features, filters, ground, inference, sampling, segment, spatial, stats
 from pointloom.operators.graph import dbscan, dense_ids, reachable, with_labels
 from pointloom.plans.proxy import EMBED_SQL, EVENTS_SQL, cloud_embed, cloud_events
+from pointloom.scratch import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -615,3 +617,86 @@ def folder_closure(spark: SparkSession, sf: str) -> DataFrame:
 def dimension_lookup(spark: SparkSession, sf: str) -> DataFrame:
     t = lambda n: spark.read.parquet(f"{sf}/{n}.parquet")
     return t("customer").join(t("nation"), F.col("n_nationkey") == F.col("c_nationkey")).join(t("region"), F.col("r_regionkey") == F.col("n_regionkey")).groupBy(F.col("n_name").alias("category"), F.col("r_name").alias("label")).agg(F.count("*").alias("n"))
+
+
+# files: clouds written in a format to the shared folder and read back; values that 32-bit floats and millimetres hold exactly
+
+_EXACT = "pid, x, floor(y) AS y, floor(z * 4) / 4 AS z, intensity, classification"
+
+
+def _through(cloud: DataFrame, kind: str, columns: list[str], **options: str) -> DataFrame:
+    """The cloud's columns as read back from files of the format; pids are the files' own."""
+    spark = cloud.sparkSession
+    sources.register(spark)
+    path = new_path(spark, kind)
+    exact = cloud.select("pid", "x", F.floor("y").cast("double").alias("y"), (F.floor(F.col("z") * 4) / 4).alias("z"), "intensity", "classification")
+    exact.select("pid", *columns).write.format(kind).options(**options).mode("append").save(path)
+    back = spark.read.format(kind).options(**options).load(path)
+    return back.select(*[F.round(F.col(c).cast("double"), 3).alias(c) for c in columns])
+
+
+def _files(*columns: str):
+    return events(f"e AS (SELECT {_EXACT} FROM cloud) SELECT {', '.join(f'{c}::DOUBLE AS {c}' for c in columns)} FROM e")
+
+
+@_files("x", "y", "z")
+def file_rawxyz(cloud):
+    return _through(cloud, "rawxyz", ["x", "y", "z"], layout="xyz")
+
+
+@_files("x", "y", "z", "intensity")
+def file_xyzi(cloud):
+    return _through(cloud, "rawxyz", ["x", "y", "z", "intensity"], layout="xyzi")
+
+
+@_files("x", "y", "z", "intensity")
+def file_xyz_then_i(cloud):
+    return _through(cloud, "rawxyz", ["x", "y", "z", "intensity"], layout="xyz_then_i")
+
+
+@_files("x", "y", "z", "intensity")
+def file_lasd_planar(cloud):
+    return _through(cloud, "lasd", ["x", "y", "z", "intensity"], layout="planar", fields="Intensity")
+
+
+@_files("x", "y", "z", "intensity")
+def file_lasd_interleaved(cloud):
+    return _through(cloud, "lasd", ["x", "y", "z", "intensity"], layout="interleaved")
+
+
+@_files("x", "y", "z", "intensity", "classification")
+def file_pcbn(cloud):
+    return _through(cloud, "pcbn", ["x", "y", "z", "intensity", "classification"])
+
+
+@_files("x", "y", "z", "intensity", "classification")
+def file_las(cloud):
+    return _through(cloud, "las", ["x", "y", "z", "intensity", "classification"])
+
+
+@events("SELECT sum(1)::BIGINT AS points, min(x) AS x0, max(x) AS x1, min(floor(z * 4) / 4) AS z0, max(floor(z * 4) / 4) AS z1 FROM cloud")
+def file_las_header(cloud):
+    """What the headers of all files of a cloud say together."""
+    spark = cloud.sparkSession
+    sources.register(spark)
+    path = new_path(spark, "las")
+    cloud.select("pid", "x", "y", (F.floor(F.col("z") * 4) / 4).alias("z")).write.format("las").mode("append").save(path)
+    heads = spark.read.format("las_header").load(path)
+    least, most = (lambda c, k: F.round(F.min(F.col(c)[k]), 3)), (lambda c, k: F.round(F.max(F.col(c)[k]), 3))
+    return heads.agg(F.sum("point_count").cast("long").alias("points"), least("mins", 0).alias("x0"), most("maxs", 0).alias("x1"), least("mins", 2).alias("z0"), most("maxs", 2).alias("z1"))
+
+
+@_files("x", "y", "z", "intensity")
+def file_text(cloud):
+    spark = cloud.sparkSession
+    path = new_path(spark, "text")
+    cloud.select(F.concat_ws(" ", "x", F.floor("y"), F.floor(F.col("z") * 4) / 4, "intensity")).write.text(path)
+    return sources.read_text(spark, path).select("x", "y", "z", "intensity")
+
+
+@_files("x", "y", "z")
+def file_obj(cloud):
+    spark = cloud.sparkSession
+    path = new_path(spark, "obj")
+    cloud.select(F.concat_ws(" ", F.lit("v"), "x", F.floor("y"), F.floor(F.col("z") * 4) / 4)).write.text(path)
+    return sources.read_obj(spark, path).select("x", "y", "z")
