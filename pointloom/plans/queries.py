@@ -100,7 +100,11 @@ def idw_terrain(cloud):
 @events()
 def height_report(cloud):
     g = ground.candidates(cloud, 10.0)
-    return ground.report(ground.normalize_height(cloud, 10.0, ground=g), g)
+    return rounded(ground.report(ground.normalize_height(cloud, 10.0, ground=g), g))
+
+
+ORACLE_SQL["height_report"] = ORACLE_SQL["height_normalized"].rpartition("SELECT pid, round(z - terrain")[0].rstrip() + """, m AS (SELECT z, z - terrain AS h, CASE WHEN pid IN (SELECT pid FROM cand) THEN z - terrain END AS g FROM t)
+    SELECT count(*) AS points, round(min(z), 6) AS original_min, round(max(z), 6) AS original_max, round(min(h), 6) AS normalized_min, round(max(h), 6) AS normalized_max, count(g) AS ground_points, round(min(g), 6) AS ground_min, round(max(g), 6) AS ground_max FROM m"""
 
 
 @events()
