@@ -171,3 +171,17 @@ def trunk_height(spacing: float, fallback: bool = False, relaxed: bool = False)
         return F.col("z").between(0.3, 12.0)
     low = max(0.3, 3 * spacing)
     return F.col("z").between(low, max(3.0, 20 * spacing) if fallback else 15.0)
+
+
+def within_range(column: str, low: float, high: float) -> Column:
+    """Points that a display range of a scalar shows: both ends are in it, nulls are not."""
+    return F.coalesce(F.col(column).between(low, high), F.lit(False))
+
+
+def picked(cloud: DataFrame, origin: tuple[float, float, float], direction: tuple[float, float, float], reach: float = 1.0) -> DataFrame:
+    """The point that a ray hits first: of those at most `reach` from the ray, ahead of its origin, the one whose foot on the ray is nearest, with that distance; ties go to the least pid. Only one row per task is compared in the end."""
+    length = math.sqrt(sum(d * d for d in direction))
+    offset = [F.col(c) - o for c, o in zip(DIMS, origin, strict=True)]
+    along = sum(x * (d / length) for x, d in zip(offset, direction, strict=True))
+    rows = cloud.withColumn("distance", along).where((F.col("distance") >= 0) & (sum(x * x for x in offset) - F.col("distance") * F.col("distance") <= reach * reach))
+    return rows.orderBy("distance", "pid").limit(1)

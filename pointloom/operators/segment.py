@@ -15,9 +15,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pointloom.operators.classify import clustered
-from pointloom.operators.features import shape
+from pointloom.operators.features import mean_offsets, shape
 from pointloom.operators.filters import building_candidate, trunk_height
-from pointloom.operators.graph import with_labels
+from pointloom.operators.graph import reachable, with_labels
 from pointloom.operators.prefix import numbered
 from pointloom.operators.spatial import neighbours
 from pointloom.operators.stats import spacing
@@ -190,3 +190,14 @@ def corners(box: DataFrame) -> DataFrame:
     """(building_id, corner, x, y, z): the eight corners of each building's bounds, lower four first."""
     rows = [F.struct(F.lit(k).alias("corner"), F.col(f"x_{x}").alias("x"), F.col(f"y_{y}").alias("y"), F.col(f"z_{z}").alias("z")) for k, (x, y, z) in enumerate((x, y, z) for z in ("min", "max") for x, y in (("min", "min"), ("max", "min"), ("max", "max"), ("min", "max")))]
     return box.select("building_id", F.inline(F.array(*rows)))
+
+
+def region(cloud: DataFrame, seed: tuple[float, float, float], radius: float = 1.0, angle: float = 0.3) -> DataFrame:
+    """(pid, steps): the region that grows from the point nearest to the seed, over neighbours within radius in space whose normals (mean_offsets) have a product of more than `angle` in absolute value."""
+    away = sum((F.col(d) - x) * (F.col(d) - x) for d, x in zip("xyz", seed, strict=True))
+    first = cloud.select("pid", away.alias("away")).orderBy("away", "pid").first()
+    normals = stored(mean_offsets(cloud, radius), "normals")
+    of = lambda pid, n: normals.select(F.col("pid").alias(pid), *[F.col(f"n{d}").alias(f"{n}{d}") for d in "xyz"])
+    edges = neighbours(cloud, cloud, radius, ("x", "y", "z")).where("pid < other").join(of("pid", "a"), "pid").join(of("other", "b"), "other")
+    product = sum(F.col(f"a{d}") * F.col(f"b{d}") for d in "xyz")
+    return reachable(edges.where(F.abs(product) > angle).select("pid", "other"), first["pid"])

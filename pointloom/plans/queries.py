@@ -704,3 +704,25 @@ def file_obj(cloud):
     path = new_path(spark, "obj")
     cloud.select(F.concat_ws(" ", F.lit("v"), "x", F.floor("y"), F.floor(F.col("z") * 4) / 4)).write.text(path)
     return sources.read_obj(spark, path).select("x", "y", "z")
+
+
+_OFFSETS = """n AS (SELECT a.pid, b.pid AS other, b.x - a.x AS dx, b.y - a.y AS dy, b.z - a.z AS dz FROM cloud a, cloud b WHERE (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) <= 1),
+    s AS (SELECT *, sqrt(sx * sx + sy * sy + sz * sz) AS l FROM (SELECT pid, sum(dx) AS sx, sum(dy) AS sy, sum(dz) AS sz FROM n GROUP BY pid)),
+    v AS (SELECT pid, CASE WHEN l > 1e-12 THEN sx / l ELSE 0 END AS nx, CASE WHEN l > 1e-12 THEN sy / l ELSE 1 END AS ny, CASE WHEN l > 1e-12 THEN sz / l ELSE 0 END AS nz FROM s),
+    e AS (SELECT n.pid AS a, n.other AS b FROM n JOIN v p ON p.pid = n.pid JOIN v q ON q.pid = n.other WHERE abs(p.nx * q.nx + p.ny * q.ny + p.nz * q.nz) > 0.9),
+    seed AS (SELECT pid FROM cloud ORDER BY (x - 0.5) * (x - 0.5) + (y - 0.5) * (y - 0.5) + (z - 0.5) * (z - 0.5), pid LIMIT 1)"""
+
+
+@embed(f"{_OFFSETS}, r AS (SELECT pid FROM seed UNION SELECT e.b FROM r JOIN e ON e.a = r.pid) SELECT pid FROM r")
+def region_by_angle(cloud):
+    return segment.region(cloud, (0.5, 0.5, 0.5), 1.0, 0.9).select("pid")
+
+
+@events("t AS (SELECT *, (x - 1) * 0.6 + (z - 5) * 0.8 AS d FROM cloud) SELECT pid, round(d, 6) AS distance FROM t WHERE d >= 0 AND (x - 1) * (x - 1) + (y - 100) * (y - 100) + (z - 5) * (z - 5) - d * d <= 400 ORDER BY d, pid LIMIT 1")
+def ray_pick(cloud):
+    return rounded(filters.picked(cloud, (1.0, 100.0, 5.0), (3.0, 0.0, 4.0), 20.0).select("pid", "distance"))
+
+
+@events("SELECT pid FROM cloud WHERE intensity BETWEEN 20 AND 60")
+def scalar_range(cloud):
+    return cloud.where(filters.within_range("intensity", 20, 60)).select("pid")
