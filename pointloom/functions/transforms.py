@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pointloom.operators.prefix import named, one_row, quantiles
 from pointloom.operators.spatial import finite
 from pointloom.schema import FIVE_CLASSES, LAS_CODES, SIX_CLASSES
 
@@ -78,7 +79,7 @@ def las_scaled(cloud: DataFrame) -> DataFrame:
 
 def unit_intensity(cloud: DataFrame, column: str = "intensity", into: str = "ni") -> DataFrame:
     """Intensity between its 1st and 99th percentile as 0..1, clamped; 0.5 if they agree."""
-    one = cloud.agg(F.percentile(column, [0.01, 0.99]).alias("__p"))
+    one = one_row(quantiles(named(cloud, {"__p": F.col(column)}), [0.01, 0.99]), ["__p"])
     lo, span = F.col("__p")[0], F.col("__p")[1] - F.col("__p")[0]
     t = F.when(span < 1e-8, F.lit(0.5)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col(column) - lo) / F.nullif(span, F.lit(0.0)))))
     return cloud.join(F.broadcast(one)).withColumn(into, t).drop("__p")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pointloom.functions.transforms import unit_height, unit_intensity
 from pointloom.operators.graph import dbscan, dense_ids, with_labels
+from pointloom.operators.prefix import named, one_row, quantiles
 from pointloom.operators.spatial import finite, neighbours
 from pointloom.operators.stats import extent_spacing
 from pointloom.schema import PLANE_CLUSTERS, SPACE_CLUSTERS
@@ -73,8 +74,9 @@ def geometric_labels(cloud: DataFrame, eps: float | None = None) -> DataFrame:
 def intensity_thresholds(cloud: DataFrame) -> DataFrame:
     """One row of percentiles of the columns ni and nz: i5 ... i95, z5 ... z50."""
     i, z = (5, 10, 20, 30, 50, 60, 70, 85, 95), (5, 10, 20, 30, 40, 50)
-    one = cloud.agg(F.percentile("ni", [p / 100 for p in i]).alias("i"), F.percentile("nz", [p / 100 for p in z]).alias("z"))
-    return one.select(*[F.col("i")[k].alias(f"i{p}") for k, p in enumerate(i)], *[F.col("z")[k].alias(f"z{p}") for k, p in enumerate(z)])
+    every = sorted({*i, *z})
+    one = one_row(quantiles(named(cloud, {"i": F.col("ni"), "z": F.col("nz")}), [p / 100 for p in every]), ["i", "z"])
+    return one.select(*[F.col(c)[every.index(p)].alias(f"{c}{p}") for c, ps in (("i", i), ("z", z)) for p in ps])
 
 
 def intensity_rule() -> Column:

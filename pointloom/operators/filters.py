@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pointloom.operators.prefix import at_rank, named, ranked
 from pointloom.operators.spatial import finite, nearest, neighbours, radius_counts
 
 DIMS = ("x", "y", "z")
@@ -17,15 +18,11 @@ def finite_points(cloud: DataFrame) -> DataFrame:
 
 
 def percentile_box(cloud: DataFrame, cut: float = 0.005, pad: float = 0.1) -> DataFrame:
-    """Drops points outside the nearest-rank percentile box, widened by `pad` of its size; clouds of up to 100 points stay whole.
-
-    The rank is found per axis from counts of distinct values, not by sorting all points in one place.
-    """
+    """Drops points outside the box from sorted[floor(n * cut)] to sorted[floor(n * (1 - cut))] of each axis, widened by `pad` of its size; clouds of up to 100 points stay whole."""
     points = finite_points(cloud)
-    n = points.agg(F.count("*").alias("total"))
-    axes = points.select(F.inline(F.array(*[F.struct(F.lit(d).alias("axis"), F.col(d).alias("v")) for d in DIMS])))
-    ranked = _nearest_ranks(axes, {"lo": cut, "hi": 1 - cut})
-    one = ranked.groupBy().agg(*[F.max(F.when(F.col("axis") == d, F.col(c))).alias(f"{c}_{d}") for d in DIMS for c in ("lo", "hi")]).join(F.broadcast(n))
+    ranks = ranked(named(points, {d: F.col(d) for d in DIMS}))
+    ends = ranks.groupBy("name", "n").agg(at_rank(F.floor(F.col("n") * cut)).alias("lo"), at_rank(F.floor(F.col("n") * (1 - cut))).alias("hi"))
+    one = ends.groupBy().agg(F.max("n").alias("total"), *[F.max(F.when(F.col("name") == d, F.col(c))).alias(f"{c}_{d}") for d in DIMS for c in ("lo", "hi")])
     inside = F.col("total") <= 100
     within = F.lit(True)
     for d in DIMS:
@@ -34,26 +31,6 @@ def percentile_box(cloud: DataFrame, cut: float = 0.005, pad: float = 0.1) -> Da
     return points.join(F.broadcast(one)).where(inside | within).select(*cloud.columns)
 
 
-def _nearest_ranks(axes: DataFrame, cuts: dict[str, float]) -> DataFrame:
-    """(axis, lo, hi): sorted[floor(n * cut)] per axis. Values are counted in coarse bins first; only the bin that holds a rank is sorted."""
-    bins = 4096
-    span = axes.groupBy("axis").agg(F.min("v").alias("a"), F.max("v").alias("b"), F.count("*").alias("n"))
-    width = F.nullif(F.col("b") - F.col("a"), F.lit(0.0))
-    binned = axes.join(F.broadcast(span), "axis").withColumn("bin", F.least(F.floor(F.coalesce((F.col("v") - F.col("a")) / width, F.lit(0.0)) * bins), F.lit(bins - 1)))
-    counts = binned.groupBy("axis", "n", "bin").agg(F.count("*").alias("m"))
-    upto = Window.partitionBy("axis").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    counts = counts.withColumn("before", F.sum("m").over(upto) - F.col("m"))
-    out = None
-    for name, cut in cuts.items():
-        rank = F.floor(F.col("n") * cut)
-        holding = counts.where((F.col("before") <= rank) & (rank < F.col("before") + F.col("m"))).select("axis", "bin", (rank - F.col("before")).alias("k"))
-        inner = binned.select("axis", "bin", "v").join(F.broadcast(holding), ["axis", "bin"])
-        nth = F.row_number().over(Window.partitionBy("axis").orderBy("v")) - 1
-        value = inner.withColumn("i", nth).where(F.col("i") == F.col("k")).select("axis", F.col("v").alias(name))
-        out = value if out is None else out.join(value, "axis")
-    return out
-
-
 def knn_mean_distance(cloud: DataFrame, k: int, with_self: bool = True) -> DataFrame:
     """(pid, mean_distance) in space over the k nearest points, the point itself (distance 0) among them or not."""
     near = nearest(cloud, cloud, k if with_self else k + 1, DIMS)

@@ -1,8 +1,10 @@
-"""Running sums within groups, in two levels, so that no task sees a whole group."""
+"""Running sums, numbers and ranks within groups, in two levels, so that no task sees a whole group."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pointloom.scratch import stored
@@ -29,3 +31,37 @@ def numbered(df: DataFrame, order: list[str], into: str) -> DataFrame:
     counts = counts.withColumn("__base", F.sum("__n").over(upto) - F.col("__n")).drop("__n")
     within = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
     return part.join(F.broadcast(counts), "__range").withColumn(into, within + F.col("__base")).drop("__range", "__base")
+
+
+def ranked(values: DataFrame) -> DataFrame:
+    """(name, v, m, before, n) from (name, v): each distinct value of a name, how often it comes, how many values are less and how many there are. Nulls don't count.
+
+    Values are counted first, so repeated ones are one row, and then dealt by ranges.
+    """
+    counts = values.where(F.col("v").isNotNull()).groupBy("name", "v").agg(F.count("*").alias("m"))
+    part = stored(counts.repartitionByRange("name", "v").withColumn("__range", F.spark_partition_id()), "ranges")
+    total = part.groupBy("name").agg(F.sum("m").alias("n"))
+    return running_sum(part, ["name"], "__range", ["v"], "m", "before").join(total, "name").select("name", "v", "m", "before", "n")
+
+
+def at_rank(rank: Column) -> Column:
+    """Aggregate over rows of ranked(): the value of that rank, counted from 0."""
+    return F.max(F.when((F.col("before") <= rank) & (rank < F.col("before") + F.col("m")), F.col("v")))
+
+
+def quantiles(values: DataFrame, at: Sequence[float]) -> DataFrame:
+    """(name, q) from (name, v): the interpolated quantiles of each name, an array in the order of `at`."""
+    place = [(F.col("n") - 1) * float(p) for p in at]
+    near = [a for k, p in enumerate(place) for a in (at_rank(F.floor(p)).alias(f"a{k}"), at_rank(F.ceil(p)).alias(f"b{k}"))]
+    between = lambda k, p: F.when(F.col(f"a{k}") == F.col(f"b{k}"), F.col(f"a{k}")).otherwise((F.ceil(p) - p) * F.col(f"a{k}") + (p - F.floor(p)) * F.col(f"b{k}"))
+    return ranked(values).groupBy("name", "n").agg(*near).select("name", F.array(*[between(k, p) for k, p in enumerate(place)]).alias("q"))
+
+
+def named(cloud: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """(name, v): the columns of a cloud below one another."""
+    return cloud.select(F.inline(F.array(*[F.struct(F.lit(k).alias("name"), c.cast("double").alias("v")) for k, c in columns.items()])))
+
+
+def one_row(quantiles: DataFrame, names: Sequence[str]) -> DataFrame:
+    """One row with an array column for each name, null where it has no values."""
+    return quantiles.groupBy().agg(*[F.max(F.when(F.col("name") == k, F.col("q"))).alias(k) for k in names])

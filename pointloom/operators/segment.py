@@ -18,7 +18,7 @@ from pointloom.operators.classify import clustered
 from pointloom.operators.features import mean_offsets, shape
 from pointloom.operators.filters import building_candidate, trunk_height
 from pointloom.operators.graph import reachable, with_labels
-from pointloom.operators.prefix import numbered
+from pointloom.operators.prefix import numbered, quantiles
 from pointloom.operators.spatial import neighbours
 from pointloom.operators.stats import spacing
 from pointloom.scratch import stored
@@ -175,7 +175,8 @@ def _within_footprints(points: DataFrame, box: DataFrame, cell: float) -> DataFr
 
 def building_metrics(rows: DataFrame, box: DataFrame) -> DataFrame:
     """One row per building: size of its cluster before growth, points after it, mean planarity of the highest fifth if that has over five points."""
-    level = rows.groupBy("rank").agg(F.percentile("z", 0.8).alias("level"), F.count("*").alias("point_count"))
+    tall = quantiles(rows.select(F.col("rank").alias("name"), F.col("z").alias("v")), [0.8]).select(F.col("name").alias("rank"), F.col("q")[0].alias("level"))
+    level = rows.groupBy("rank").agg(F.count("*").alias("point_count")).join(tall, "rank")
     roof = rows.join(level, "rank").groupBy("rank", "point_count").agg(F.count_if(F.col("z") >= F.col("level")).alias("k"), F.avg(F.when(F.col("z") >= F.col("level"), F.col("planarity"))).alias("flat"))
     m = roof.join(box, "rank")
     three = lambda c: F.round(c, 3)

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pointloom.operators.prefix import named, one_row, quantiles
 from pointloom.operators.spatial import finite, nearest
 
 
@@ -58,7 +59,7 @@ def class_histogram(points: DataFrame, label: str = "classification") -> DataFra
 def spacing(cloud: DataFrame) -> DataFrame:
     """(spacing): median XY distance to the nearest other point; 0.05 below ten points."""
     near = nearest(cloud, cloud, 1, ("x", "y"), skip_self=True)
-    one = near.agg(F.percentile(F.sqrt("d2"), 0.5).alias("median"))
+    one = one_row(quantiles(named(near, {"d": F.sqrt("d2")}), [0.5]), ["d"]).select(F.col("d")[0].alias("median"))
     return cloud.agg(F.count("*").alias("n")).join(F.broadcast(one)).select(F.when(F.col("n") < 10, F.lit(0.05)).otherwise(F.col("median")).alias("spacing"))
 
 
@@ -71,7 +72,7 @@ def extent_spacing(cloud: DataFrame) -> DataFrame:
 
 def percentiles(cloud: DataFrame, column: str | Column, at: Sequence[float]) -> DataFrame:
     """One row with the interpolated percentiles p<100 * at>."""
-    one = cloud.agg(F.percentile(column, [float(p) for p in at]).alias("p"))
+    one = one_row(quantiles(named(cloud, {"p": F.col(column) if isinstance(column, str) else column}), at), ["p"])
     return one.select(*[F.col("p")[k].alias(f"p{100 * p:g}".replace(".", "_")) for k, p in enumerate(at)])
 
 
