@@ -1,8 +1,8 @@
 """Ground points, terrain raster and height above terrain.
 
-The raster is a table of cells, never a dense array: holes are filled by a join
-of the empty cells with the occupied ones, and points look up the four cells
-around them by equi-joins.
+The raster is a table of cells, never a dense array: of the empty cells only
+those that points ask for are filled, by a join with the occupied ones, and
+points look up the four cells around them by equi-joins.
 """
 
 from __future__ import annotations
@@ -50,34 +50,36 @@ def ground_points(cloud: DataFrame, resolution: float) -> DataFrame:
     return kept if kept.count() >= 3 else cand
 
 
-def terrain(ground: DataFrame, cloud: DataFrame, resolution: float, fill: bool = True) -> DataFrame:
-    """(ix, iy, z): lowest ground height per cell; empty cells take the value of the nearest occupied cell, ties to the least (ix, iy)."""
+def terrain(ground: DataFrame, cloud: DataFrame, resolution: float, asked: DataFrame | None = None) -> DataFrame:
+    """(ix, iy, z): lowest ground height per cell; of the asked (ix, iy), empty ones are added with the value of the nearest occupied cell, ties to the least (ix, iy)."""
     res = max(float(resolution), 0.1)
-    frame = _frame(cloud, res)
-    cells = ground.join(F.broadcast(frame)).select(*_cell(res), "z").groupBy("ix", "iy").agg(F.min("z").alias("z"))
-    if not fill:
+    cells = ground.join(F.broadcast(_frame(cloud, res))).select(*_cell(res), "z").groupBy("ix", "iy").agg(F.min("z").alias("z"))
+    if asked is None:
         return cells
     cells = stored(cells, "terrain")
-    every = frame.select("ny", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nx") - 1)).alias("ix")).select("ix", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ny") - 1)).alias("iy"))
     number = lambda df: df.withColumn("pid", F.col("ix") * (1 << 31) + F.col("iy")).withColumns({"x": F.col("ix").cast("double"), "y": F.col("iy").cast("double")})
-    holes = stored(number(every.join(cells, ["ix", "iy"], "left_anti")), "holes")
+    holes = stored(number(asked.select("ix", "iy").distinct().join(cells, ["ix", "iy"], "left_anti")), "holes")
     full = number(cells)
     near = nearest(holes, full, 1, ("x", "y"), radius=2.0)
     filled = near.join(full.select(F.col("pid").alias("other"), "z"), "other").join(holes.select("pid", "ix", "iy"), "pid").select("ix", "iy", "z")
     return cells.unionByName(filled)
 
 
-def bilinear(cloud: DataFrame, raster: DataFrame, frame: DataFrame, resolution: float) -> DataFrame:
-    """(pid, terrain): the raster at each point, cells' lower corners being the nodes. Each point asks for its four cells and adds up the weighted answers."""
+def corners(cloud: DataFrame, frame: DataFrame, resolution: float) -> DataFrame:
+    """(pid, asked): the four raster cells around each point, as an array of (ix, iy, w), the weights of bilinear interpolation; cells' lower corners are the nodes."""
     res = max(float(resolution), 0.1)
     ix, iy = _cell(res)
     at = cloud.join(F.broadcast(frame)).select("pid", ix, iy, ((F.col("x") - F.col("x0")) / res).alias("fx"), ((F.col("y") - F.col("y0")) / res).alias("fy"), "nx", "ny")
     clip = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
     at = at.withColumns({"fx": clip(F.col("fx") - F.col("ix")), "fy": clip(F.col("fy") - F.col("iy"))})
     nextx, nexty = F.least(F.col("nx") - 1, F.col("ix") + 1), F.least(F.col("ny") - 1, F.col("iy") + 1)
-    corners = [(F.col("ix"), F.col("iy"), (1 - F.col("fx")) * (1 - F.col("fy"))), (F.col("ix"), nexty, (1 - F.col("fx")) * F.col("fy")), (nextx, F.col("iy"), F.col("fx") * (1 - F.col("fy"))), (nextx, nexty, F.col("fx") * F.col("fy"))]
-    asked = at.select("pid", F.inline(F.array(*[F.struct(a.alias("ix"), b.alias("iy"), w.alias("w"), F.lit(k).alias("k")) for k, (a, b, w) in enumerate(corners)])))
-    got = asked.join(raster, ["ix", "iy"])
+    four = [(F.col("ix"), F.col("iy"), (1 - F.col("fx")) * (1 - F.col("fy"))), (F.col("ix"), nexty, (1 - F.col("fx")) * F.col("fy")), (nextx, F.col("iy"), F.col("fx") * (1 - F.col("fy"))), (nextx, nexty, F.col("fx") * F.col("fy"))]
+    return at.select("pid", F.array(*[F.struct(a.alias("ix"), b.alias("iy"), w.alias("w")) for a, b, w in four]).alias("asked"))
+
+
+def bilinear(asking: DataFrame, raster: DataFrame) -> DataFrame:
+    """(pid, terrain): the raster at each point of corners(): the sum of the weighted answers of its four cells."""
+    got = asking.select("pid", F.posexplode("asked").alias("k", "at")).select("pid", "k", "at.*").join(raster, ["ix", "iy"])
     part = lambda k: F.sum(F.when(F.col("k") == k, F.col("w") * F.col("z")))
     return got.groupBy("pid").agg((part(0) + part(1) + part(2) + part(3)).alias("terrain"))
 
@@ -95,8 +97,10 @@ def normalize_height(cloud: DataFrame, resolution: float = 1.0, ground: DataFram
     points = cloud.where(finite("x", "y", "z"))
     ground = stored(ground if ground is not None else ground_points(points, resolution), "ground")
     frame = stored(_frame(points, max(float(resolution), 0.1)), "frame")
-    raster = stored(terrain(ground, points, resolution), "raster")
-    height = bilinear(points, raster, frame, resolution)
+    asking = corners(points, frame, resolution)
+    asked = asking.select(F.inline("asked")).select("ix", "iy")
+    raster = stored(terrain(ground, points, resolution, asked), "raster")
+    height = bilinear(asking, raster)
     return points.join(height, "pid").withColumn("z_original", F.col("z")).withColumn("z", F.col("z_original") - F.col("terrain")).drop("terrain")
 
 

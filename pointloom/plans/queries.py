@@ -63,7 +63,7 @@ def ground_candidates(cloud):
 
 @events(f"{_CAND} SELECT ix, iy, min(z) AS z FROM cand GROUP BY ix, iy")
 def dtm_grid(cloud):
-    return ground.terrain(ground.candidates(cloud, 10.0), cloud, 10.0, fill=False)
+    return ground.terrain(ground.candidates(cloud, 10.0), cloud, 10.0)
 
 
 _RASTER = f"""{_CAND}, occ AS (SELECT ix, iy, min(z) AS z FROM cand GROUP BY ix, iy),
