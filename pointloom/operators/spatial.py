@@ -3,7 +3,7 @@
 Points fall into cells as wide as the search radius. One side of the join is
 copied to the neighbouring cells, the other stays; both meet by an equi-join on
 the cell and an exact test of the distance. Cells hold about as many points as a
-neighbourhood whatever the extent of the cloud, so work grows with the points.
+neighbourhood, judged by the cells that have points, so work grows with the points.
 A crowded cell is one join key; AQE splits it.
 """
 
@@ -65,18 +65,22 @@ def radius_counts(cloud: DataFrame, radius: float, dims: Sequence[str] = ("x", "
     return neighbours(cloud, cloud, radius, dims, by).groupBy("pid").agg(F.count("*").alias("n"))
 
 
-def good_radius(cloud: DataFrame, k: int, dims: Sequence[str]) -> float:
-    """A cell width for k neighbours: about 3k points in a block of 3^d cells, judged by the extent; any width is correct."""
+def good_radius(cloud: DataFrame, k: int, dims: Sequence[str], halvings: int = 24) -> float:
+    """A cell width for k neighbours: the extent gives one for evenly spread points, which is halved until an occupied cell has about k points, so that a far outlier doesn't put all others into one cell; any width is correct."""
     spans = cloud.agg(F.count("*").alias("n"), *[(F.max(d) - F.min(d)).alias(d) for d in dims]).first()
-    if not spans["n"]:
-        return 1.0
-    full = [s for s in (spans[d] for d in dims) if s and s > 0]
-    if not full:
+    full = {d: spans[d] for d in dims if spans[d] and spans[d] > 0}
+    if not spans["n"] or not full:
         return 1.0
     volume = 1.0
-    for s in full:
+    for s in full.values():
         volume *= s
-    return max((volume * k / spans["n"]) ** (1 / len(full)), max(full) * 1e-6)
+    widest = max((volume * k / spans["n"]) ** (1 / len(full)), max(full.values()) * 1e-6)
+    widths = [widest / 2**j for j in range(halvings)]
+    cell = lambda w: F.xxhash64(*[F.floor(F.col(d) / w) for d in full])
+    occupied = cloud.agg(*[F.approx_count_distinct(cell(w)).alias(f"w{j}") for j, w in enumerate(widths)]).first()
+    most = max(occupied)
+    # points that coincide are in one cell at any width
+    return next(w for w, cells in zip(widths, occupied, strict=True) if cells * 2 * k >= spans["n"] or cells >= 0.9 * most)
 
 
 def nearest(left: DataFrame, right: DataFrame, k: int, dims: Sequence[str] = ("x", "y"), radius: float | None = None, skip_self: bool = False) -> DataFrame:

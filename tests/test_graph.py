@@ -118,3 +118,15 @@ def test_building_instances(spark):
     got = {r.pid: r.building_id for r in inference.building_instances(as_cloud(spark, xyz), merge=3.0).collect()}
     a, b = {got.get(i) for i in range(100)} - {None}, {got.get(i) for i in range(100, 200)} - {None}
     assert a == {1} and b == {2}
+
+
+def test_nearest_with_a_far_outlier(spark):
+    """One point far away doesn't widen the cells of the others, and coinciding points end the search for a width."""
+    rng = np.random.default_rng(4)
+    xyz = np.vstack([rng.random((400, 3)), [[1e7, 1e7, 1e7]]])
+    got = spatial.nearest(as_cloud(spark, xyz), as_cloud(spark, xyz), 4, ("x", "y", "z"))
+    d = ((xyz[:, None] - xyz[None]) ** 2).sum(2)
+    want = {(i, int(j)) for i in range(401) for j in np.lexsort((np.arange(401), d[i]))[:4]}
+    assert {(r.pid, r.other) for r in got.collect()} == want
+    assert spatial.good_radius(as_cloud(spark, xyz), 4, ("x", "y", "z")) < 10
+    assert spatial.good_radius(as_cloud(spark, [[0, 0, 0]] * 50 + [[1, 1, 1]]), 3, ("x", "y")) > 0

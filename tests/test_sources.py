@@ -2,8 +2,10 @@ import struct
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pointloom import sources
+from pointloom.operators import prefix
 from pointloom.operators.prefix import numbered
 
 
@@ -143,3 +145,13 @@ def test_with_pids_and_instances(spark, cloud, tmp_path):
     assert [r.pid for r in again] == list(range(500)) and [r.x for r in again] == sorted(r.x for r in again)
     sources.write_instances(cloud.selectExpr("*", "'tree' AS category", "tree_id AS instance_id"), str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).where("category = 'tree' AND instance_id = 3").count() == cloud.where("tree_id = 3").count()
+
+
+def test_ranks_against_numpy(spark):
+    """Quantiles of two names, with repeated values and nulls, are those of numpy; a name without values has a null."""
+    rng = np.random.default_rng(2)
+    a, b = np.r_[rng.normal(size=333), np.full(500, 0.25), 1e12], rng.integers(0, 7, 834).astype(float)
+    rows = spark.createDataFrame([(float(x), float(y), None) for x, y in zip(a, b, strict=True)] + [(None, None, None)], "a double, b double, c double").repartition(3)
+    at = [0.0, 0.01, 0.5, 0.99, 1.0]
+    one = prefix.one_row(prefix.quantiles(prefix.named(rows, {c: F.col(c) for c in "abc"}), at), "abc").first()
+    assert np.allclose(one.a, np.quantile(a, at)) and np.allclose(one.b, np.quantile(b, at)) and one.c is None
