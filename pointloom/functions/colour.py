@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.schema import ELEVATION_RAMP, INSTANCE_COLOURS, PLAIN, RAMPS
+from pointloom.schema import ELEVATION_RAMP, GROUND_RGB, INSTANCE_COLOURS, OTHER_RGB, PLAIN, RAMPS
 
 
 def rgb(r: Column | float, g: Column | float, b: Column | float) -> Column:
@@ -88,3 +88,8 @@ def tinted(colour: Column, ordinal: Column, hue: float = 0.0) -> Column:
     wave = 1 + 0.03 * F.sin(0.1 * ordinal)
     clamp = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c * wave + hue))
     return rgb(clamp(colour["r"]), clamp(colour["g"]), clamp(colour["b"]))
+
+
+def cloth_colour(is_ground: Column) -> Column:
+    """Channels of 0..1 of ground and of other points after cloth simulation; points without a flag count as other."""
+    return F.when(is_ground, rgb(*[F.lit(c / 255) for c in GROUND_RGB])).otherwise(rgb(*[F.lit(c / 255) for c in OTHER_RGB]))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -118,6 +119,30 @@ def on_screen(matrix: list[float], width: float, height: float, rect: tuple[floa
     return F.coalesce(px.between(rect[0], rect[2]) & py.between(rect[1], rect[3]), F.lit(False))
 
 
+def unprojected(matrix: list[float], width: float, height: float, pixel: tuple[float, float], depth: float) -> tuple[float, float, float]:
+    """The place behind a pixel at a depth of 0 (near) to 1 (far), the inverse of the row-major 4x4 view-projection; one that can't be inverted is an error."""
+    at = np.linalg.inv(np.reshape(matrix, (4, 4))) @ [2 * pixel[0] / width - 1, 1 - 2 * pixel[1] / height, 2 * depth - 1, 1]
+    x, y, z = at[:3] / (at[3] or 1.0)
+    return float(x), float(y), float(z)
+
+
+def screen_bounds(cloud: DataFrame, matrix: list[float], width: float, height: float, rect: tuple[float, float, float, float], heights: tuple[float, float] | None = None) -> dict:
+    """The box {lo, hi} that a pixel rectangle (x0, y0, x1, y1) marks: its corners' rays meet the plane of the mean height, a level ray ends at its far point; without `heights` the box spans the cloud's, widened by a twentieth on both sides."""
+    z = cloud.agg(F.avg("z").alias("mean"), F.min("z").alias("low"), F.max("z").alias("top")).first()
+    if z["mean"] is None:
+        raise ValueError("no points")
+    met = []
+    for pixel in ((x, y) for x in (rect[0], rect[2]) for y in (rect[1], rect[3])):
+        near, far = (np.array(unprojected(matrix, width, height, pixel, d)) for d in (0, 1))
+        way = far - near
+        level = abs(way[2]) < 1e-6 * np.linalg.norm(way) or not way.any()
+        met.append(far if level else near + way * (z["mean"] - near[2]) / way[2])
+    pad = (z["top"] - z["low"]) / 20
+    low, top = heights or (z["low"] - pad, z["top"] + pad)
+    (x0, y0), (x1, y1) = np.min(met, 0)[:2].tolist(), np.max(met, 0)[:2].tolist()
+    return {"lo": (x0, y0, low), "hi": (x1, y1, top)}
+
+
 def split(cloud: DataFrame, inside: Column) -> tuple[DataFrame, DataFrame]:
     """Inner and outer part with all columns."""
     flag = F.coalesce(inside, F.lit(False))

@@ -726,3 +726,52 @@ def ray_pick(cloud):
 @events("SELECT pid FROM cloud WHERE intensity BETWEEN 20 AND 60")
 def scalar_range(cloud):
     return cloud.where(filters.within_range("intensity", 20, 60)).select("pid")
+
+
+_VIEW = [0.0134, 0, 0, -1, 0, 0.0028, 0, -1, 0, 0, 0.001, 0, 0, 0, 0.005, 1]  # a view from above, smaller with height
+
+
+@events("""m AS (SELECT 1 + 0.005 * avg(z) AS w, min(z) - (max(z) - min(z)) / 20 AS low, max(z) + (max(z) - min(z)) / 20 AS top FROM cloud)
+    SELECT pid FROM cloud, m WHERE x BETWEEN (1 - 0.5 * w) / 0.0134 AND (1 + 0.25 * w) / 0.0134 AND y BETWEEN (1 - 0.5 * w) / 0.0028 AND (1 + 0.5 * w) / 0.0028 AND z BETWEEN low AND top""")
+def screen_bounds(cloud):
+    box = filters.screen_bounds(cloud, _VIEW, 800, 600, (200, 150, 500, 450))
+    return cloud.where(filters.in_box(box["lo"], box["hi"])).select("pid")
+
+
+@events("SELECT pid, CASE WHEN classification = 2 THEN 34 ELSE 220 END AS r, CASE WHEN classification = 2 THEN 139 ELSE 20 END AS g, CASE WHEN classification = 2 THEN 34 ELSE 60 END AS b FROM cloud")
+def cloth_colours(cloud):
+    c = colour.cloth_colour(F.col("classification") == 2)
+    return cloud.select("pid", *[F.round(c[k] * 255).cast("int").alias(k) for k in "rgb"])
+
+
+@events("""s AS (SELECT classification AS c, pid % 5 AS t, pid % 3 AS b FROM cloud)
+    SELECT c::BIGINT AS las_code, count(*) AS points, count(DISTINCT t) FILTER (t > 0) AS trees, count(DISTINCT b) FILTER (b > 0) AS buildings,
+           (SELECT count(*) FROM s) AS total_points, (SELECT count(*) FROM s WHERE t > 0) AS tree_points, (SELECT count(*) FROM s WHERE b > 0) AS building_points FROM s GROUP BY c""")
+def metadata_file(cloud):
+    """The metadata of labelled points, as read back from their JSON file."""
+    spark = cloud.sparkSession
+    path = new_path(spark, "metadata")
+    sources.write_metadata(cloud.select(F.col("classification").alias("las_code"), (F.col("pid") % 5).alias("tree_id"), (F.col("pid") % 3).alias("building_id")), path, num_classes=6)
+    back = spark.read.json(path)
+    return back.select("total_points", "instance_summary.tree_points", "instance_summary.building_points", F.inline("category_summary"))
+
+
+@events("SELECT pid FROM cloud WHERE z BETWEEN 5 AND 60 AND (z > 7.5 OR pid % 10 > 4)")
+def building_candidates(cloud):
+    flat = cloud.withColumn("planarity", (F.col("pid") % 10) / 10)
+    return flat.where(filters.building_candidate(5.0, 60.0, 0.4)).select("pid")
+
+
+@events("SELECT pid FROM cloud WHERE z BETWEEN 1.5 AND 15")
+def trunk_candidates(cloud):
+    return cloud.where(filters.trunk_height(0.5)).select("pid")
+
+
+@events("SELECT pid FROM cloud WHERE x BETWEEN 20 AND 90 AND y BETWEEN 100 AND 500 AND z BETWEEN 10 AND 80")
+def crop_after_height(cloud):
+    """A crop region whose heights were set anew, and its check."""
+    box = filters.set_height({"lo": (20.0, 100.0, 0.0), "hi": (90.0, 500.0, 1.0)}, 10.0, 80.0)
+    inside = filters.in_box(box["lo"], box["hi"])
+    if problem := filters.check_split(cloud, inside):
+        raise ValueError(problem)
+    return cloud.where(inside).select("pid")

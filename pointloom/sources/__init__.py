@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pointloom.operators.inference import summary
 from pointloom.operators.prefix import numbered
 from pointloom.sources.files import filesystem, listing
 from pointloom.sources.formats import Las, LasHeader, Lasd, Pcbn, Pcd, Ply, RawXyz
+from pointloom.scratch import stored
 
 #: First bytes of each format, and file name endings that are read as text.
 MAGICS = {b"LASF": "las", b"PCBN": "pcbn", b"ply": "ply", b"#PCD": "pcd", b"# .PCD": "pcd", b"LASD": "lasd"}
@@ -72,6 +74,15 @@ def write_instances(points: DataFrame, path: str) -> None:
     points.repartition("category", "instance_id").write.partitionBy("category", "instance_id").parquet(path)
 
 
+def write_metadata(coded: DataFrame, path: str, **facts: str | float | bool | None) -> None:
+    """One JSON line about labelled points (las_code, tree_id, building_id): total_points, the given facts, category_summary with points, trees and buildings by code, and instance_summary with the instances and points of trees and buildings."""
+    codes = stored(summary(coded), "summary")
+    some = lambda c: F.count_distinct(F.when(F.col(c) > 0, F.col(c)))
+    whole = coded.agg(F.count("*").alias("total_points"), F.struct(some("tree_id").alias("trees"), some("building_id").alias("buildings"), F.count_if(F.col("tree_id") > 0).alias("tree_points"), F.count_if(F.col("building_id") > 0).alias("building_points")).alias("instance_summary"))
+    per = codes.agg(F.array_sort(F.collect_list(F.struct("las_code", "points", "trees", "buildings"))).alias("category_summary"))  # one row per class code
+    whole.join(F.broadcast(per)).select("total_points", *[F.lit(v).alias(k) for k, v in facts.items()], "category_summary", "instance_summary").coalesce(1).write.json(path)
+
+
 def with_pids(cloud: DataFrame, order: list[str]) -> DataFrame:
     """The cloud with pids 0, 1, ... in the given order."""
     return numbered(cloud.drop("pid"), order, "pid").withColumn("pid", F.col("pid") - 1)

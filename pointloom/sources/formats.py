@@ -214,8 +214,6 @@ def las_header(f) -> dict:
     bounds = struct.unpack_from("<6d", h, 179)
     if minor >= 4 and size >= 375:
         n = struct.unpack_from("<Q", h, 247)[0] or n
-    if fmt & 0x80:
-        raise ValueError("compressed LAZ points can't be read: no codec is installed")
     extra, at = [], size
     for _ in range(n_vlr):
         f.seek(at)
@@ -226,7 +224,7 @@ def las_header(f) -> dict:
             extra += [(body[k + 4 : k + 36].rstrip(b"\0").decode(), body[k + 2]) for k in range(0, len(body) - 191, 192)]
         at += 54 + length_after
     return {
-        "version": f"{major}.{minor}", "point_format": fmt, "point_count": n, "mins": [bounds[1], bounds[3], bounds[5]], "maxs": [bounds[0], bounds[2], bounds[4]], "scale": list(scale), "offset": list(origin),
+        "version": f"{major}.{minor}", "point_format": fmt & 0x3F, "compressed": fmt & 0x80 != 0, "point_count": n, "mins": [bounds[1], bounds[3], bounds[5]], "maxs": [bounds[0], bounds[2], bounds[4]], "scale": list(scale), "offset": list(origin),
         "generating_software": h[58:90].rstrip(b"\0").decode("latin-1"), "creation_date": f"{year}-{day:03d}" if year else "", "data_offset": offset, "record_length": length, "extra": extra,
     }
 
@@ -242,6 +240,8 @@ class Las(PointSource):
 
     def look(self, f) -> Points:
         h = las_header(f)
+        if h["compressed"]:
+            raise ValueError("compressed LAZ points can't be read: no codec is installed")
         if h["point_format"] not in _FORMATS:
             raise ValueError(f"point format {h['point_format']} isn't supported")
         kinds = list(_FORMATS[h["point_format"]])
@@ -308,7 +308,7 @@ class Las(PointSource):
 
 
 class LasHeader(DataSource):
-    """One row per LAS file: version, format, count, bounds, scale and the fields it has. Only headers are read."""
+    """One row per LAS or LAZ file: version, format, count, bounds, scale and the fields it has. Only headers are read."""
 
     @classmethod
     def name(cls) -> str:

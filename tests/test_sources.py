@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pointloom import sources
-from pointloom.operators import prefix
+from pointloom.operators import filters, prefix
 from pointloom.operators.prefix import numbered
 
 
@@ -155,3 +155,30 @@ def test_ranks_against_numpy(spark):
     at = [0.0, 0.01, 0.5, 0.99, 1.0]
     one = prefix.one_row(prefix.quantiles(prefix.named(rows, {c: F.col(c) for c in "abc"}), at), "abc").first()
     assert np.allclose(one.a, np.quantile(a, at)) and np.allclose(one.b, np.quantile(b, at)) and one.c is None
+
+
+def test_header_of_compressed_files(spark, cloud, tmp_path):
+    """The header of a LAZ file is plain and can be read; its points can't."""
+    cloud.drop("tree_id", "building_id").write.format("las").mode("append").save(str(tmp_path / "a"))
+    data = bytearray(next((tmp_path / "a").glob("*.las")).read_bytes())
+    data[104] |= 0x80
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / "c.laz").write_bytes(data)
+    head = spark.read.format("las_header").load(str(tmp_path / "b")).first()
+    assert (head.point_format, head.point_count, head.version) == (2, 500, "1.2")
+    with pytest.raises(Exception, match="LAZ"):
+        spark.read.format("las").load(str(tmp_path / "b")).count()
+
+
+def test_screen_bounds(spark, cloud):
+    """Unprojecting undoes the projection; the box holds the crop's corners on the plane of the mean height."""
+    m = np.array([[0.02, 0.003, 0.001, -0.1], [0, 0.03, 0.004, 0.2], [0.001, 0, 0.02, 0], [0.0005, 0, 0.004, 1]])
+    place = np.array([3.0, -7.0, 11.0, 1.0])
+    c = m @ place
+    x, y, d = (c[0] / c[3] + 1) * 400, (1 - c[1] / c[3]) * 300, (c[2] / c[3] + 1) / 2
+    assert np.allclose(filters.unprojected(m.ravel().tolist(), 800, 600, (x, y), d), place[:3])
+    box = filters.screen_bounds(cloud, m.ravel().tolist(), 800, 600, (300, 200, 500, 400), (1.0, 2.0))
+    z = np.mean([r.z for r in cloud.collect()])
+    px = lambda p: (lambda q: ((q[0] / q[3] + 1) * 400, (1 - q[1] / q[3]) * 300))(m @ [*p, z, 1])
+    corners = [px((a, b)) for a in (box["lo"][0], box["hi"][0]) for b in (box["lo"][1], box["hi"][1])]
+    assert min(p[0] for p in corners) <= 300 + 1e-6 and max(p[0] for p in corners) >= 500 - 1e-6 and (box["lo"][2], box["hi"][2]) == (1.0, 2.0)
