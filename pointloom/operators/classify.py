@@ -145,7 +145,7 @@ def instances(labelled: DataFrame, space: bool = True, clusters: dict[str, tuple
     return single.unionByName(kept.select("pid", "category", "instance_id")).unionByName(noise)
 
 
-def classified(cloud: DataFrame, mode: str = "geometric") -> DataFrame:
-    """(pid, category, instance_id, x, y, z): labels and instances in one of the modes geometric, intensity and hybrid."""
-    labels = stored(geometric_labels(cloud) if mode == "geometric" else intensity_labels(cloud), "labels")
+def classified(cloud: DataFrame, mode: str = "geometric", eps: float | None = None) -> DataFrame:
+    """(pid, category, instance_id, x, y, z): labels and instances in one of the modes geometric, intensity and hybrid; eps is that of geometric_labels()."""
+    labels = stored(geometric_labels(cloud, eps) if mode == "geometric" else intensity_labels(cloud), "labels")
     return instances(labels, mode == "geometric").join(labels.select("pid", "x", "y", "z"), "pid")

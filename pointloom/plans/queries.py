@@ -12,6 +12,7 @@ from pointloom.functions import colour, transforms
 from pointloom.operators import classify, cloth, features, filters, ground, inference, sampling, segment, spatial, stats
 from pointloom.operators.graph import dbscan, dense_ids, reachable, with_labels
 from pointloom.plans.proxy import EMBED_SQL, EVENTS_SQL, cloud_embed, cloud_events
+from pointloom.schema import PLANE_CLUSTERS, SPACE_CLUSTERS
 from pointloom.scratch import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -369,9 +370,12 @@ def adaptive_thresholds(cloud):
     return rounded(classify.intensity_thresholds(transforms.unit_height(transforms.unit_intensity(cloud))), 9)
 
 
-@events(f"""{_UNIT}, t AS (SELECT {_CUTS} FROM u)
+_INTENSITY = f"""{_UNIT}, t AS (SELECT {_CUTS} FROM u), cat AS (
     SELECT pid, CASE WHEN nz < z20 AND ni < i30 THEN 'ground' WHEN nz >= z5 AND nz < z40 AND ni >= i5 AND ni < i50 THEN 'low_vegetation' WHEN nz >= z40 AND ni >= i60 THEN 'building'
-        WHEN nz >= z20 AND ni >= i20 AND ni < i85 THEN 'tree' WHEN ni >= i95 THEN 'high_reflectivity' WHEN nz >= z20 THEN 'tree' WHEN nz >= z5 THEN 'low_vegetation' ELSE 'ground' END AS category FROM u, t""")
+        WHEN nz >= z20 AND ni >= i20 AND ni < i85 THEN 'tree' WHEN ni >= i95 THEN 'high_reflectivity' WHEN nz >= z20 THEN 'tree' WHEN nz >= z5 THEN 'low_vegetation' ELSE 'ground' END AS category FROM u, t)"""
+
+
+@events(f"{_INTENSITY} SELECT pid, category FROM cat")
 def intensity_labels(cloud):
     return classify.intensity_labels(cloud).select("pid", "category")
 
@@ -488,9 +492,12 @@ _RULE = "CASE WHEN w < 0.8 AND h < 1.2 THEN 'low_vegetation' WHEN w <= 5 AND h >
 _ALONE = "CASE WHEN z < 0.5 THEN 'low_vegetation' WHEN z > 3 THEN 'building' WHEN z > 0.5 THEN 'tree' ELSE 'other' END"
 
 
-@embed(f"""{_EDGES.format(r2=0.0064)}, {_REACH}, s AS (SELECT cloud.*, comp, count(*) OVER (PARTITION BY comp) AS k FROM cloud JOIN comp USING (pid)),
-    t AS (SELECT comp, greatest(max(x) - min(x), max(y) - min(y)) AS w, max(z) AS h FROM s WHERE k >= 2 GROUP BY comp)
-    SELECT pid, CASE WHEN k >= 2 THEN {_RULE} ELSE {_ALONE} END AS category FROM s LEFT JOIN t USING (comp)""")
+_LABELS = f"""{_EDGES.format(r2=0.0064)}, {_REACH}, s AS (SELECT cloud.*, comp, count(*) OVER (PARTITION BY comp) AS k FROM cloud JOIN comp USING (pid)),
+    t AS (SELECT comp, greatest(max(x) - min(x), max(y) - min(y)) AS w, max(z) AS h FROM s WHERE k >= 2 GROUP BY comp),
+    cat AS (SELECT pid, CASE WHEN k >= 2 THEN {_RULE} ELSE {_ALONE} END AS category FROM s LEFT JOIN t USING (comp))"""
+
+
+@embed(f"{_LABELS} SELECT pid, category FROM cat")
 def cluster_rule_labels(cloud):
     return classify.geometric_labels(cloud, 0.08).select("pid", "category")
 
@@ -502,24 +509,52 @@ def cluster_extents(cloud):
     return df.withColumns({c: F.round(c, 9) for c in ("x_ext", "y_ext", "z_ext")})
 
 
-@embed()
+def _instances_sql(table: dict[str, tuple[float, int]], space: bool) -> str:
+    """SQL of classify.instances() from a view lab (pid, x, y, z, category): views up to inst (pid, category, instance_id)."""
+    rows = ", ".join(f"('{k}', {e}::DOUBLE, {n if space else max(3, n)})" for k, (e, n) in table.items())
+    third = " + (a.z - b.z) * (a.z - b.z)" if space else ""
+    return f"""cfg(category, eps, least) AS (VALUES {rows}),
+    pts AS MATERIALIZED (SELECT lab.pid, x, y, z, category, eps, least, count(*) OVER (PARTITION BY category) AS total FROM lab JOIN cfg USING (category) QUALIFY total >= 3),
+    alone AS (SELECT pid, category FROM pts WHERE total < least{"" if space else " OR category = 'ground'"}), q AS MATERIALIZED (SELECT * FROM pts WHERE pid NOT IN (SELECT pid FROM alone)),
+    nb AS MATERIALIZED (SELECT a.pid, b.pid AS other, a.least FROM q a JOIN q b ON a.category = b.category AND abs(a.x - b.x) <= a.eps AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y){third} <= a.eps * a.eps),
+    core AS MATERIALIZED (SELECT pid FROM nb GROUP BY pid HAVING count(*) >= any_value(least)), lk AS MATERIALIZED (SELECT pid AS a, other AS b FROM nb WHERE pid IN (FROM core) AND other IN (FROM core)),
+    rch AS (SELECT pid AS a, pid AS b FROM core UNION SELECT rch.a, lk.b FROM rch JOIN lk ON lk.a = rch.b), cl AS MATERIALIZED (SELECT a AS pid, min(b) AS cluster FROM rch GROUP BY a),
+    border AS (SELECT nb.pid, min(cl.cluster) AS cluster FROM nb JOIN cl ON cl.pid = nb.other GROUP BY nb.pid),
+    db AS MATERIALIZED (SELECT q.pid, category, least, coalesce(cl.cluster, border.cluster, -1) AS cluster FROM q LEFT JOIN cl ON cl.pid = q.pid LEFT JOIN border ON border.pid = q.pid),
+    big AS (SELECT category, cluster, min(pid) AS first, count(*) AS n FROM db WHERE cluster >= 0 GROUP BY category, cluster HAVING count(*) >= any_value(least)),
+    ids AS MATERIALIZED (SELECT category, cluster, n, row_number() OVER (PARTITION BY category ORDER BY first) AS instance_id FROM big),
+    noise AS (SELECT pid, category, least, count(*) OVER (PARTITION BY category) AS n FROM db WHERE cluster < 0),
+    per AS (SELECT category, max(instance_id) AS last, arg_max(instance_id, (n, -instance_id)) AS largest FROM ids GROUP BY category),
+    extra AS (SELECT pid, category, CASE WHEN noise.n >= least THEN coalesce(last, 0) + 1 ELSE {"NULL" if space else "largest"} END AS instance_id FROM noise LEFT JOIN per USING (category)),
+    inst AS (SELECT pid, category, 1::BIGINT AS instance_id FROM alone UNION ALL SELECT db.pid, db.category, ids.instance_id FROM db JOIN ids USING (category, cluster) UNION ALL FROM extra WHERE instance_id IS NOT NULL)"""
+
+
+@embed(f"lab AS (SELECT pid, x, y, z, ['tree', 'building', 'low_vegetation', 'other'][classification % 4 + 1] AS category FROM cloud), {_instances_sql(SPACE_CLUSTERS, True)} SELECT pid, category, instance_id FROM inst")
 def geometric_instances(cloud):
     return classify.instances(cloud.withColumn("category", F.element_at(F.array(*map(F.lit, ("tree", "building", "low_vegetation", "other"))), (F.col("classification") % 4 + 1).cast("int"))))
 
 
-@events()
+# the plane is drawn five times smaller, dense enough for clusters, border points and noise
+_BY_INTENSITY = f"{_INTENSITY}, lab AS (SELECT pid, x / 5 AS x, y / 5 AS y, z, category FROM cloud JOIN cat USING (pid)), {_instances_sql(PLANE_CLUSTERS, False)}"
+
+
+def _smaller(cloud: DataFrame) -> DataFrame:
+    return cloud.withColumns({c: F.col(c) / 5 for c in "xy"})
+
+
+@events(f"{_BY_INTENSITY} SELECT pid, category, instance_id FROM inst")
 def intensity_instances(cloud):
-    return classify.classified(cloud, "intensity").select("pid", "category", "instance_id")
+    return classify.classified(_smaller(cloud), "intensity").select("pid", "category", "instance_id")
 
 
-@events()
+@events(f"{_BY_INTENSITY} SELECT category, instance_id, count(*) AS n FROM inst GROUP BY ALL")
 def hybrid_instances(cloud):
-    return classify.classified(cloud, "hybrid").groupBy("category", "instance_id").agg(F.count("*").alias("n"))
+    return classify.classified(_smaller(cloud), "hybrid").groupBy("category", "instance_id").agg(F.count("*").alias("n"))
 
 
-@embed()
+@embed(f"{_LABELS}, lab AS (SELECT pid, x, y, z, category FROM cloud JOIN cat USING (pid)), {_instances_sql(SPACE_CLUSTERS, True)} SELECT category, instance_id, count(*) AS n FROM inst GROUP BY ALL")
 def geometric_classes(cloud):
-    return classify.classified(cloud).groupBy("category", "instance_id").agg(F.count("*").alias("n"))
+    return classify.classified(cloud, eps=0.08).groupBy("category", "instance_id").agg(F.count("*").alias("n"))
 
 
 # windows and votes
