@@ -7,8 +7,8 @@ The whole normalised text is part of the grouping key at every stage, so texts
 are compared in full and a digest that two texts share splits into two groups.
 
 Defined results: null text counts as empty; null ids rank after all others;
-of rows that agree in text and id (repeated rows) one is kept; an empty table
-gives an empty result; other columns are carried by deduplicated() untouched,
+of rows that agree in text and id (repeated rows) one is kept; texts of any
+length are compared whole; an empty table gives an empty result; other columns are carried by deduplicated() untouched,
 whatever their names.
 """
 

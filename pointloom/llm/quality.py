@@ -6,8 +6,8 @@ a verdict is `failed_rules & mask == 0`, so a new policy or an ablation reads
 the ledger and never the texts. Everything is a column expression.
 
 Defined results: a null or empty text has no words, every count is 0 and it
-fails `few_words`; repeated rows are judged alike, one result row each; null ids
-stay null; an empty table gives an empty ledger; input columns whose names clash
+fails `few_words`; repeated rows are judged alike, one result row each; a very
+long text is measured whole; null ids stay null; an empty table gives an empty ledger; input columns whose names clash
 with measurements are not read and not returned by ledger().
 """
 
