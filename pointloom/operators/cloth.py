@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TILE, MARGIN = 256, 24
+TILE, MARGIN = 256, 24  # a tile is no narrower than the margin
 
 
 def relaxed(surface: np.ndarray, iterations: int = 500, rigidness: int = 2, step: float = 0.65, settled: float = 0.005) -> np.ndarray:
