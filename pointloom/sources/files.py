@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -13,6 +14,7 @@ from pyspark.sql.datasource import DataSourceArrowWriter, DataSourceReader, Inpu
 
 RANGE_POINTS = 1_000_000  # points of an input partition
 BATCH_POINTS = 100_000
+HEADERS_AT_ONCE = 32
 FILE_POINTS = 1_000_000  # points of a written file
 
 
@@ -60,10 +62,16 @@ class RangeReader(DataSourceReader):
 
     def partitions(self) -> Sequence[InputPartition]:
         fs, _ = filesystem(self.path)
-        out, pid = [], 0
-        for name in listing(self.path):
+
+        def look(name: str) -> Points:
             with fs.open_input_file(name) as f:
-                points = self.look(f)
+                return self.look(f)
+
+        names = listing(self.path)
+        with ThreadPoolExecutor(HEADERS_AT_ONCE) as pool:
+            looked = list(pool.map(look, names))
+        out, pid = [], 0
+        for name, points in zip(names, looked, strict=True):
             # a file whose points can't be cut by place is read as a whole
             step = RANGE_POINTS if points.record is not None else max(1, points.n)
             out += [Range(name, k, min(step, points.n - k), pid + k, points) for k in range(0, points.n, step)]
