@@ -123,16 +123,7 @@ def instances(labelled: DataFrame, space: bool = True, clusters: dict[str, tuple
     if not space:
         whole |= F.col("category") == "ground"
     single = points.where(whole).select("pid", "category", F.lit(1).alias("instance_id"))
-    parts = []
-    for eps in sorted({e for e, _ in table.values()}):  # one grid per radius
-        for least in sorted({n for e, n in table.values() if e == eps}):
-            least = least if space else max(3, least)
-            group = points.where(~whole & (F.col("eps") == eps) & (F.col("least") == least))
-            parts.append(dbscan(group, eps, least, dims, ("category",)).withColumn("least", F.lit(least)))
-    labels = parts[0]
-    for p in parts[1:]:
-        labels = labels.unionByName(p)
-    labels = stored(labels, "dbscan")
+    labels = stored(dbscan(points.where(~whole), F.col("eps"), F.col("least"), dims, ("category", "eps", "least")), "dbscan")
     sizes = labels.groupBy("category", "cluster", "least").agg(F.count("*").alias("n")).where(F.col("n") >= F.col("least"))
     kept = stored(dense_ids(labels.where("cluster >= 0").join(sizes, ["category", "cluster", "least"]), ("category",), "cluster"), "kept")
     per = kept.groupBy("category", "instance_id").agg(F.count("*").alias("n")).groupBy("category").agg(F.max("instance_id").alias("last"), F.max(F.struct("n", (-F.col("instance_id")).alias("back")))["back"].alias("largest"))

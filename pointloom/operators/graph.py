@@ -56,11 +56,11 @@ def dbscan(cloud: DataFrame, eps: float | Column, least: int | Column, dims: tup
     A point counts itself. Core points within eps are one cluster; a border point
     goes to the cluster among its core neighbours whose name is least, which is
     the one that a scan in pid order would have reached first.
-    eps may be a column of `by` with one join per distinct radius (dbscan_by_class).
+    eps and least may be columns of `by`: groups of different radii share the join
+    and the rounds of components.
     """
-    near = stored(neighbours(cloud, cloud, eps, dims, by), "near")
-    least = least if isinstance(least, Column) else F.lit(least)
-    core = stored(near.groupBy("pid").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("pid"), "core")
+    near = stored(neighbours(cloud, cloud, eps, dims, by).drop("d2"), "near")
+    core = stored(near.groupBy("pid", *by).agg(F.count("*").alias("__n")).where(F.col("__n") >= least).select("pid"), "core")
     edges = near.where("pid < other").select("pid", "other").join(core, "pid", "left_semi").join(core.withColumnRenamed("pid", "other"), "other", "left_semi")
     labels = with_labels(core, edges)
     from_core = near.select("pid", "other").join(labels.withColumnsRenamed({"pid": "other", "comp": "cluster"}), "other")

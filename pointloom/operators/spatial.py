@@ -40,12 +40,13 @@ def _cells(df: DataFrame, dims: Sequence[str], width: Column, prefix: str) -> Da
 def neighbours(left: DataFrame, right: DataFrame, radius: float | Column, dims: Sequence[str] = ("x", "y"), by: Sequence[str] = ()) -> DataFrame:
     """(pid, other, d2) for all left and right points within radius of one another, a point and itself included if it is on both sides.
 
-    Sides need pid, the dims and, to join only equal values, the columns `by`.
+    Sides need pid, the dims and, to join only equal values, the columns `by`. A radius
+    that is a column must follow from those: points that meet have the same.
     """
     r = radius if isinstance(radius, Column) else F.lit(float(radius))
-    a = left.select(F.col("pid"), *[F.col(d).alias(f"a_{d}") for d in dims], *by)
-    b = right.select(F.col("pid").alias("other"), *[F.col(d).alias(f"b_{d}") for d in dims], *by)
-    a, b = _cells(a, dims, r, "a_"), _cells(b, dims, r, "b_")
+    a = left.select(F.col("pid"), *[F.col(d).alias(f"a_{d}") for d in dims], r.alias("a_r"), *by)
+    b = right.select(F.col("pid").alias("other"), *[F.col(d).alias(f"b_{d}") for d in dims], r.alias("b_r"), *by)
+    a, b = _cells(a, dims, F.col("a_r"), "a_"), _cells(b, dims, F.col("b_r"), "b_")
     for k in range(len(dims)):
         c = f"b_c{k}"
         b = b.withColumn(c, F.explode(F.array(F.col(c) - 1, F.col(c), F.col(c) + 1)))
@@ -56,7 +57,7 @@ def neighbours(left: DataFrame, right: DataFrame, radius: float | Column, dims:
     for c in by:
         on &= a[c].eqNullSafe(b[c])
     d2 = square_distance("a_", "b_", dims)
-    joined = a.join(b, on & (d2 <= r * r))
+    joined = a.join(b, on & (d2 <= F.col("a_r") * F.col("a_r")))
     return joined.select("pid", "other", d2.alias("d2"), *[a[c] for c in by])
 
 
