@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointloom.llm import chat, exact, idfile, mixing, near, pieces, pii, quality, secrets, sharding
+from pointloom.llm import centroids, chat, exact, idfile, mixing, near, pieces, pii, quality, secrets, sharding
 
 
 def tokenizer(name: str) -> str:
@@ -62,6 +62,10 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(documents(spark, sf_dir))
 
 
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.report(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_preferences": op1_chat_preferences,
     "op2_secrets": op2_secrets,
@@ -73,8 +77,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_personal_data": op10_personal_data,
+    "op13_centroids": op13_centroids,
 }
 
+
+
+def _centroid_sql(rounds: int = centroids.ROUNDS) -> str:
+    """A common table for each round of assignment and of means."""
+    nearest = """a{r} AS MATERIALIZED (SELECT vec_id, v, k, d FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, k) AS nth FROM
+        (SELECT vec_id, v, k, list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM v, c{r})) WHERE nth = 1)"""
+    means = """m{n} AS (SELECT k, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c FROM (SELECT k, i, sum(x) AS s, count(*) AS n FROM (SELECT k, unnest(v) AS x, unnest(range(64)) AS i FROM a{r}) GROUP BY k, i) GROUP BY k),
+        c{n} AS MATERIALIZED (SELECT k, coalesce(m{n}.c, c{r}.c)::BIGINT[] AS c FROM c{r} LEFT JOIN m{n} USING (k))"""
+    steps = [text for r in range(rounds) for text in (nearest.format(r=r), means.format(r=r, n=r + 1))]
+    return f"""
+        WITH v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+            WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+        c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS k, v AS c FROM (SELECT sha256('3:' || vec_id) AS h, v FROM v ORDER BY h LIMIT 8)),
+        {", ".join(steps)}, {nearest.format(r=rounds)}
+        SELECT vec_id, k::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY k))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+        FROM a{rounds} JOIN c{rounds} USING (k)
+    """
+
+
 _SPACE = r"[\x20\x09-\x0D]"
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -126,4 +150,5 @@ ORACLE_SQL: dict[str, str] = {
                      + 16 * (2 * word_chars < 3 * n_words)::BIGINT + 32 * (word_chars > 30 * n_words)::BIGINT)::BIGINT AS failed_rules FROM m)
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed_rules & 3) <> 0 AS base_failed, failed_rules = 0 AS kept, failed_rules FROM b
     """,
+    "op13_centroids": _centroid_sql(),
 }
