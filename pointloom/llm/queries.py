@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointloom.llm import centroids, chat, exact, idfile, mixing, near, pieces, pii, quality, secrets, sharding
+from pointloom.llm import centroids, chat, exact, idfile, mixing, near, pieces, pii, quality, ranked, secrets, sharding
 
 
 def tokenizer(name: str) -> str:
@@ -62,6 +62,10 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(documents(spark, sf_dir))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.ranking(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.report(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -77,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_personal_data": op10_personal_data,
+    "op11_ranked_search": op11_ranked_search,
     "op13_centroids": op13_centroids,
 }
 
@@ -150,5 +155,16 @@ ORACLE_SQL: dict[str, str] = {
                      + 16 * (2 * word_chars < 3 * n_words)::BIGINT + 32 * (word_chars > 30 * n_words)::BIGINT)::BIGINT AS failed_rules FROM m)
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed_rules & 3) <> 0 AS base_failed, failed_rules = 0 AS kept, failed_rules FROM b
     """,
+    "op11_ranked_search": rf"""
+        WITH t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{ranked.TERM}') AS terms FROM documents),
+        d AS (SELECT doc_id, terms, len(terms) AS n FROM t WHERE len(terms) > 0),
+        c AS (SELECT count(*) AS docs, sum(n)::BIGINT AS total FROM d),
+        q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{ranked.TERM}')) AS term FROM benchmark) GROUP BY ALL),
+        p AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, n, unnest(terms) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+        f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+        s AS (SELECT doc_id, term, floor(1000 * ln((2 * docs + 2) / (2 * df + 1)))::BIGINT * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // total))) AS score FROM p JOIN f USING (term), c),
+        r AS (SELECT item_id, doc_id, sum(times * score)::BIGINT AS score FROM q JOIN s USING (term) GROUP BY ALL)
+        SELECT * FROM (SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER AS rank, doc_id, score FROM r WHERE score > 0) WHERE rank <= 20
+    """,
     "op13_centroids": _centroid_sql(),
 }
