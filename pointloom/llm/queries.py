@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointloom.llm import centroids, chat, exact, idfile, mixing, near, pieces, pii, quality, ranked, secrets, sharding
+from pointloom.llm import centroids, chat, exact, idfile, mixer, mixing, near, pieces, pii, quality, ranked, secrets, sharding
 
 
 def tokenizer(name: str) -> str:
@@ -66,6 +66,10 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.ranking(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op12_mixing_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixer.scored(documents(spark, sf_dir))
+
+
 def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.report(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -82,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sentencepiece": op9_sentencepiece,
     "op10_personal_data": op10_personal_data,
     "op11_ranked_search": op11_ranked_search,
+    "op12_mixing_scores": op12_mixing_scores,
     "op13_centroids": op13_centroids,
 }
 
