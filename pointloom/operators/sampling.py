@@ -33,8 +33,9 @@ def random(cloud: DataFrame, fraction: float, seed: int = 0) -> DataFrame:
 
 
 def windows(cloud: DataFrame, n: int, size: int = 40_960, overlap: int = 2_048) -> DataFrame:
-    """The cloud with a window number: windows of `size` points by pid, each sharing `overlap` points with the one before; a point in two windows comes twice."""
+    """The cloud with a window number: windows of `size` points by pid, each sharing `overlap` points with the one before; a point in two windows comes twice. Pids count from 0; one of n or above is an error."""
     step = size - overlap
     last = max(0, -(-(n - size) // step)) if n > size else 0
     first = F.greatest(F.lit(0).cast("long"), F.ceil((F.col("pid") - (size - 1)) / step))
-    return cloud.withColumn("window", F.explode(F.sequence(first, F.least(F.lit(last).cast("long"), F.floor(F.col("pid") / step)))))
+    pid = F.when(F.col("pid") < n, F.col("pid")).otherwise(F.raise_error(F.concat(F.lit(f"pid beyond the {n} points: "), F.col("pid").cast("string"))))
+    return cloud.withColumn("pid", pid).withColumn("window", F.explode(F.sequence(first, F.least(F.lit(last).cast("long"), F.floor(F.col("pid") / step)))))

@@ -14,6 +14,9 @@ from pointloom.operators.graph import dbscan, dense_ids, reachable, with_labels
 from pointloom.plans.proxy import EMBED_SQL, EVENTS_SQL, cloud_embed, cloud_events
 from pointloom.schema import PLANE_CLUSTERS, SPACE_CLUSTERS
 from pointloom.scratch import new_path
+from pointloom.sources import instances
+from pointloom.sources.ranges import catalogue, read_ranges
+from pointloom.sources.formats import RawXyz
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -670,7 +673,7 @@ def _through(cloud: DataFrame, kind: str, columns: list[str], **options: str) ->
     path = new_path(spark, kind)
     exact = cloud.select("pid", "x", F.floor("y").cast("double").alias("y"), (F.floor(F.col("z") * 4) / 4).alias("z"), "intensity", "classification")
     exact.select("pid", *columns).write.format(kind).options(**options).mode("append").save(path)
-    back = spark.read.format(kind).options(**options).load(path)
+    back = sources.read_points(spark, path, kind=kind, **options)
     return back.select(*[F.round(F.col(c).cast("double"), 3).alias(c) for c in columns])
 
 
@@ -713,6 +716,73 @@ def file_las(cloud):
     return _through(cloud, "las", ["x", "y", "z", "intensity", "classification"])
 
 
+@_files("x", "y", "z", "intensity")
+def file_ply(cloud):
+    """Lines of a PLY file, read by ranges of bytes."""
+    return _through(cloud, "ply", ["x", "y", "z", "intensity"], ascii="true")
+
+
+@_files("x", "y", "z", "intensity")
+def file_ply_binary(cloud):
+    return _through(cloud, "ply", ["x", "y", "z", "intensity"])
+
+
+@_files("x", "y", "z", "intensity")
+def file_pcd(cloud):
+    """Lines of a PCD file, read by ranges of bytes."""
+    return _through(cloud, "pcd", ["x", "y", "z", "intensity"], ascii="true")
+
+
+@events(f"e AS (SELECT {_EXACT} FROM cloud) SELECT x, y, z, intensity, classification::INTEGER AS classification, pid % 7 AS tree_id, pid % 5 AS building_id, (count(*) OVER ())::BIGINT AS n_pids FROM e")
+def file_laz(cloud):
+    """Compressed points with tree and building ids; their pids are 0, 1, ... whatever the files."""
+    spark = cloud.sparkSession
+    sources.register(spark)
+    path = new_path(spark, "laz")
+    exact = cloud.select("pid", "x", F.floor("y").cast("double").alias("y"), (F.floor(F.col("z") * 4) / 4).alias("z"), "intensity", "classification", (F.col("pid") % 7).alias("tree_id"), (F.col("pid") % 5).alias("building_id"))
+    exact.repartition(8).write.format("las").option("compress", "true").mode("append").save(path)
+    back = sources.read_points(spark, path, kind="las")
+    pids = back.agg((F.max("pid") + 1).alias("n_pids"))
+    return back.join(F.broadcast(pids)).select(*[F.round(F.col(c), 3).alias(c) for c in ("x", "y", "z", "intensity")], "classification", "tree_id", "building_id", "n_pids")
+
+
+@events(f"""e AS (SELECT {_EXACT} FROM cloud), n AS (SELECT *, CASE WHEN x < 120 THEN 'Other_points' ELSE 'Kind' || classification || '_' || floor(x / 120)::BIGINT END AS name FROM e)
+    SELECT name, count(*) AS points, count(*) AS listed, round(min(x), 3) AS x_min, round(max(x), 3) AS x_max, round(avg(y), 4) AS y_mean, round(min(z), 3) AS z_min, round(max(z), 3) AS z_max, round(avg(z), 4) AS z_mean FROM n GROUP BY name""")
+def instance_files(cloud):
+    """A file for each instance and one for the rest, read back, beside the list of them."""
+    spark = cloud.sparkSession
+    path = new_path(spark, "instances")
+    exact = cloud.select("pid", "x", F.floor("y").cast("double").alias("y"), (F.floor(F.col("z") * 4) / 4).alias("z"), F.concat(F.lit("Kind"), "classification").alias("prefix"), F.floor(F.col("x") / 120).alias("instance_id"))
+    instances.write_instance_files(exact, path, piece=2000)
+    files = f"{path}/files"
+    source = RawXyz({"path": files})
+    back = read_ranges(catalogue(spark, source, files), source, files, file_column="file")
+    back = back.withColumn("name", F.regexp_replace("file", r"(\.\d{5})?\.bin$", "")).groupBy("name").agg(F.count("*").alias("points"), *[F.round(f(c), 3).alias(f"{c}_{n}") for c in "xz" for n, f in (("min", F.min), ("max", F.max))], F.round(F.avg("y"), 4).alias("y_mean"))
+    listed = spark.read.json(f"{path}/instances.json").select("name", F.col("count").alias("listed"), F.round("z_mean", 4).alias("z_mean"))
+    return back.join(listed, "name", "full")
+
+
+@events("SELECT row_number() OVER (ORDER BY pid) - 1 AS pid, classification AS label FROM cloud")
+def labels_file(cloud):
+    """Labels written in pid order by ranges, and read back."""
+    spark = cloud.sparkSession
+    path = new_path(spark, "labels")
+    instances.write_labels(sources.with_pids(cloud.withColumn("at", F.col("pid")), ["at"]).select("pid", F.col("classification").alias("label")), path)
+    return spark.read.format("labels").load(path)
+
+
+@events(f"e AS (SELECT {_EXACT} FROM cloud) SELECT pid % 4 AS file, x, y, z FROM e WHERE x BETWEEN 10 AND 200 AND y BETWEEN 3 AND 400 AND z BETWEEN 2 AND 60")
+def crop_of_files(cloud):
+    """A box cut from files; those whose head misses the box aren't read."""
+    spark = cloud.sparkSession
+    sources.register(spark)
+    path = new_path(spark, "tiles")
+    exact = cloud.select("pid", "x", F.floor("y").cast("double").alias("y"), (F.floor(F.col("z") * 4) / 4).alias("z"), (F.col("pid") % 4).cast("int").alias("classification"))
+    exact.repartitionByRange(6, "x").write.format("las").mode("append").save(path)
+    back = sources.read_points(spark, path, box=((10, 3, 2), (200, 400, 60)))
+    return back.select(F.col("classification").cast("long").alias("file"), *[F.round(c, 3).alias(c) for c in "xyz"])
+
+
 @events("SELECT sum(1)::BIGINT AS points, min(x) AS x0, max(x) AS x1, min(floor(z * 4) / 4) AS z0, max(floor(z * 4) / 4) AS z1 FROM cloud")
 def file_las_header(cloud):
     """What the headers of all files of a cloud say together."""

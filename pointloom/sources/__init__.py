@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pointloom.operators.inference import summary
 from pointloom.operators.prefix import numbered
+from pointloom.sources.ranges import catalogue, read_ranges
 from pointloom.sources.files import filesystem, listing
-from pointloom.sources.formats import Las, LasHeader, Lasd, Pcbn, Pcd, Ply, RawXyz
+from pointloom.sources.formats import Las, LasHeader, Lasd, Obj, Pcbn, Pcd, Ply, RawXyz, Text
 from pointloom.scratch import stored
 
 #: First bytes of each format, and file name endings that are read as text.
@@ -16,6 +19,8 @@ MAGICS = {b"LASF": "las", b"PCBN": "pcbn", b"ply": "ply", b"#PCD": "pcd", b"# .P
 TEXT_SUFFIXES = ("txt", "csv", "xyz")
 BINARY_SUFFIXES = ("las", "laz", "ply", "pcd", "obj", "bin")
 
+SOURCES = {"rawxyz": RawXyz, "lasd": Lasd, "pcbn": Pcbn, "las": Las, "ply": Ply, "pcd": Pcd, "text": Text, "obj": Obj}
+
 
 def register(spark: SparkSession) -> None:
     for source in (RawXyz, Lasd, Pcbn, Las, LasHeader, Ply, Pcd):
@@ -23,19 +28,13 @@ def register(spark: SparkSession) -> None:
 
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of numbers split by commas or white space: x, y, z and, if there is a fourth number, intensity, else 128. Blank lines, # comments and lines without three numbers are skipped; pids follow no order but are stable."""
-    parts = F.split(F.trim("value"), r"[\s,]+")
-    number = lambda k: F.get(parts, F.lit(k)).try_cast("double")
-    rows = spark.read.text(path).where((F.trim("value") != "") & ~F.trim("value").startswith("#"))
-    rows = rows.select(*[number(k).alias(c) for k, c in enumerate("xyz")], F.coalesce(number(3), F.lit(128.0)).alias("intensity")).where("x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL")
-    return rows.select(F.monotonically_increasing_id().alias("pid"), "*")
+    """Points of text files (formats.Text), their pids 0, 1, ... by file and line."""
+    return read_points(spark, path, kind="text")
 
 
 def read_obj(spark: SparkSession, path: str) -> DataFrame:
-    """Vertices of OBJ files."""
-    parts = F.split(F.trim("value"), r"\s+")
-    rows = spark.read.text(path).where(F.col("value").rlike(r"^\s*v\s"))
-    return rows.select(F.monotonically_increasing_id().alias("pid"), *[F.get(parts, F.lit(k + 1)).try_cast("double").alias(c) for k, c in enumerate("xyz")])
+    """Vertices of OBJ files, their pids 0, 1, ... by file and line."""
+    return read_points(spark, path, kind="obj")
 
 
 def format_of(path: str) -> str:
@@ -55,12 +54,11 @@ def format_of(path: str) -> str:
     return "text"
 
 
-def read_points(spark: SparkSession, path: str, **options: str) -> DataFrame:
+def read_points(spark: SparkSession, path: str, box: tuple[Sequence[float], Sequence[float]] | None = None, kind: str | None = None, **options: str) -> DataFrame:
+    """A cloud of one file or of all files of a folder, of any format; with a box only the points in it, and files whose head says that they have none aren't read. Tasks open, count and read the files."""
     register(spark)
-    kind = format_of(path)
-    if kind in ("text", "obj"):
-        return read_text(spark, path) if kind == "text" else read_obj(spark, path)
-    return spark.read.format(kind).options(**options).load(path)
+    source = SOURCES[kind or format_of(path)](options | {"path": path})
+    return read_ranges(catalogue(spark, source, path), source, path, box)
 
 
 def local_files(spark: SparkSession, path: str, suffixes: tuple[str, ...] = (*BINARY_SUFFIXES, *TEXT_SUFFIXES)) -> DataFrame:

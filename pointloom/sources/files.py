@@ -36,12 +36,17 @@ def listing(path: str) -> list[str]:
 
 @dataclass
 class Points:
-    """Where a file's points are: count, kind of one record, place of the first, and what the format needs to make columns of them."""
+    """Where a file's points are: count (None: to be counted), kind of one record, place of the first, and what the format needs to make columns of them.
 
-    n: int
+    chunks are (place, bytes, points) of parts that can only be read whole; lines says that points are lines.
+    """
+
+    n: int | None
     record: np.dtype | None = None
     offset: int = 0
     more: dict = field(default_factory=dict)
+    chunks: list[tuple[int, int, int]] | None = None
+    lines: bool = False
 
 
 @dataclass
@@ -54,11 +59,14 @@ class Range(InputPartition):
 
 
 class RangeReader(DataSourceReader):
-    """Reads fixed-size records by ranges. A format says how to look at a file and how to make columns."""
+    """Reads records by ranges and compressed points by chunks. A format says how to look at a file and how to make columns.
+
+    The driver opens every file here; pointloom.sources.read_points() leaves that to tasks.
+    """
 
     def __init__(self, path: str, schema, look, columns):
         self.path, self.names, self.look, self.columns = path, [f.name for f in schema.fields], look, columns
-        self.kinds = {f.name: _arrow(f.dataType.simpleString()) for f in schema.fields}
+        self.kinds = {f.name: arrow_kind(f.dataType.simpleString()) for f in schema.fields}
 
     def partitions(self) -> Sequence[InputPartition]:
         fs, _ = filesystem(self.path)
@@ -72,9 +80,15 @@ class RangeReader(DataSourceReader):
             looked = list(pool.map(look, names))
         out, pid = [], 0
         for name, points in zip(names, looked, strict=True):
-            # a file whose points can't be cut by place is read as a whole
-            step = RANGE_POINTS if points.record is not None else max(1, points.n)
-            out += [Range(name, k, min(step, points.n - k), pid + k, points) for k in range(0, points.n, step)]
+            if points.more["columns"] != looked[0].more["columns"]:
+                raise ValueError(f"{name} has the columns {points.more['columns']}, the first file has {looked[0].more['columns']}")
+            if points.lines:
+                raise ValueError(f"{name}: points that are lines are counted by tasks, read them with pointloom.sources.read_points()")
+            if points.chunks is None:
+                out += [Range(name, k, min(RANGE_POINTS, points.n - k), pid + k, points) for k in range(0, points.n, RANGE_POINTS)]
+            else:
+                starts = np.cumsum([0, *(n for *_, n in points.chunks)]).tolist()
+                out += [Range(name, k, n, pid + k, points) for k, (*_, n) in zip(starts, points.chunks, strict=False)]
             pid += points.n
         return out or [Range("", 0, 0, 0, Points(0))]
 
@@ -83,14 +97,15 @@ class RangeReader(DataSourceReader):
             return
         fs, _ = filesystem(self.path)
         with fs.open_input_file(partition.path) as f:
-            for k in range(partition.first, partition.first + partition.n, BATCH_POINTS if partition.points.record is not None else partition.n):
-                n = min(BATCH_POINTS if partition.points.record is not None else partition.n, partition.first + partition.n - k)
+            step = BATCH_POINTS if partition.points.chunks is None else partition.n
+            for k in range(partition.first, partition.first + partition.n, step):
+                n = min(step, partition.first + partition.n - k)
                 made = self.columns(f, partition.points, k, n) | {"pid": np.arange(partition.pid + k - partition.first, partition.pid + k - partition.first + n)}
                 empty = pa.nulls(n)
                 yield pa.RecordBatch.from_arrays([(pa.array(np.ascontiguousarray(made[c])) if c in made else empty).cast(self.kinds[c]) for c in self.names], self.names)
 
 
-def _arrow(kind: str) -> pa.DataType:
+def arrow_kind(kind: str) -> pa.DataType:
     return {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string()}[kind]
 
 

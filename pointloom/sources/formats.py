@@ -15,6 +15,7 @@ import numpy as np
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter
 from pyspark.sql.types import StructType
 
+from pointloom.sources import laz
 from pointloom.sources.files import Points, PointWriter, RangeReader, filesystem, floats, listing, records
 
 #: Canonical field names of LAS files and their columns.
@@ -32,9 +33,10 @@ def ddl(columns: list[str]) -> str:
 
 
 class PointSource(DataSource):
-    """look(file) finds the points; columns(file, points, first, n) reads some; encode(columns, n) makes a file."""
+    """look(file) finds the points; columns(file, points, first, n) reads some; encode(columns, n) makes a file. Of formats of lines, count(points, lines) and parsed(points, lines) take some whole lines."""
 
     suffix = "bin"
+    of_lines = False  # whether a file's points may be lines
 
     def look(self, f) -> Points:
         raise NotImplementedError
@@ -61,7 +63,7 @@ class PointSource(DataSource):
         return RangeReader(self.options["path"], schema, self.look, self.columns)
 
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
-        return PointWriter(self.options["path"], self.suffix, self.encode)
+        return PointWriter(self.options["path"], "laz" if self.options.get("compress", "false") == "true" else self.suffix, self.encode)
 
 
 class RawXyz(PointSource):
@@ -214,7 +216,7 @@ def las_header(f) -> dict:
     bounds = struct.unpack_from("<6d", h, 179)
     if minor >= 4 and size >= 375:
         n = struct.unpack_from("<Q", h, 247)[0] or n
-    extra, at = [], size
+    extra, at, coding = [], size, None
     for _ in range(n_vlr):
         f.seek(at)
         v = f.read(54)
@@ -222,15 +224,17 @@ def las_header(f) -> dict:
         if user == b"LASF_Spec" and record == 4:
             body = f.read(length_after)
             extra += [(body[k + 4 : k + 36].rstrip(b"\0").decode(), body[k + 2]) for k in range(0, len(body) - 191, 192)]
+        elif user == laz.VLR_USER and record == laz.VLR_RECORD:
+            coding = f.read(length_after)
         at += 54 + length_after
     return {
         "version": f"{major}.{minor}", "point_format": fmt & 0x3F, "compressed": fmt & 0x80 != 0, "point_count": n, "mins": [bounds[1], bounds[3], bounds[5]], "maxs": [bounds[0], bounds[2], bounds[4]], "scale": list(scale), "offset": list(origin),
-        "generating_software": h[58:90].rstrip(b"\0").decode("latin-1"), "creation_date": f"{year}-{day:03d}" if year else "", "data_offset": offset, "record_length": length, "extra": extra,
+        "generating_software": h[58:90].rstrip(b"\0").decode("latin-1"), "creation_date": f"{year}-{day:03d}" if year else "", "data_offset": offset, "record_length": length, "extra": extra, "coding": coding,
     }
 
 
 class Las(PointSource):
-    """LAS 1.2 to 1.4, point formats 0 to 3 and 6 to 8, with extra bytes. Option fields= limits the columns."""
+    """LAS 1.2 to 1.4, point formats 0 to 3 and 6 to 8, and LAZ of formats 0 to 3, with extra bytes. Option fields= limits the columns; compress=true writes LAZ."""
 
     suffix = "las"
 
@@ -240,8 +244,8 @@ class Las(PointSource):
 
     def look(self, f) -> Points:
         h = las_header(f)
-        if h["compressed"]:
-            raise ValueError("compressed LAZ points can't be read: no codec is installed")
+        if h["compressed"] and (h["point_format"] > 3 or not h["coding"]):
+            raise ValueError(f"LAZ of point format {h['point_format']} isn't supported" if h["coding"] else "LAZ points without a record of their coding")
         if h["point_format"] not in _FORMATS:
             raise ValueError(f"point format {h['point_format']} isn't supported")
         kinds = list(_FORMATS[h["point_format"]])
@@ -252,15 +256,23 @@ class Las(PointSource):
                 used += np.dtype(_EXTRA[kind]).itemsize
         if used < h["record_length"]:
             kinds.append(("_rest", f"V{h['record_length'] - used}"))
-        n = min(h["point_count"], max(0, (f.size() - h["data_offset"]) // h["record_length"]))
+        n = h["point_count"] if h["compressed"] else min(h["point_count"], max(0, (f.size() - h["data_offset"]) // h["record_length"]))
+        chunks = laz.chunk_table(f, h["data_offset"], n, laz.coding(h["coding"])) if h["compressed"] else None
         names = ["x", "y", "z", *[c for c, _ in kinds if c not in ("X", "Y", "Z", "flags", "flags2", "_rest")], "return_number", "number_of_returns"]
         if wanted := {x.strip().lower() for x in self.options.get("fields", "").split(",") if x.strip()}:
             known = {v: k.lower() for k, v in FIELD_COLUMNS.items()}
             names = [c for c in names if c in "xyz" or c.lower() in wanted or known.get(c) in wanted]
-        return Points(n, np.dtype(kinds), h["data_offset"], {"columns": names, "scale": h["scale"], "offset": h["offset"], "new": h["point_format"] >= 6})
+        return Points(n, np.dtype(kinds), h["data_offset"], {"columns": names, "scale": h["scale"], "offset": h["offset"], "format": h["point_format"], "bounds": (h["mins"], h["maxs"])}, chunks)
 
     def columns(self, f, points: Points, first: int, n: int) -> dict[str, np.ndarray]:
-        rows, new = records(f, points, first, n), points.more["new"]
+        new = points.more["format"] >= 6
+        if points.chunks is None:
+            rows = records(f, points, first, n)
+        else:  # a chunk, from its first point on
+            starts = np.cumsum([0, *(m for *_, m in points.chunks)])
+            at, size, held = points.chunks[int(np.searchsorted(starts, first, side="right")) - 1]
+            f.seek(at)
+            rows = np.frombuffer(laz.decode_chunk(f.read(size), held, laz.items_of(points.more["format"], points.record.itemsize)), points.record)
         out = {c: rows[C] * s + o for c, C, s, o in zip("xyz", "XYZ", points.more["scale"], points.more["offset"], strict=True)}
         for c in points.more["columns"]:
             if c == "return_number":
@@ -274,7 +286,7 @@ class Las(PointSource):
         return out
 
     def encode(self, data, n) -> bytes:
-        """LAS 1.2 of format 2 with colours, else 0; with tree or building ids LAS 1.4 of format 3 with extra bytes, offset at whole metres."""
+        """LAS 1.2 of format 2 with colours, else 0; with tree or building ids LAS 1.4 of format 3 with extra bytes, offset at whole metres. The same compressed, if asked for."""
         extra = [(name, c) for name, c in (("TreeID", "tree_id"), ("BuildingID", "building_id")) if c in data]
         rgb = all(c in data for c in "rgb")
         fmt = 3 if extra else 2 if rgb else 0
@@ -294,17 +306,21 @@ class Las(PointSource):
         if extra:
             body = b"".join(struct.pack("<2xBB32s4x24x24x24x24x24x32s", 5, 0, name.encode(), b"") for name, _ in extra)
             vlr = struct.pack("<2x16sHH32s", b"LASF_Spec", 4, len(body), b"extra bytes") + body
+        items = laz.items_of(fmt, rows.dtype.itemsize) if self.options.get("compress", "false") == "true" else []
+        n_vlr = bool(vlr) + bool(items)
+        vlr += laz.item_record(items) if items else b""
         size, minor = (375, 4) if extra else (227, 2)
         head = bytearray(size)
         head[:4], head[24], head[25] = b"LASF", 1, minor
         head[26:58], head[58:90] = b"pointloom".ljust(32, b"\0"), b"pointloom".ljust(32, b"\0")
-        struct.pack_into("<HHHIIBHI", head, 90, 1, 2024, size, size + len(vlr), bool(vlr), fmt, rows.dtype.itemsize, n)
+        struct.pack_into("<HHHIIBHI", head, 90, 1, 2024, size, size + len(vlr), n_vlr, fmt | (0x80 if items else 0), rows.dtype.itemsize, n)
         struct.pack_into("<I", head, 111, n)
         struct.pack_into("<3d3d", head, 131, 1e-3, 1e-3, 1e-3, *origin)
         struct.pack_into("<6d", head, 179, *(v for k in range(3) for v in (high[k], low[k])))
         if extra:
             struct.pack_into("<QQ", head, 247, n, n)
-        return bytes(head) + vlr + rows.tobytes()
+        body = laz.packed(rows.tobytes(), items, size + len(vlr)) if items else rows.tobytes()
+        return bytes(head) + vlr + body
 
 
 class LasHeader(DataSource):
@@ -362,33 +378,51 @@ def _lines(f, last: str) -> tuple[list[str], int]:
     raise ValueError(f"no {last} line in the header")
 
 
+def numbers(lines: bytes, columns: int) -> np.ndarray:
+    """A row for each line that isn't blank, of its first numbers."""
+    rows = [x.split(None, columns)[:columns] for x in lines.splitlines() if x.strip()]
+    return np.array(rows, np.float64).reshape(-1, columns)
+
+
 class _Table(PointSource):
-    """Files with a text header and rows in text or binary. Intensity is 128 where a file has none."""
+    """Files with a text header and rows in text or binary. Intensity is 128 where a file has none. Written binary, or as text with the option ascii=true."""
+
+    of_lines = True
+    named = ("x", "y", "z", "r", "g", "b", "intensity")
 
     def columns(self, f, points: Points, first: int, n: int) -> dict[str, np.ndarray]:
+        rows = records(f, points, first, n)
+        return self._with_intensity({c: rows[c].astype(np.float64) for c in points.more["columns"] if c in points.more["fields"]})
+
+    def count(self, points: Points, lines: bytes) -> int:
+        return sum(1 for x in lines.splitlines() if x.strip())
+
+    def parsed(self, points: Points, lines: bytes) -> dict[str, np.ndarray]:
         names = points.more["fields"]
-        if points.record is not None:
-            rows = records(f, points, first, n)
-            out = {c: rows[c].astype(np.float64) for c in points.more["columns"] if c in names}
-        else:
-            f.seek(points.offset)
-            lines = [x for x in f.read().decode("latin-1").splitlines() if x.strip()][:n]
-            table = np.array([x.split()[: len(names)] for x in lines], np.float64).reshape(-1, len(names))
-            out = {c: table[:, names.index(c)] for c in points.more["columns"] if c in names}
-        return out if "intensity" in out else out | {"intensity": np.full(n, 128.0)}
+        table = numbers(lines, len(names))
+        return self._with_intensity({c: table[:, names.index(c)] for c in points.more["columns"] if c in names})
+
+    @staticmethod
+    def _with_intensity(made: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        return made if "intensity" in made else made | {"intensity": np.full(len(made["x"]), 128.0)}
 
     @staticmethod
     def _points(f, at: int, names: list[str], kinds: list[str], n: int, binary: bool) -> Points:
         if not {"x", "y", "z"} <= set(names):
             raise ValueError("a coordinate is missing")
         record = np.dtype(list(zip(names, kinds, strict=True))) if binary else None
-        if binary:
-            n = min(n, (f.size() - at) // record.itemsize)
-        else:
-            f.seek(at)
-            n = min(n, sum(1 for x in f.read().decode("latin-1").splitlines() if x.strip()))
-        kept = [c for c in names if c in ("x", "y", "z", "r", "g", "b", "intensity")]
-        return Points(n, record, at, {"fields": names, "columns": kept if "intensity" in kept else [*kept, "intensity"]})
+        n = min(n, (f.size() - at) // record.itemsize) if binary else n
+        kept = [c for c in names if c in _Table.named]
+        return Points(n, record, at, {"fields": names, "columns": kept if "intensity" in kept else [*kept, "intensity"]}, lines=not binary)
+
+    def head(self, names: list[str], n: int, ascii_: bool) -> str:
+        raise NotImplementedError
+
+    def encode(self, data, n) -> bytes:
+        names, ascii_ = [c for c in self.named if c in data], self.options.get("ascii", "false") == "true"
+        table = np.column_stack([np.asarray(data[c], "<f8") for c in names])
+        body = "".join(" ".join(map(repr, row)) + "\n" for row in table.tolist()).encode() if ascii_ else table.tobytes()
+        return self.head(names, n, ascii_).encode() + body
 
 
 class Ply(_Table):
@@ -417,6 +451,12 @@ class Ply(_Table):
         return self._points(f, at, names, kinds, n, kind != "ascii")
 
 
+    def head(self, names, n, ascii_) -> str:
+        given = {v: k for k, v in _RENAMED.items() if v in "rgb"}
+        properties = "".join(f"property double {given.get(c, c)}\n" for c in names)
+        return f"ply\nformat {'ascii' if ascii_ else 'binary_little_endian'} 1.0\nelement vertex {n}\n{properties}end_header\n"
+
+
 class Pcd(_Table):
     suffix = "pcd"
 
@@ -439,3 +479,64 @@ class Pcd(_Table):
         if (kind := said["DATA"][0].lower()) not in ("ascii", "binary"):
             raise ValueError(f"PCD data {kind!r} isn't supported")
         return self._points(f, at, names, kinds, n, kind == "binary")
+
+    def head(self, names, n, ascii_) -> str:
+        each = lambda x: " ".join([x] * len(names))
+        return f"# .PCD v0.7\nVERSION 0.7\nFIELDS {' '.join(names)}\nSIZE {each('8')}\nTYPE {each('F')}\nCOUNT {each('1')}\nWIDTH {n}\nHEIGHT 1\nPOINTS {n}\nDATA {'ascii' if ascii_ else 'binary'}\n"
+
+
+class _Lines(PointSource):
+    """Files of nothing but lines."""
+
+    of_lines = True
+    fields: tuple[str, ...] = ("x", "y", "z")
+
+    def found(self) -> list[str]:
+        return [*self.fields]
+
+    def look(self, f) -> Points:
+        return Points(None, None, 0, {"columns": [*self.fields]}, lines=True)
+
+    def count(self, points: Points, lines: bytes) -> int:
+        return len(self.parsed(points, lines)["x"])
+
+
+def _number(word: bytes) -> float | None:
+    try:
+        return float(word)
+    except ValueError:
+        return None
+
+
+class Text(_Lines):
+    """Lines of numbers split by commas or white space: x, y, z and, if there is a fourth number, intensity, else 128. Blank lines, # comments and lines without three numbers are skipped."""
+
+    fields = ("x", "y", "z", "intensity")
+
+    @classmethod
+    def name(cls) -> str:
+        return "point_text"
+
+    def parsed(self, points: Points, lines: bytes) -> dict[str, np.ndarray]:
+        rows = []
+        for line in lines.splitlines():
+            words = line.replace(b",", b" ").split(None, 4)
+            if len(words) < 3 or words[0].startswith(b"#"):
+                continue
+            row = [_number(w) for w in words[:4]]
+            if None not in row[:3]:
+                rows.append([*row[:3], 128.0 if len(row) < 4 or row[3] is None else row[3]])
+        return dict(zip(self.fields, np.array(rows, np.float64).reshape(-1, 4).T, strict=True))
+
+
+class Obj(_Lines):
+    """Vertices of OBJ files; what is no number is NaN."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "point_obj"
+
+    def parsed(self, points: Points, lines: bytes) -> dict[str, np.ndarray]:
+        rows = [x.split()[1:4] for x in lines.splitlines() if x.lstrip()[:2] in (b"v ", b"v\t")]
+        table = [[_number(w) for w in r] + [None] * (3 - len(r)) for r in rows]
+        return dict(zip(self.fields, np.array(table, np.float64).reshape(-1, 3).T, strict=True))

@@ -50,12 +50,39 @@ def test_cloth_against_plain_python(iterations):
 
 def test_ground_under_a_box(spark, monkeypatch):
     """Even ground and a block five metres above it, over several tiles."""
-    monkeypatch.setattr(cloth, "TILE", 32)  # not under the margin: cells are dealt to the tiles next to theirs
+    monkeypatch.setattr(cloth, "TILE", 32)
     rows = [(40 * i + j, i / 2, j / 2, 5.0 if 10 <= i < 16 and 10 <= j < 16 else 0.02 * math.sin(i + j)) for i in range(40) for j in range(40)]
     got = cloth.classified(spark.createDataFrame(rows, "pid bigint, x double, y double, z double"), iterations=100).collect()
     assert len(got) == len(rows) and all(r.is_ground == (r.z < 1) for r in got)
 
 
+@pytest.mark.parametrize(("tile", "halo", "iterations"), [(32, 32, 60), (256, 64, 300)])
+def test_cloth_is_one_whatever_the_tiles(spark, monkeypatch, tile, halo, iterations):
+    """Sloping ground with blocks, gaps and a piece far away: the cloth of tiles is that of one array with the same knots, also where it settles between two rounds."""
+    monkeypatch.setattr(cloth, "TILE", tile)
+    monkeypatch.setattr(cloth, "HALO", halo)
+    rng = np.random.default_rng(1)
+    nx, ny = 130, 70
+    height = np.add.outer(np.arange(nx) * 0.15, np.arange(ny) * 0.05) + rng.normal(size=(nx, ny)) * 0.05
+    height[20:34, 10:25] += 6
+    height[90:100, 40:60] += 4
+    surface = -height
+    surface[60:75, 20:50] = np.nan
+    far = 320
+    cells = [(i - 20, j - 10, float(surface[i, j])) for i in range(nx) for j in range(ny) if np.isfinite(surface[i, j])] + [(far, far, -3.0)]
+    got = {(r["__ix"], r["__iy"]): r.cloth for r in cloth.heights(spark.createDataFrame(cells, "`__ix` bigint, `__iy` bigint, s double").repartition(5), iterations=iterations).collect()}
+    blocks = {(x // 16 + i, y // 16 + j) for x, y, _ in cells for i in (-1, 0, 1) for j in (-1, 0, 1)}
+    low = 16 * min(b for xy in blocks for b in xy)
+    n = far + 32 - low
+    whole, knot = np.full((n, n), np.nan), np.zeros((n, n), bool)
+    for x, y, v in cells:
+        whole[x - low, y - low] = v
+    for x, y in blocks:
+        knot[16 * x - low : 16 * x - low + 16, 16 * y - low : 16 * y - low + 16] = True
+    want = cloth.relaxed(whole, iterations, knot=knot)
+    assert len(got) == len(cells) and all(got[x, y] == pytest.approx(want[x - low, y - low], abs=1e-9) for x, y, _ in cells)
+
+
 def test_tint(spark):
     df = spark.createDataFrame([(0.2, 0.5, 1.0, 3), (0.0, 0.99, 0.4, 40)], "r double, g double, b double, k int")
     got = df.select("r", "g", "b", "k", colour.tinted(F.struct("r", "g", "b"), F.col("k"), 0.05).alias("c")).collect()
