@@ -22,10 +22,10 @@ n_text_links (the same, counting different texts once).
 Defined results: words are runs of non-space characters, compared as they are; a
 text of one to four words has one shingle, all its words; a null text or one
 without words has no shingles, stands alone and has no links; a text of any
-length is compared by all its shingles; rows with a null id take no part: their
-class is null, they have no links and count for none; repeated rows count as
-copies; ids that tie stand for the text of the least digest; an empty table gives
-an empty result; other columns are not read.
+length is compared by all its shingles; texts are told apart by their words alone,
+so rows that share an id, or have none, take part with their own text; a null id is
+above all others, and the class of texts without any id is null; repeated rows count
+as copies; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pointloom.llm.text import trimmed, whole, words_of_trimmed
@@ -48,6 +48,7 @@ DEPTH = 8
 RECALL = 0.999
 BLOCK_ROWS = 1024  # of a trie node
 BLOCK_SHINGLES = 1 << 19  # of a component
+BLOCK_TEXTS = 512  # of a component
 MARGIN = 6.0  # standard deviations that a sketch may lie under the threshold
 
 
@@ -111,7 +112,7 @@ def signatures(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> D
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("digest"), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(at), pa.array(labels.view(np.int32).ravel()))], ["id", "digest", "n_shingles", "labels"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), words_of_trimmed(trimmed(whole(text))).alias("words"))
-    rows = rows.select("id", F.md5(F.array_join("words", " ")).alias("digest"), shingles(F.col("words")).alias("shingles"))
+    rows = rows.select("id", _digest(F.col("words")).alias("digest"), shingles(F.col("words")).alias("shingles"))
     return rows.mapInArrow(run, "id bigint, digest string, n_shingles bigint, labels array<int>")
 
 
@@ -270,7 +271,8 @@ def possible_links(nodes: DataFrame) -> DataFrame:
     prefix = lambda length: F.xxhash64("tree", F.slice("path", 1, length))
     paths = F.array(*[F.struct(F.lit(t).alias("tree"), F.slice("labels", t * DEPTH + 1, DEPTH).alias("path")) for t in range(TREES)])
     keyed = nodes.select("id", F.explode(paths).alias("p")).select("id", "p.*").withColumn("key", prefix(shortest))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    # counts are written before rows meet them, so that both sides of the join are plain and a large trie node's rows can be split
+    shared = stored(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared")
     members = stored(keyed.join(shared, "key").drop("key"), "members")
     sketched, settled, edges = signed_sketches(nodes), None, None
     for length in range(DEPTH, shortest - 1, -1):
@@ -278,7 +280,7 @@ def possible_links(nodes: DataFrame) -> DataFrame:
         now = now.join(settled.withColumn("done", F.lit(True)), "id", "left") if settled is not None else now.withColumn("done", F.lit(None).cast("boolean"))
         now = now.select("id", "key", F.col("done").isNull().alias("open"))
         groups = now.groupBy("key").agg(F.count("*").alias("n"), F.max("open").alias("any")).where("n > 1 AND any")
-        groups = groups.select("key", F.ceil(F.col("n") / BLOCK_ROWS).alias("blocks"))
+        groups = stored(groups.select("key", F.ceil(F.col("n") / BLOCK_ROWS).alias("blocks")), "groups")
         dealt = now.join(groups, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))).join(sketched, "id")
         dealt = _pairs_of_blocks(dealt, "blocks", "block").select("key", "bi", "bj", "id", "open", "sketch").repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
         found = stored(dealt.mapInArrow(_possible_links(length), "id bigint, other bigint, links bigint, weight double"), "links")
@@ -290,29 +292,42 @@ def possible_links(nodes: DataFrame) -> DataFrame:
     return edges
 
 
-def classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(id, class_id, n_links, n_text_links), one row for each input row."""
+def _digest(words: Column) -> Column:
+    return F.md5(F.array_join(words, " "))
+
+
+def _classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """(id, digest, keep, class_id, n_links, n_text_links): classes(), and whether the row is the one of its class that stays."""
     signed = stored(signatures(docs, text, id_col), "signatures")
-    # copies have equal labels, whichever comes first
-    nodes = signed.where("n_shingles > 0 AND id IS NOT NULL").groupBy("digest").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("labels").alias("labels"))
-    nodes = stored(nodes, "nodes")
-    comps = connected_components(possible_links(nodes))
-    comps = comps.select(F.col("node").alias("id"), F.col("label").alias("comp")).join(nodes.select("id", "digest", "copies", "n_shingles"), "id")
-    sizes = comps.groupBy("comp").agg(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).alias("blocks"))
-    comps = stored(comps.join(sizes, "comp").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))), "components")
-    # the same join whatever the number of components: the texts go to their ids, once
-    found = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).join(comps.hint("merge"), "id").select("comp", "id", "copies", "blocks", "block", "digest", words_of_trimmed(trimmed(whole("text"))).alias("words"))
-    found = found.where(F.md5(F.array_join("words", " ")) == F.col("digest"))
-    found = found.select("comp", "id", "copies", "blocks", "block", shingles(F.col("words")).alias("shingles"))
+    # copies have equal labels, whichever comes first; the number of a node is written, so it stays
+    nodes = signed.where("n_shingles > 0").groupBy("digest").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("labels").alias("labels"))
+    nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    comps = connected_components(possible_links(nodes.select(F.col("node").alias("id"), "labels")))
+    comps = comps.select("node", F.col("label").alias("comp")).join(nodes.select("node", "digest", "copies", "n_shingles"), "node")
+    sizes = comps.groupBy("comp").agg(F.greatest(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_TEXTS)).alias("blocks"))
+    comps = stored(comps.join(sizes, "comp").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))), "components")
+    # the same join whatever the number of components: the texts go to their nodes, a task's copies of a text as one
+    texts = docs.select(_digest(words_of_trimmed(trimmed(whole(text)))).alias("digest"), F.col(text).alias("text"))
+    texts = texts.withColumn("nth", F.row_number().over(Window.partitionBy("digest").orderBy("digest"))).where("nth = 1")
+    found = texts.join(comps.hint("merge"), "digest").select("comp", F.col("node").alias("id"), "copies", "blocks", "block", shingles(words_of_trimmed(trimmed(whole("text")))).alias("shingles"))
     found = _pairs_of_blocks(found, "blocks", "block").repartition("comp", "bi", "bj").sortWithinPartitions("comp", "bi", "bj", "id")
     checked = stored(found.mapInArrow(_verified, "id bigint, other bigint, links bigint, docs bigint"), "verified")
-    counts = checked.where("other IS NULL").groupBy("id").agg(F.sum("links").alias("links"), F.sum("docs").alias("docs"))
-    labels = connected_components(checked.where("other IS NOT NULL").select(F.col("id").alias("a"), F.col("other").alias("b")))
-    linked = nodes.select("digest", F.col("id").alias("node"), "copies").join(labels, "node", "left").join(counts, F.col("node") == counts["id"], "left")
-    linked = linked.select("digest", F.coalesce("label", "node").alias("class_id"), (F.coalesce("docs", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("links", F.lit(0)).cast("long").alias("n_text_links"))
-    # rows that take no part find no partner here: their digest is null
-    out = signed.select("id", F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.col("digest")).alias("digest")).join(linked, "digest", "left")
-    return out.select(F.col("id").alias(id_col), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_text_links", F.lit(0)).cast("long").alias("n_text_links"))
+    counts = checked.where("other IS NULL").groupBy(F.col("id").alias("node")).agg(F.sum("links").alias("links"), F.sum("docs").alias("docs"))
+    labels = stored(connected_components(checked.where("other IS NOT NULL").select(F.col("id").alias("a"), F.col("other").alias("b"))), "labels")
+    first = F.struct(F.col("id").isNull().alias("none"), "id", "digest")
+    least = stored(labels.join(nodes.select("node", "id", "digest"), "node").groupBy("label").agg(F.min(first).alias("least")), "least")
+    linked = nodes.select("node", "id", "digest", "copies").join(labels.join(least, "label").select("node", "least"), "node", "left").join(counts, "node", "left")
+    linked = linked.select("digest", F.coalesce("least", first).alias("least"), (F.coalesce("docs", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("links", F.lit(0)).cast("long").alias("n_text_links"))
+    # texts without words find no partner here: their key is null
+    rows = signed.select("id", F.col("digest").alias("own"), F.when(F.col("n_shingles") > 0, F.col("digest")).alias("digest")).join(linked, "digest", "left")
+    stays = F.col("least").isNull() | (F.col("least.id").eqNullSafe(F.col("id")) & (F.col("least.digest") == F.col("own")))
+    class_id = F.when(F.col("least").isNull(), F.col("id")).otherwise(F.col("least.id"))
+    return rows.select("id", F.col("own").alias("digest"), stays.alias("keep"), class_id.alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_text_links", F.lit(0)).cast("long").alias("n_text_links"))
+
+
+def classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """(id, class_id, n_links, n_text_links), one row for each input row."""
+    return _classes(docs, text, id_col).select(F.col("id").alias(id_col), "class_id", "n_links", "n_text_links")
 
 
 def signed_sketches(nodes: DataFrame) -> DataFrame:
@@ -328,8 +343,8 @@ def signed_sketches(nodes: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """The documents without those whose class has a smaller id. Columns as given; rows with a null id stay."""
-    key = fresh(docs.columns, "__key")
-    found = classes(docs, text, id_col)
-    drop = stored(found.where(F.col(id_col) != F.col("class_id")).select(F.col(id_col).alias(key)).distinct(), "dropped")
-    return docs.join(drop, docs[id_col] == F.col(key), "left_anti")
+    """One document of each class: that of the least id, of those the one of the least digest. Columns as given; rows that are equal in id and words stay or go together."""
+    i, d = (fresh(docs.columns, f"__{x}") for x in ("id", "digest"))
+    drop = stored(_classes(docs, text, id_col).where(~F.col("keep")).select(F.col("id").alias(i), F.col("digest").alias(d)).distinct(), "dropped")
+    own = _digest(words_of_trimmed(trimmed(whole(docs[text]))))
+    return docs.join(drop, docs[id_col].eqNullSafe(F.col(i)) & (own == F.col(d)), "left_anti")

@@ -10,7 +10,7 @@ def shingle_set(text):
 
 
 def brute(rows):
-    sets = [(r.doc_id, shingle_set(r.text) if r.doc_id is not None else set(), tuple((r.text or "").split())) for r in rows]
+    sets = [(r.doc_id, shingle_set(r.text), tuple((r.text or "").split())) for r in rows]
     n = len(sets)
     up = list(range(n))
 
@@ -54,10 +54,23 @@ def test_empty(nothing):
     assert got(nothing) == [] and near.one_of_each(nothing).columns == nothing.columns
 
 
+def test_rows_that_share_an_id(spark):
+    """Texts under one id or none keep their own links and classes, and the row that stays is chosen by text."""
+    words = lambda k: [f"t{k}w{i}" for i in range(60)]
+    near_copy = lambda k: " ".join([*words(k)[:59], "other"])
+    rows = [(1, " ".join(words(0))), (1, " ".join(words(1))), (2, near_copy(0)), (3, near_copy(1)), (None, " ".join(words(2))), (None, near_copy(2)), (None, near_copy(0)), (3, "alone under three"), (4, near_copy(1) + " "), (1, " ".join(words(0)))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert got(docs) == brute(docs.collect())
+    kept = [(r.doc_id, r.text) for r in near.one_of_each(docs).collect()]
+    assert sorted(k for k in kept if k[0] is not None) == sorted([rows[0], rows[9], rows[1], rows[7]])
+    assert len([k for k in kept if k[0] is None]) == 1 and [k for k in kept if k[0] is None][0] in rows[4:6]
+
+
 def test_one_large_group_in_blocks(spark, monkeypatch):
     """Copies with a few changed words, around the threshold, dealt over many blocks."""
     monkeypatch.setattr(near, "BLOCK_ROWS", 16)
     monkeypatch.setattr(near, "BLOCK_SHINGLES", 4000)
+    monkeypatch.setattr(near, "BLOCK_TEXTS", 50)
     r = random.Random(3)
     base = [f"w{r.randrange(5000)}" for _ in range(150)]
     rows = []
