@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.operators.prefix import named, one_row, quantiles
+from pointloom.operators.prefix import last_known, named, one_row, quantiles
 from pointloom.operators.spatial import finite
 from pointloom.schema import FIVE_CLASSES, LAS_CODES, SIX_CLASSES
 
@@ -44,9 +44,8 @@ def viewer(layers: DataFrame) -> DataFrame:
 
 def carried_forward(points: DataFrame, by: str, order: str = "pid") -> DataFrame:
     """A point that isn't finite takes the position of the last one in its chunk `by` that is."""
-    w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     good = F.when(finite("x", "y", "z"), F.struct("x", "y", "z"))
-    p = points.withColumn("__p", F.last(good, ignorenulls=True).over(w))
+    p = last_known(points, [by], [order], good, "__p")
     return p.withColumns({c: F.col(f"__p.{c}") for c in "xyz"}).drop("__p")
 
 

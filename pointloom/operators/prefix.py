@@ -33,6 +33,25 @@ def numbered(df: DataFrame, order: list[str], into: str) -> DataFrame:
     return part.join(F.broadcast(counts), "__range").withColumn(into, within + F.col("__base")).drop("__range", "__base")
 
 
+def last_known(df: DataFrame, group: list[str], order: list[str], value: Column, into: str) -> DataFrame:
+    """Adds the value of the row, or of the last one before it in its group that has one; null where none has.
+
+    Rows are dealt by ranges of (group, order), so a group of any size is spread over
+    tasks. A range hands the last value of each of its groups to the ranges behind it;
+    that is a row for each group and range that meet.
+    """
+    part = stored(df.withColumn(into, value).repartitionByRange(*group, *order).withColumn("__range", F.spark_partition_id()), "ranges")
+    ends = part.groupBy(*group, "__range").agg(F.max(F.when(F.col(into).isNotNull(), F.struct(*order, into))).alias("__last"))
+    before = Window.partitionBy(*group).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    held = ends.select(*[F.col(c).alias(f"__{c}") for c in group], F.col("__range").alias("__at"), F.last(F.col("__last")[into], ignorenulls=True).over(before).alias("__held"))
+    on = part["__range"] == held["__at"]
+    for c in group:
+        on &= part[c].eqNullSafe(held[f"__{c}"])
+    within = Window.partitionBy(*group, "__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = part.join(held, on).withColumn(into, F.coalesce(F.last(into, ignorenulls=True).over(within), "__held"))
+    return out.select(*[c for c in df.columns if c != into], into)
+
+
 def ranked(values: DataFrame) -> DataFrame:
     """(name, v, m, before, n) from (name, v): each distinct value of a name, how often it comes, how many values are less and how many there are. Nulls don't count.
 

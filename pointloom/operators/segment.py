@@ -89,7 +89,7 @@ def segment_trees(cloud: DataFrame, **params) -> tuple[DataFrame, DataFrame]:
     r = F.least(F.greatest(3 * F.col("ext"), F.lit(6 * s), F.lit(0.8 * p["min_tree_spacing"])), F.lit(2 * p["max_crown_width"]))
     shapes = stored(shapes.withColumn("r", r), "shapes")
     top, z = F.col("top"), F.col("z")
-    near = neighbours(shapes.select(F.col("rank").alias("pid"), "x", "y"), points, 3 * p["max_crown_width"], ("x", "y"))
+    near = neighbours(shapes.select(F.col("rank").alias("pid"), "x", "y"), points, 3 * p["max_crown_width"], ("x", "y"), copy_left=True)
     crown = near.select(F.col("pid").alias("rank"), F.col("other").alias("pid"), F.sqrt("d2").alias("d")).join(shapes.select("rank", "top", "r"), "rank").join(points, "pid")
     roof = top + 1.5 * F.col("r")
     crown = crown.withColumn("inner", (F.col("d") < F.col("r")) & (z > top - 0.1) & (z <= roof + 0.5))
@@ -101,8 +101,9 @@ def segment_trees(cloud: DataFrame, **params) -> tuple[DataFrame, DataFrame]:
         free = free.join(hits, "rank").where(F.when(F.col("hits") < 5, F.col("outer")).otherwise(F.col("inner")))
         free = stored(free.join(free.groupBy("rank").agg(F.count("*").alias("all")), "rank"), "free")
         # a point of two crowns in one round would be a conflict, so pids are apart here
-        comps = clustered(free.where("all > 5"), 3 * s, by=("rank",)).groupBy("rank", "comp").agg(F.count("*").alias("size"), F.collect_set("pid").alias("pids"))
-        best = comps.groupBy("rank").agg(F.max(F.struct("size", (-F.col("comp")).alias("back"), "pids")).alias("b")).select("rank", F.explode("b.pids").alias("pid"))
+        comps = stored(clustered(free.where("all > 5"), 3 * s, by=("rank",)).select("rank", "comp", "pid"), "crown_parts")
+        largest = comps.groupBy("rank", "comp").agg(F.count("*").alias("size")).groupBy("rank").agg(F.max(F.struct("size", (-F.col("comp")).alias("back"))).alias("b"))
+        best = comps.join(largest.select("rank", (-F.col("b.back")).alias("comp")), ["rank", "comp"]).select("rank", "pid").distinct()
         lone = free.where("all > 5").join(best.select("rank").distinct(), "rank", "left_anti").select("rank", "pid")
         tree = trunk.join(ready, "rank", "left_semi").select("rank", "pid").unionByName(best).unionByName(lone).unionByName(free.where("all <= 5").select("rank", "pid")).distinct()
         tree = stored(tree.join(points.select("pid", "z"), "pid"), "tree")

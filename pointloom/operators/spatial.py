@@ -37,9 +37,11 @@ def _cells(df: DataFrame, dims: Sequence[str], width: Column, prefix: str) -> Da
     return df.withColumns({f"{prefix}c{k}": F.floor(F.col(f"{prefix}{d}") / width) for k, d in enumerate(dims)})
 
 
-def neighbours(left: DataFrame, right: DataFrame, radius: float | Column, dims: Sequence[str] = ("x", "y"), by: Sequence[str] = ()) -> DataFrame:
+def neighbours(left: DataFrame, right: DataFrame, radius: float | Column, dims: Sequence[str] = ("x", "y"), by: Sequence[str] = (), copy_left: bool = False) -> DataFrame:
     """(pid, other, d2) for all left and right points within radius of one another, a point and itself included if it is on both sides.
 
+    The right side is copied to the cells around its points, or the left one: the smaller should be.
+
     Sides need pid, the dims and, to join only equal values, the columns `by`. A radius
     that is a column must follow from those: points that meet have the same.
     """
@@ -47,9 +49,9 @@ def neighbours(left: DataFrame, right: DataFrame, radius: float | Column, dims:
     a = left.select(F.col("pid"), *[F.col(d).alias(f"a_{d}") for d in dims], r.alias("a_r"), *by)
     b = right.select(F.col("pid").alias("other"), *[F.col(d).alias(f"b_{d}") for d in dims], r.alias("b_r"), *by)
     a, b = _cells(a, dims, F.col("a_r"), "a_"), _cells(b, dims, F.col("b_r"), "b_")
+    spread = lambda df, c: df.withColumn(c, F.explode(F.array(F.col(c) - 1, F.col(c), F.col(c) + 1)))
     for k in range(len(dims)):
-        c = f"b_c{k}"
-        b = b.withColumn(c, F.explode(F.array(F.col(c) - 1, F.col(c), F.col(c) + 1)))
+        a, b = (spread(a, f"a_c{k}"), b) if copy_left else (a, spread(b, f"b_c{k}"))
     keys = [F.col(f"a_c{k}") == F.col(f"b_c{k}") for k in range(len(dims))]
     on = keys[0]
     for k in keys[1:]:
@@ -99,7 +101,7 @@ def nearest(left: DataFrame, right: DataFrame, k: int, dims: Sequence[str] = ("x
     across = sum((max(reach[f"hi_{d}"], seen[f"hi_{d}"]) - min(reach[f"lo_{d}"], seen[f"lo_{d}"])) ** 2 for d in dims) ** 0.5
     todo, done = left.select("pid", *dims), None
     while True:
-        near = neighbours(todo, right, r, dims)
+        near = neighbours(todo, right, r, dims, copy_left=True)
         if skip_self:
             near = near.where("pid <> other")
         rank = F.row_number().over(Window.partitionBy("pid").orderBy("d2", "other"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pointloom import sources
 from pointloom.functions import colour, transforms
-from pointloom.operators import classify, cloth, features, filters, ground, inference, sampling, segment, spatial, stats
+from pointloom.operators import classify, cloth, features, filters, ground, inference, octree, sampling, segment, spatial, stats
 from pointloom.operators.graph import dbscan, dense_ids, reachable, with_labels
 from pointloom.plans.proxy import EMBED_SQL, EVENTS_SQL, cloud_embed, cloud_events
 from pointloom.schema import PLANE_CLUSTERS, SPACE_CLUSTERS
@@ -661,6 +661,35 @@ def dimension_lookup(spark: SparkSession, sf: str) -> DataFrame:
     return t("customer").join(t("nation"), F.col("n_nationkey") == F.col("c_nationkey")).join(t("region"), F.col("r_regionkey") == F.col("n_regionkey")).groupBy(F.col("n_name").alias("category"), F.col("r_name").alias("label")).agg(F.count("*").alias("n"))
 
 
+_OCTREE = """b AS (SELECT greatest(max(x) - min(x), max(y) - min(y), max(z) - min(z)) + 0.001 AS side, (min(x) + max(x)) / 2 AS cx, (min(y) + max(y)) / 2 AS cy, (min(z) + max(z)) / 2 AS cz FROM cloud),
+    i AS (SELECT pid, x, y, z, least(greatest(ceil((x - (cx - side / 2)) * (256 / side))::BIGINT - 1, 0), 255) AS ix, least(greatest(ceil((y - (cy - side / 2)) * (256 / side))::BIGINT - 1, 0), 255) AS iy,
+                 least(greatest(ceil((z - (cz - side / 2)) * (256 / side))::BIGINT - 1, 0), 255) AS iz FROM cloud, b),
+    l AS (SELECT d AS depth, ix >> (8 - d) AS jx, iy >> (8 - d) AS jy, iz >> (8 - d) AS jz, count(*) AS n FROM i, range(0, 9) t(d) GROUP BY ALL),
+    t AS (SELECT c.*, c.n <= 10 OR c.depth = 8 AS leaf FROM l c LEFT JOIN l p ON p.depth = c.depth - 1 AND p.jx = c.jx >> 1 AND p.jy = c.jy >> 1 AND p.jz = c.jz >> 1 WHERE c.depth = 0 OR p.n > 10)"""
+
+
+@events(f"{_OCTREE} SELECT depth::INTEGER AS depth, count(*) AS nodes, count(*) FILTER (leaf) AS leaves, (sum(n))::BIGINT AS points, max(n) AS most FROM t GROUP BY depth")
+def octree_nodes(cloud):
+    """Nodes, leaves and points of each depth of the octree."""
+    return octree.built(cloud).nodes.groupBy("depth").agg(F.count("*").alias("nodes"), F.count_if("leaf").alias("leaves"), F.sum("n").cast("long").alias("points"), F.max("n").alias("most"))
+
+
+@events("SELECT pid, round((x - 100) * (x - 100) + (y - 300) * (y - 300) + (z - 40) * (z - 40), 6) AS d2 FROM cloud WHERE (x - 100) * (x - 100) + (y - 300) * (y - 300) + (z - 40) * (z - 40) <= 3600")
+def octree_within(cloud):
+    return octree.within(octree.built(cloud), (100.0, 300.0, 40.0), 60.0).select("pid", F.round("d2", 6).alias("d2"))
+
+
+@events("SELECT pid, rank, round(d2, 6) AS d2 FROM (SELECT pid, d2, (row_number() OVER (ORDER BY d2, pid))::INTEGER AS rank FROM (SELECT pid, (x - 7) * (x - 7) + (y - 20) * (y - 20) + (z - 3) * (z - 3) AS d2 FROM cloud)) WHERE rank <= 25")
+def octree_nearest(cloud):
+    return octree.nearest_to(octree.built(cloud), (7.0, 20.0, 3.0), 25).select("pid", "rank", F.round("d2", 6).alias("d2"))
+
+
+@events(f"{_OCTREE} SELECT n, pid, x, y, z FROM (SELECT *, count(*) OVER w AS n, row_number() OVER (w ORDER BY pid) AS nth FROM i WINDOW w AS (PARTITION BY ix >> 3, iy >> 3, iz >> 3)) WHERE nth = 1")
+def octree_level(cloud):
+    """A level of detail: a point for each node of depth 5."""
+    return octree.level(octree.built(cloud), 5).select("n", "pid", "x", "y", "z")
+
+
 # files: clouds written in a format to the shared folder and read back; values that 32-bit floats and millimetres hold exactly
 
 _EXACT = "pid, x, floor(y) AS y, floor(z * 4) / 4 AS z, intensity, classification"

@@ -130,3 +130,32 @@ def test_nearest_with_a_far_outlier(spark):
     assert {(r.pid, r.other) for r in got.collect()} == want
     assert spatial.good_radius(as_cloud(spark, xyz), 4, ("x", "y", "z")) < 10
     assert spatial.good_radius(as_cloud(spark, [[0, 0, 0]] * 50 + [[1, 1, 1]]), 3, ("x", "y")) > 0
+
+
+def test_last_known_over_ranges(spark):
+    """One group of most rows is spread over ranges, and every row has the last value before it, whatever lies between; null groups are a group."""
+    from pointloom.operators.prefix import last_known
+
+    rng = random.Random(1)
+    rows = [(g, i, v) for g, n in ((1, 4000), (2, 30), (None, 50)) for i, v in enumerate(float(rng.randint(0, 9)) if rng.random() < (0.002 if g == 1 else 0.3) else None for _ in range(n))]
+    df = spark.createDataFrame(rows, "g int, pid int, v double").repartition(6)
+    want, last = {}, {}
+    for g, i, v in rows:
+        last[g] = v if v is not None else last.get(g)
+        want[g, i] = last[g]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = last_known(df, ["g"], ["pid"], F.col("v"), "last").collect()
+        dealt = df.repartitionByRange("g", "pid").where("g = 1").groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert {(r.g, r.pid): r["last"] for r in got} == want and len(got) == len(rows)
+    assert len(dealt) > 4  # of eight tasks
+
+
+def test_either_side_may_be_copied(spark):
+    """The pairs are the same whichever side goes to the cells around."""
+    rng = random.Random(2)
+    a, b = (spark.createDataFrame([(i, rng.uniform(-5, 5), rng.uniform(-5, 5)) for i in range(n)], "pid bigint, x double, y double") for n in (40, 300))
+    pairs = [sorted((r.pid, r.other, r.d2) for r in spatial.neighbours(a, b, 0.8, ("x", "y"), copy_left=c).collect()) for c in (False, True)]
+    assert pairs[0] == pairs[1] and len(pairs[0]) > 100
