@@ -29,6 +29,7 @@ HEAD, MIDDLE, TAIL = "<|", "|>\n", "<|end|>\n"
 NO_ROLE = "none"
 TRAINED = "assistant"
 BUCKET_TURNS = 64
+ROW_CHARS = 1 << 24  # of a pair in one row
 
 
 def rendered(role: Column, text: Column) -> Column:
@@ -90,10 +91,11 @@ def segments(pairs: DataFrame) -> DataFrame:
     return placed.select("pair_id", "p.part", "p.place", "role", rendered(F.col("role"), F.col("text")).alias("rendered"), "p.start", (F.col("p.start") + F.col("length")).alias("end"), trained.alias("trained"), "n_prompt")
 
 
-def assembled(rows: DataFrame) -> DataFrame:
-    """(pair_id, prompt, chosen, rejected, chosen_mask, rejected_mask): one row a pair; masks are spans that the loss covers. For pairs that fit a row."""
+def assembled(rows: DataFrame, most: int = ROW_CHARS) -> DataFrame:
+    """(pair_id, prompt, chosen, rejected, chosen_mask, rejected_mask) from segments(): one row a pair; masks are spans that the loss covers. Pairs of more than `most` code points don't become rows; segments() has them turn by turn."""
+    sizes = rows.groupBy("pair_id").agg(F.sum(F.col("end") - F.col("start")).alias("size")).where(F.col("size") <= most)
     turn = F.struct("place", "rendered", "start", "end", "trained")
-    per = rows.groupBy("pair_id").agg(*[F.array_sort(F.collect_list(F.when(F.col("part") == p, turn))).alias(p) for p in ("prompt", *SIDES)])
+    per = rows.join(sizes.select("pair_id"), "pair_id").groupBy("pair_id").agg(*[F.array_sort(F.collect_list(F.when(F.col("part") == p, turn))).alias(p) for p in ("prompt", *SIDES)])
     said = [F.array_join(F.transform(p, lambda x: x["rendered"]), "").alias(p) for p in ("prompt", *SIDES)]
     mask = [F.transform(F.filter(p, lambda x: x["trained"]), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias(f"{p}_mask") for p in SIDES]
     return per.select("pair_id", *said, *mask)

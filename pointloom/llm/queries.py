@@ -24,6 +24,18 @@ def op1_chat_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.segments(chat.pairs_of_neighbours(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
 
 
+def preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 1's pairs, a row each, their masks written start:end."""
+    df = chat.assembled(op1_chat_preferences(spark, sf_dir))
+    written = lambda mask: F.array_join(F.transform(mask, lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string"))), ",").alias(mask)
+    return df.select("pair_id", "prompt", *chat.SIDES, *[written(f"{s}_mask") for s in chat.SIDES])
+
+
+def rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 8's policies: what each rejects, and by which rule alone."""
+    return quality.ablations(quality.ledger(documents(spark, sf_dir)))
+
+
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(documents(spark, sf_dir))
 
@@ -88,6 +100,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op11_ranked_search": op11_ranked_search,
     "op12_mixing_scores": op12_mixing_scores,
     "op13_centroids": op13_centroids,
+    "preference_pairs": preference_pairs,
+    "rule_ablations": rule_ablations,
 }
 
 
@@ -173,3 +187,22 @@ ORACLE_SQL: dict[str, str] = {
     """,
     "op13_centroids": _centroid_sql(),
 }
+_TURNS = ORACLE_SQL["op1_chat_preferences"].rstrip()
+_LEDGER = ORACLE_SQL["op8_quality_rules"].rstrip()
+_POLICY_ROWS = ", ".join(f"('{v}', '{r}', {quality.mask_of(names)}, {quality.mask_of([r])})" for v, names in quality.POLICIES.items() for r in names)
+
+ORACLE_SQL |= {
+    "preference_pairs": f"""
+        WITH t AS ({_TURNS})
+        SELECT pair_id, coalesce(string_agg(rendered, '' ORDER BY place) FILTER (part = 'prompt'), '') AS prompt,
+               coalesce(string_agg(rendered, '' ORDER BY place) FILTER (part = 'chosen'), '') AS chosen, coalesce(string_agg(rendered, '' ORDER BY place) FILTER (part = 'rejected'), '') AS rejected,
+               coalesce(string_agg(start || ':' || "end", ',' ORDER BY place) FILTER (part = 'chosen' AND trained), '') AS chosen_mask,
+               coalesce(string_agg(start || ':' || "end", ',' ORDER BY place) FILTER (part = 'rejected' AND trained), '') AS rejected_mask
+        FROM t GROUP BY pair_id
+    """,
+    "rule_ablations": f"""
+        WITH l AS ({_LEDGER}), p(policy, rule, mask, bit) AS (VALUES {_POLICY_ROWS})
+        SELECT policy, rule, count(*) FILTER (failed_rules & mask <> 0) AS rejected, count(*) FILTER (failed_rules & bit <> 0) AS failing, count(*) FILTER (failed_rules & mask = bit) AS only_this_rule
+        FROM l, p GROUP BY policy, rule
+    """,
+}

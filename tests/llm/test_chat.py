@@ -38,6 +38,7 @@ def test_segments(spark):
     one = {r.pair_id: r for r in chat.assembled(chat.segments(chat.of_sides(df))).collect()}
     assert one[1].prompt == "<|system|>\nbe<|end|>\n<|user|>\nhi<|end|>\n" and one[1].chosen == "<|assistant|>\ngood<|end|>\n"
     assert [tuple(m) for m in one[1].rejected_mask] == [(0, len(one[1].rejected))] and one[3].chosen == one[3].rejected == ""
+    assert {r.pair_id for r in chat.assembled(chat.segments(chat.of_sides(df)), 10_000).collect()} == set(one) - {4}  # pair 4 is longer and stays in turns
     assert chat.segments(chat.of_sides(df.limit(0))).count() == 0
 
 
