@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pointloom.functions.transforms import unit_height, unit_intensity
-from pointloom.operators.graph import dbscan, dense_ids, with_labels
+from pointloom.operators.graph import dbscan, dense_ids, eps_components, with_labels
 from pointloom.operators.prefix import named, one_row, quantiles
-from pointloom.operators.spatial import finite, neighbours
+from pointloom.operators.spatial import finite
 from pointloom.operators.stats import extent_spacing
 from pointloom.schema import PLANE_CLUSTERS, SPACE_CLUSTERS
 from pointloom.scratch import stored
@@ -16,8 +16,7 @@ from pointloom.scratch import stored
 
 def clustered(cloud: DataFrame, eps: float, least: int = 2, by: tuple[str, ...] = ()) -> DataFrame:
     """(pid, *by, comp, size): components of points within eps in the plane, those of at least `least` points."""
-    edges = neighbours(cloud, cloud, eps, ("x", "y"), by).where("pid < other")
-    labels = stored(with_labels(cloud, edges, by), "clusters")
+    labels = stored(eps_components(cloud, eps, ("x", "y"), by), "clusters")
     sizes = labels.groupBy("comp").agg(F.count("*").alias("size")).where(F.col("size") >= least)
     return labels.join(sizes, "comp")
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+from itertools import product
+from math import ceil, sqrt
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pointloom.operators.prefix import numbered
-from pointloom.operators.spatial import neighbours
+from pointloom.operators.spatial import finite, neighbours
 from pointloom.scratch import stored
 
 
@@ -50,21 +54,121 @@ def dense_ids(labels: DataFrame, by: tuple[str, ...] = (), label: str = "comp",
     return labels.join(groups, [*by, label])
 
 
+def _offsets(dims: int) -> list[tuple[int, ...]]:
+    """Steps to the cells that can hold points within eps, of cells whose diagonal is eps; the cell itself among them."""
+    reach = range(-ceil(sqrt(dims)), ceil(sqrt(dims)) + 1)
+    return [o for o in product(reach, repeat=dims) if sum(max(abs(x) - 1, 0) ** 2 for x in o) <= dims]
+
+
+class _Cells:
+    """Points in cells whose diagonal is eps, so that all points of a cell are within eps of one another.
+
+    points: pid, rep (least pid of the cell), n (points of the cell), dims, by, __r, the cell; table: a row for each cell with the
+    bounds of its points and its outermost points. Both are written.
+    """
+
+    def __init__(self, points: DataFrame, eps: float | Column, dims: Sequence[str], by: Sequence[str]):
+        self.dims, self.by = dims, by
+        r = eps if isinstance(eps, Column) else F.lit(float(eps))
+        self.keys = [*by, *(f"__c{k}" for k in range(len(dims)))]
+        width = F.col("__r") * ((1 - 1e-9) / sqrt(len(dims)))
+        rows = points.where(finite(*dims)).select(*dict.fromkeys(["pid", *dims, *by]), r.alias("__r")).withColumns({f"__c{k}": F.floor(F.col(d) / width) for k, d in enumerate(dims)})
+        at = F.struct(*dims)
+        bounds = [f(d).alias(f"{n}_{d}") for d in dims for n, f in (("lo", F.min), ("hi", F.max))]
+        outer = F.array(*[f(at, F.col(d)) for d in dims for f in (F.min_by, F.max_by)])
+        table = rows.groupBy(*self.keys, "__r").agg(F.min("pid").alias("rep"), F.count("*").alias("n"), *bounds, outer.alias("outer"))
+        self.table = stored(table, "cells")
+        found = self.table.select(*[F.col(k).alias(f"{k}__") for k in self.keys], "rep", "n")
+        self.points = stored(rows.join(found, self.same(rows, found, "", "__")).select(*rows.columns, "rep", "n"), "cell_points")
+
+    def same(self, left: DataFrame, right: DataFrame, a: str, b: str) -> Column:
+        on = F.lit(True)
+        for k in self.keys:
+            on &= left[k + a].eqNullSafe(right[k + b]) if k in self.by else left[k + a] == right[k + b]
+        return on
+
+    def around(self, rows: DataFrame, offsets: list[tuple[int, ...]]) -> DataFrame:
+        """Rows with a cell, joined to the occupied cells at the offsets: b_rep, b_n, b_outer and bounds b_lo_, b_hi_."""
+        step = F.explode(F.array(*[F.struct(*[F.lit(x).alias(f"o{k}") for k, x in enumerate(o)]) for o in offsets]))
+        rows = rows.withColumn("__o", step).withColumns({f"__c{k}": F.col(f"__c{k}") + F.col(f"__o.o{k}") for k in range(len(self.dims))}).drop("__o")
+        other = self.table.select(*[F.col(k).alias(f"{k}__") for k in self.keys], *[F.col(c).alias(f"b_{c}") for c in ("rep", "n", "outer", *(f"{n}_{d}" for d in self.dims for n in ("lo", "hi")))])
+        return rows.join(other, self.same(rows, other, "", "__")).drop(*[f"{k}__" for k in self.keys])
+
+
+def _total(dims: Sequence[str], step: Callable[[str], Column]) -> Column:
+    total = F.lit(0.0)
+    for d in dims:
+        total = total + step(d) * step(d)
+    return total
+
+
+def _gap(dims: Sequence[str], lo: Callable[[str], Column], hi: Callable[[str], Column], farthest: bool) -> Column:
+    """Squared least, or greatest, distance between a box and the box b_lo_, b_hi_."""
+    b = lambda n, d: F.col(f"b_{n}_{d}")
+    if farthest:
+        return _total(dims, lambda d: F.greatest(b("hi", d) - lo(d), hi(d) - b("lo", d)))
+    return _total(dims, lambda d: F.greatest(b("lo", d) - hi(d), lo(d) - b("hi", d), F.lit(0.0)))
+
+
+def eps_components(points: DataFrame, eps: float | Column, dims: tuple[str, ...] = ("x", "y"), by: tuple[str, ...] = ()) -> DataFrame:
+    """(pid, *by, comp): components of points within eps of one another and of equal `by`; the least pid names a component, points that aren't finite are alone.
+
+    Cells of diagonal eps are joined as they are, and pairs of cells by at most one
+    edge: from their points' bounds if those are far enough apart or close enough
+    together, else from their outermost points, and only for what is left by looking
+    for two points. So no table of pairs of points is made.
+    """
+    cells = _Cells(points, eps, dims, by)
+    ahead = [o for o in _offsets(len(dims)) if o > (0,) * len(dims)]
+    lo, hi, r2 = (lambda d: F.col(f"lo_{d}")), (lambda d: F.col(f"hi_{d}")), F.col("__r") * F.col("__r")
+    pairs = cells.around(cells.table, ahead).where(_gap(dims, lo, hi, False) <= r2)
+    apart = lambda a, b: _total(dims, lambda d: a[d] - b[d])
+    touch = F.exists("outer", lambda a: F.exists("b_outer", lambda b: apart(a, b) <= r2))
+    pairs = stored(pairs.select("rep", "b_rep", "__r", *[f"{p}{n}_{d}" for d in dims for n in ("lo", "hi") for p in ("", "b_")], ((_gap(dims, lo, hi, True) <= r2) | touch).alias("sure")), "cell_pairs")
+    open_ = pairs.where(~F.col("sure"))
+    own = lambda d: F.col(d)
+    a = cells.points.select("rep", *dims).join(open_, "rep").where(_gap(dims, own, own, False) <= r2).select("rep", "b_rep", "__r", *dims)
+    # the same for the other cell: its points near the bounds of the first
+    swapped = open_.select(F.col("b_rep").alias("rep"), F.col("rep").alias("a_rep"), "__r", *[F.col(f"{n}_{d}").alias(f"b_{n}_{d}") for d in dims for n in ("lo", "hi")])
+    b = cells.points.select("rep", *dims).join(swapped, "rep").where(_gap(dims, own, own, False) <= r2).select(F.col("a_rep").alias("rep"), F.col("rep").alias("b_rep"), *[F.col(d).alias(f"b_{d}") for d in dims])
+    met = a.join(b, ["rep", "b_rep"]).where(_total(dims, lambda d: F.col(d) - F.col(f"b_{d}")) <= r2).select("rep", "b_rep").distinct()
+    labels = connected_components(pairs.where("sure").select("rep", "b_rep").unionByName(met), "rep", "b_rep")
+    found = cells.points.join(labels, F.col("rep") == F.col("node"), "left").select("pid", *by, F.coalesce("label", "rep").alias("comp"))
+    return found.unionByName(points.where(~finite(*dims)).select("pid", *by, F.col("pid").alias("comp")))
+
+
+def core_points(points: DataFrame, eps: float | Column, least: int | Column, dims: tuple[str, ...] = ("x", "y"), by: tuple[str, ...] = ()) -> DataFrame:
+    """(pid) of the points with at least `least` points within eps, themselves among them.
+
+    All points of a cell with so many are. For the others, cells around that are wholly
+    within eps count as they are, and only points of cells on the border are compared.
+    """
+    cells = _Cells(points.withColumn("__least", F.lit(least) if not isinstance(least, Column) else least), eps, dims, (*by, "__least"))
+    dense = cells.points.where(F.col("n") >= F.col("__least")).select("pid")
+    own, r2 = (lambda d: F.col(d)), F.col("__r") * F.col("__r")
+    near = cells.around(cells.points.where(F.col("n") < F.col("__least")).select("pid", *dims, "__r", *cells.keys), _offsets(len(dims))).where(_gap(dims, own, own, False) <= r2)
+    near = stored(near.select("pid", "__least", *dims, "__r", "b_rep", "b_n", (_gap(dims, own, own, True) <= r2).alias("within")), "cells_around")
+    there = cells.points.select(F.col("rep").alias("b_rep"), *[F.col(d).alias(f"b_{d}") for d in dims])
+    border = near.where(~F.col("within")).join(there, "b_rep").where(_total(dims, lambda d: F.col(d) - F.col(f"b_{d}")) <= r2)
+    counts = near.where("within").select("pid", "__least", F.col("b_n").alias("k")).unionByName(border.select("pid", "__least", F.lit(1).cast("long").alias("k")))
+    return dense.unionByName(counts.groupBy("pid", "__least").agg(F.sum("k").alias("k")).where(F.col("k") >= F.col("__least")).select("pid"))
+
+
 def dbscan(cloud: DataFrame, eps: float | Column, least: int | Column, dims: tuple[str, ...] = ("x", "y"), by: tuple[str, ...] = ()) -> DataFrame:
     """(pid, *by, cluster): DBSCAN per value of `by`; the least core pid names a cluster, -1 is noise.
 
     A point counts itself. Core points within eps are one cluster; a border point
     goes to the cluster among its core neighbours whose name is least, which is
-    the one that a scan in pid order would have reached first.
+    the one that a scan in pid order would have reached first. Border points have
+    fewer than `least` neighbours each, so what they meet is linear in the points.
     eps and least may be columns of `by`: groups of different radii share the join
     and the rounds of components.
     """
-    near = stored(neighbours(cloud, cloud, eps, dims, by).drop("d2"), "near")
-    core = stored(near.groupBy("pid", *by).agg(F.count("*").alias("__n")).where(F.col("__n") >= least).select("pid"), "core")
-    edges = near.where("pid < other").select("pid", "other").join(core, "pid", "left_semi").join(core.withColumnRenamed("pid", "other"), "other", "left_semi")
-    labels = with_labels(core, edges)
-    from_core = near.select("pid", "other").join(labels.withColumnsRenamed({"pid": "other", "comp": "cluster"}), "other")
-    reached = from_core.groupBy("pid").agg(F.min("cluster").alias("reached"))
+    core = stored(core_points(cloud, eps, least, dims, by), "core")
+    kept = cloud.join(core, "pid", "left_semi")
+    labels = stored(eps_components(kept, eps, dims, by).select("pid", "comp"), "core_labels")
+    border = neighbours(cloud.join(core, "pid", "left_anti"), kept, eps, dims, by, copy_left=True).select("pid", "other")
+    reached = border.join(labels.withColumnsRenamed({"pid": "other", "comp": "cluster"}), "other").groupBy("pid").agg(F.min("cluster").alias("reached"))
     own = cloud.select("pid", *by).join(labels, "pid", "left").join(reached, "pid", "left")
     return own.select("pid", *by, F.coalesce("comp", "reached", F.lit(-1)).cast("long").alias("cluster"))
 

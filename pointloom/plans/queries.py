@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pointloom import sources
 from pointloom.functions import colour, transforms
 from pointloom.operators import classify, cloth, features, filters, ground, inference, octree, sampling, segment, spatial, stats
-from pointloom.operators.graph import dbscan, dense_ids, reachable, with_labels
+from pointloom.operators.graph import dbscan, dense_ids, eps_components, reachable, with_labels
 from pointloom.plans.proxy import EMBED_SQL, EVENTS_SQL, cloud_embed, cloud_events
 from pointloom.schema import PLANE_CLUSTERS, SPACE_CLUSTERS
 from pointloom.scratch import new_path
@@ -458,7 +458,7 @@ _REACH = "r AS (SELECT pid AS a, pid AS b FROM cloud UNION SELECT r.a, e.b FROM
 
 @embed(f"{_EDGES.format(r2=0.0064)}, {_REACH} SELECT pid, comp FROM comp")
 def components(cloud):
-    return with_labels(cloud, spatial.neighbours(cloud, cloud, 0.08).where("pid < other"))
+    return eps_components(cloud, 0.08)
 
 
 @embed(f"""c0 AS (SELECT pid, floor(x / 0.2)::BIGINT AS ix, floor(y / 0.2)::BIGINT AS iy FROM cloud), c AS (SELECT ix, iy, min(pid) AS pid FROM c0 GROUP BY ix, iy),

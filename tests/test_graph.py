@@ -159,3 +159,53 @@ def test_either_side_may_be_copied(spark):
     a, b = (spark.createDataFrame([(i, rng.uniform(-5, 5), rng.uniform(-5, 5)) for i in range(n)], "pid bigint, x double, y double") for n in (40, 300))
     pairs = [sorted((r.pid, r.other, r.d2) for r in spatial.neighbours(a, b, 0.8, ("x", "y"), copy_left=c).collect()) for c in (False, True)]
     assert pairs[0] == pairs[1] and len(pairs[0]) > 100
+
+
+@pytest.mark.parametrize("dims", [("x", "y"), ("x", "y", "z")])
+@pytest.mark.parametrize("eps", [0.05, 0.3, 1.0])
+def test_components_by_cells(spark, dims, eps):
+    """Blobs, a chain at just the distance, lone and repeated points, groups and points that aren't finite: components by breadth-first search."""
+    rng = np.random.default_rng(4)
+    xyz = np.concatenate([rng.normal(size=(150, 3)) * 0.4, rng.uniform(-3, 3, (120, 3)), np.stack([np.arange(20) * eps, np.full(20, 7.0), np.zeros(20)], 1), np.full((10, 3), -5.0)])
+    group = np.where(np.arange(len(xyz)) % 3 == 0, 1, 2)
+    rows = [(i, *map(float, p), int(g)) for i, (p, g) in enumerate(zip(xyz, group, strict=True))] + [(900, float("nan"), 0.0, 0.0, 1), (901, None, 0.0, 0.0, 2), (902, float("inf"), 0.0, 0.0, 2)]
+    df = spark.createDataFrame(rows, "pid bigint, x double, y double, z double, g int").repartition(4)
+    used, comp = xyz[:, : len(dims)], {}
+    for s in range(len(xyz)):
+        if s not in comp:
+            front = [s]
+            comp[s] = s
+            while front:
+                d2 = ((used - used[front.pop()]) ** 2).sum(1)
+                for j in np.flatnonzero((d2 <= eps * eps) & (group == group[s])).tolist():
+                    if j not in comp:
+                        comp[j] = s
+                        front.append(j)
+    want = comp | {900: 900, 901: 901, 902: 902}
+    got = graph.eps_components(df, eps, dims, ("g",)).collect()
+    assert {r.pid: r.comp for r in got} == want and len(got) == len(rows)
+
+
+def test_a_blob_makes_no_pairs(spark):
+    """Most points in one spot: the rows written on the way to clusters are a few for each point."""
+    rng = np.random.default_rng(5)
+    n = 3000
+    xyz = np.concatenate([rng.normal(size=(n, 2)) * 0.05, rng.uniform(-40, 40, (500, 2))])
+    df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(xyz)], "pid bigint, x double, y double").repartition(4)
+    sizes = []
+    whole = graph.stored
+
+    def counted(frame, name):
+        out = whole(frame, name)
+        sizes.append(out.count())
+        return out
+
+    graph.stored = counted
+    try:
+        got = {r.pid: r.cluster for r in graph.dbscan(df, 0.5, 5).collect()}
+    finally:
+        graph.stored = whole
+    assert max(sizes) <= 10 * len(xyz)
+    near = ((xyz[:, None] - xyz[None]) ** 2).sum(2) <= 0.25
+    core = near.sum(1) >= 5
+    assert all((got[i] == 0) == (near[i] & core)[:n].any() for i in range(n)) and all(got[i] == -1 for i in range(n, len(xyz)) if not (near[i] & core).any())
