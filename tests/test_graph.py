@@ -161,8 +161,7 @@ def test_either_side_may_be_copied(spark):
     assert pairs[0] == pairs[1] and len(pairs[0]) > 100
 
 
-@pytest.mark.parametrize("dims", [("x", "y"), ("x", "y", "z")])
-@pytest.mark.parametrize("eps", [0.05, 0.3, 1.0])
+@pytest.mark.parametrize(("dims", "eps"), [(("x", "y"), 0.05), (("x", "y"), 1.0), (("x", "y", "z"), 0.3)])
 def test_components_by_cells(spark, dims, eps):
     """Blobs, a chain at just the distance, lone and repeated points, groups and points that aren't finite: components by breadth-first search."""
     rng = np.random.default_rng(4)
