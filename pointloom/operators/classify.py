@@ -61,6 +61,17 @@ def cluster_eps(cloud: DataFrame) -> float:
     return min(1.2, max(0.3, 6 * (s or 0.05)))
 
 
+def derived_parameters(cloud: DataFrame) -> DataFrame:
+    """One row of what the extent of a cloud says: spacing, radius and least points of its clusters for the geometric and the intensity mode, neighbours of its features, and cluster_eps()."""
+    s, a = F.col("by_extent"), F.col("by_area")
+    whole = lambda x: F.floor(x).cast("long")
+    between = lambda x, lo, hi: F.least(F.lit(hi), F.greatest(F.lit(lo), x))
+    return extent_spacing(cloud).select(
+        s.alias("spacing"), F.greatest(F.lit(0.3), 15 * s).alias("eps"), F.greatest(F.lit(3).cast("long"), whole(1 / (s + 1e-6))).alias("least"), between(whole(1 / s), 10, 30).cast("long").alias("k"),
+        F.greatest(F.lit(0.2), 8 * s).alias("intensity_eps"), F.greatest(F.lit(3).cast("long"), whole(1.5 / (s + 1e-6))).alias("intensity_least"), between(6 * a, 0.3, 1.2).alias("cluster_eps"),
+    )
+
+
 def geometric_labels(cloud: DataFrame, eps: float | None = None) -> DataFrame:
     """The finite points with a column category."""
     points = cloud.where(finite("x", "y", "z"))

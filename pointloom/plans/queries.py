@@ -409,6 +409,18 @@ def color_rgb_fallback(cloud):
     return _rgb(colour.coloured(cloud, "rgb"))
 
 
+@events("m AS (SELECT min(sqrt(x * x + y * y + z * z)) AS lo, max(sqrt(x * x + y * y + z * z)) AS hi FROM cloud), " + _ramp_sql("(sqrt(x * x + y * y + z * z) - lo) / (hi - lo)", colour.stops("cool")))
+def colour_radial(cloud):
+    return _rgb(colour.coloured(cloud.withColumn("radial_distance", F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z"))), "radial_distance", "cool"))
+
+
+@events("""b AS (SELECT greatest(0.01, greatest(max(x) - min(x), max(y) - min(y)) / sqrt(count(*))) AS s, greatest(0.02, sqrt((max(x) - min(x)) * (max(y) - min(y)) / count(*))) AS a FROM cloud)
+    SELECT s AS spacing, greatest(0.3, 15 * s) AS eps, greatest(3, floor(1 / (s + 1e-6))::BIGINT) AS least, least(30, greatest(10, floor(1 / s)::BIGINT)) AS k, greatest(0.2, 8 * s) AS intensity_eps,
+           greatest(3, floor(1.5 / (s + 1e-6))::BIGINT) AS intensity_least, least(1.2, greatest(0.3, 6 * a)) AS cluster_eps FROM b""")
+def derived_parameters(cloud):
+    return classify.derived_parameters(cloud)
+
+
 @events(f"s AS (SELECT {colour.INSTANCE_COLOURS!r} AS p) SELECT pid, p[pid % 30 + 1] AS by_instance, CASE WHEN classification BETWEEN 1 AND 30 THEN p[classification] ELSE '#808080' END AS by_label FROM cloud, s")
 def palette_map(cloud):
     return cloud.select("pid", colour.instance_colour(F.col("pid")).alias("by_instance"), colour.label_colour(F.col("classification")).alias("by_label"))

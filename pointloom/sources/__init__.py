@@ -61,6 +61,12 @@ def read_points(spark: SparkSession, path: str, box: tuple[Sequence[float], Sequ
     return read_ranges(catalogue(spark, source, path), source, path, box)
 
 
+def fields_like(headers: DataFrame, word: str) -> DataFrame:
+    """(path, name, internal_name) of the fields of las_header rows whose name holds the word in any case; all of them for a blank word."""
+    rows = headers.select("path", F.explode(F.concat("available_fields", "extra_dimensions")).alias("f")).select("path", "f.*")
+    return rows.where(F.lower("name").contains(word.strip().lower()))
+
+
 def local_files(spark: SparkSession, path: str, suffixes: tuple[str, ...] = (*BINARY_SUFFIXES, *TEXT_SUFFIXES)) -> DataFrame:
     """(path, length, modificationTime) of point files, newest first; contents aren't read."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", "modificationTime")

@@ -157,6 +157,12 @@ def test_ranks_against_numpy(spark):
     assert np.allclose(one.a, np.quantile(a, at)) and np.allclose(one.b, np.quantile(b, at)) and one.c is None
 
 
+def test_fields_like(spark, cloud, tmp_path):
+    cloud.write.format("las").mode("append").save(str(tmp_path))
+    names = lambda word: [r["name"] for r in sources.fields_like(spark.read.format("las_header").load(str(tmp_path)), word).collect()]
+    assert names(" ID") == ["PointSourceId", "TreeID", "BuildingID"] and names("gps") == ["GpsTime"] and names("nothing") == [] and len(names("  ")) > 10
+
+
 def test_header_of_compressed_files(spark, cloud, tmp_path):
     """The header of a LAZ file is plain and can be read; its points can't."""
     cloud.drop("tree_id", "building_id").write.format("las").mode("append").save(str(tmp_path / "a"))
