@@ -309,7 +309,9 @@ def _classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> Dat
     # the same join whatever the number of components: the texts go to their nodes, a task's copies of a text as one
     texts = docs.select(_digest(words_of_trimmed(trimmed(whole(text)))).alias("digest"), F.col(text).alias("text"))
     texts = texts.withColumn("nth", F.row_number().over(Window.partitionBy("digest").orderBy("digest"))).where("nth = 1")
-    found = texts.join(comps.hint("merge"), "digest").select("comp", F.col("node").alias("id"), "copies", "blocks", "block", shingles(words_of_trimmed(trimmed(whole("text")))).alias("shingles"))
+    found = texts.join(comps.hint("merge"), "digest").select("comp", F.col("node").alias("id"), "copies", "blocks", "block", words_of_trimmed(trimmed(whole("text"))).alias("words"))
+    # in a step of its own: else each place would split the text again
+    found = found.select("comp", "id", "copies", "blocks", "block", shingles(F.col("words")).alias("shingles"))
     found = _pairs_of_blocks(found, "blocks", "block").repartition("comp", "bi", "bj").sortWithinPartitions("comp", "bi", "bj", "id")
     checked = stored(found.mapInArrow(_verified, "id bigint, other bigint, links bigint, docs bigint"), "verified")
     counts = checked.where("other IS NULL").groupBy(F.col("id").alias("node")).agg(F.sum("links").alias("links"), F.sum("docs").alias("docs"))
