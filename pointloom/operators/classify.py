@@ -26,7 +26,7 @@ def grid_clustered(cloud: DataFrame, eps: float, least: int = 2) -> DataFrame:
     cells = cloud.select("pid", F.floor(F.col("x") / eps).alias("ix"), F.floor(F.col("y") / eps).alias("iy"))
     occupied = stored(cells.groupBy("ix", "iy").agg(F.min("pid").alias("pid")), "cells")
     ahead = occupied.select(F.col("pid").alias("other"), F.explode(F.array(*[F.struct((F.col("ix") + dx).alias("ix"), (F.col("iy") + dy).alias("iy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)])).alias("c")).select("other", "c.*")
-    edges = occupied.join(ahead, ["ix", "iy"]).where("pid <> other").select("pid", "other")
+    edges = occupied.hint("merge").join(ahead, ["ix", "iy"]).where("pid <> other").select("pid", "other")
     comps = with_labels(occupied, edges)
     labels = cells.join(occupied.withColumnRenamed("pid", "cell").join(comps.withColumnRenamed("pid", "cell"), "cell"), ["ix", "iy"]).select("pid", "comp")
     sizes = labels.groupBy("comp").agg(F.count("*").alias("size")).where(F.col("size") >= least)

@@ -171,7 +171,7 @@ def _within_footprints(points: DataFrame, box: DataFrame, cell: float) -> DataFr
     b = b.withColumn("ix", F.explode(F.sequence(F.floor(F.col("x0") / side), F.floor(F.col("x1") / side)))).withColumn("iy", F.explode(F.sequence(F.floor(F.col("y0") / side), F.floor(F.col("y1") / side))))
     at = points.select("pid", "x", "y", "z", F.floor(F.col("x") / side).alias("ix"), F.floor(F.col("y") / side).alias("iy"))
     inside = (F.col("x") > F.col("x0")) & (F.col("x") < F.col("x1")) & (F.col("y") > F.col("y0")) & (F.col("y") < F.col("y1")) & F.col("z").between(F.col("z0"), F.col("z1"))
-    return at.join(b, ["ix", "iy"]).where(inside).select("rank", "pid")
+    return at.hint("merge").join(b, ["ix", "iy"]).where(inside).select("rank", "pid")
 
 
 def building_metrics(rows: DataFrame, box: DataFrame) -> DataFrame:

@@ -83,6 +83,17 @@ def test_neighbours_and_nearest(spark):
         assert {(r.pid, r.other) for r in rows} == want
 
 
+def test_copied_sides_are_not_broadcast(spark, tmp_path):
+    """A side that is copied to many cells is small before, and would go through the driver."""
+    rng = np.random.default_rng(5)
+    as_cloud(spark, rng.uniform(0, 9, (500, 3))).write.parquet(f"{tmp_path}/cloud")
+    cloud = spark.read.parquet(f"{tmp_path}/cloud")
+    cells = graph._Cells(cloud, 1.0, ("x", "y"), ())
+    edges = [spatial.neighbours(cloud, cloud, 1.0, copy_left=c) for c in (False, True)] + [cells.around(cells.points, graph._offsets(2))]
+    for df in edges:
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_nearest_of_nothing(spark):
     empty, one = as_cloud(spark, np.empty((0, 3))), as_cloud(spark, np.zeros((1, 3)))
     assert spatial.nearest(empty, one, 2).count() == spatial.nearest(one, empty, 2).count() == 0
