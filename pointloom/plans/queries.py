@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pointloom import sources
 from pointloom.functions import colour, transforms
 from pointloom.operators import classify, cloth, features, filters, ground, inference, octree, sampling, segment, spatial, stats
-from pointloom.operators.graph import dbscan, dense_ids, eps_components, reachable, with_labels
+from pointloom.operators.graph import component_of, dbscan, dense_ids, eps_components, with_labels
 from pointloom.plans.proxy import EMBED_SQL, EVENTS_SQL, cloud_embed, cloud_events
 from pointloom.schema import PLANE_CLUSTERS, SPACE_CLUSTERS
 from pointloom.scratch import new_path
@@ -500,7 +500,7 @@ def dense_instances(cloud):
 
 @embed(f"{_EDGES.format(r2=0.04)}, r AS (SELECT 0::BIGINT AS pid UNION SELECT e.b FROM r JOIN e ON e.a = r.pid) SELECT pid FROM r")
 def region_growing(cloud):
-    return reachable(spatial.neighbours(cloud, cloud, 0.2).where("pid < other"), 0).select("pid")
+    return component_of(eps_components(cloud, 0.2), 0)
 
 
 _RULE = "CASE WHEN w < 0.8 AND h < 1.2 THEN 'low_vegetation' WHEN w <= 5 AND h > 1 THEN 'tree' WHEN w <= 5 AND h > 0.3 THEN 'low_vegetation' WHEN w > 5 THEN 'building' ELSE 'other' END"

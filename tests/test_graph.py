@@ -83,6 +83,16 @@ def test_neighbours_and_nearest(spark):
         assert {(r.pid, r.other) for r in rows} == want
 
 
+def test_component_of_a_seed(spark):
+    """What a walk over pairs of points reaches, without a table of pairs; coincident points count once for their cell."""
+    rng = np.random.default_rng(8)
+    xyz = np.concatenate([rng.uniform(0, 3, (150, 3)), np.zeros((40, 3))])
+    cloud = as_cloud(spark, xyz)
+    want = {r.pid for r in graph.reachable(spatial.neighbours(cloud, cloud, 0.3).where("pid < other"), 7).collect()}
+    got = [r.pid for r in graph.component_of(graph.eps_components(cloud, 0.3), 7).collect()]
+    assert sorted(got) == sorted(want) and [r.pid for r in graph.component_of(graph.eps_components(cloud, 0.3), 999).collect()] == [999]
+
+
 def test_copied_sides_are_not_broadcast(spark, tmp_path):
     """A side that is copied to many cells is small before, and would go through the driver."""
     rng = np.random.default_rng(5)
