@@ -27,7 +27,7 @@ from pointloom.operators.prefix import running_sum
 from pointloom.sources.files import BATCH_POINTS, RANGE_POINTS, Points, arrow_kind, filesystem, listing
 
 SPLIT_BYTES = 32 << 20
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20  # of lines that a task parses at once
 MOST_TASKS = 1 << 16
 
 RANGE = "file bigint, k bigint, path string, first bigint, n bigint, begin bigint, stop bigint, lo array<double>, hi array<double>, points binary"
