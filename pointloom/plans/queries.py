@@ -15,7 +15,8 @@ from pointloom.plans.proxy import EMBED_SQL, EVENTS_SQL, cloud_embed, cloud_even
 from pointloom.schema import PLANE_CLUSTERS, SPACE_CLUSTERS
 from pointloom.scratch import new_path
 from pointloom.sources import instances
-from pointloom.sources.ranges import catalogue, read_ranges
+from pointloom.sources.laz import CHUNK_POINTS
+from pointloom.sources.ranges import MOST_TASKS, catalogue, read_ranges
 from pointloom.sources.formats import RawXyz
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -774,6 +775,11 @@ def file_pcd(cloud):
     return _through(cloud, "pcd", ["x", "y", "z", "intensity"], ascii="true")
 
 
+def _coding_tasks(points: int) -> int:
+    """Tasks that code compressed points: coding is slow, so a chunk each, that every core has some."""
+    return max(8, min(MOST_TASKS, -(-points // CHUNK_POINTS)))
+
+
 @events(f"e AS (SELECT {_EXACT} FROM cloud) SELECT x, y, z, intensity, classification::INTEGER AS classification, pid % 7 AS tree_id, pid % 5 AS building_id, (count(*) OVER ())::BIGINT AS n_pids FROM e")
 def file_laz(cloud):
     """Compressed points with tree and building ids; their pids are 0, 1, ... whatever the files."""
@@ -781,7 +787,7 @@ def file_laz(cloud):
     sources.register(spark)
     path = new_path(spark, "laz")
     exact = cloud.select("pid", "x", F.floor("y").cast("double").alias("y"), (F.floor(F.col("z") * 4) / 4).alias("z"), "intensity", "classification", (F.col("pid") % 7).alias("tree_id"), (F.col("pid") % 5).alias("building_id"))
-    exact.repartition(8).write.format("las").option("compress", "true").mode("append").save(path)
+    exact.repartition(_coding_tasks(cloud.count())).write.format("las").option("compress", "true").mode("append").save(path)
     back = sources.read_points(spark, path, kind="las")
     pids = back.agg((F.max("pid") + 1).alias("n_pids"))
     return back.join(F.broadcast(pids)).select(*[F.round(F.col(c), 3).alias(c) for c in ("x", "y", "z", "intensity")], "classification", "tree_id", "building_id", "n_pids")
