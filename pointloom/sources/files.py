@@ -15,7 +15,7 @@ from pyspark.sql.datasource import DataSourceArrowWriter, DataSourceReader, Inpu
 RANGE_POINTS = 1_000_000  # points of an input partition
 BATCH_POINTS = 100_000
 HEADERS_AT_ONCE = 32
-FILE_POINTS = 1_000_000  # points of a written file
+FILE_POINTS = 250_000  # points of a written file; a task holds about so many
 
 
 def filesystem(path: str) -> tuple[pyarrow.fs.FileSystem, str]:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pointloom import sources
 from pointloom.operators import sampling
-from pointloom.sources import instances, laz, ranges
+from pointloom.sources import files, instances, laz, ranges
 from pointloom.sources.formats import Las, Ply, Text
 
 RECORDS = {0: 20, 1: 28, 2: 26, 3: 34}
@@ -300,3 +300,26 @@ def test_labels(spark, tmp_path):
     for bad in (labels.where("pid <> 5000"), labels.unionByName(labels.where("pid = 77"))):
         with pytest.raises(Exception, match="without gaps"):
             instances.write_labels(bad, str(tmp_path / "b"))
+
+
+def test_lines_come_in_blocks_of_a_megabyte(tmp_path):
+    """What a task parses at once stays small however long its range is."""
+    data = b"".join(b"%d.25 7.5 8.5 9\n" % k for k in range(200_000))
+    (tmp_path / "cloud.txt").write_bytes(data)
+    with files.filesystem(str(tmp_path))[0].open_input_file(f"{tmp_path}/cloud.txt") as f:
+        blocks = list(ranges.blocks_of_lines(f, 0, 0, len(data)))
+    assert b"".join(blocks) == data and max(map(len, blocks)) <= (1 << 20) + 100
+
+
+def test_a_task_holds_few_points(spark, tmp_path):
+    """A task writes its points in several files, so that it never holds all of them."""
+    sources.register(spark)
+    spark.range(600_000).coalesce(1).selectExpr("id AS pid", "id * 1D AS x", "0D AS y", "0D AS z").write.format("rawxyz").mode("append").save(f"{tmp_path}/cloud")
+    sizes = [p.stat().st_size // 12 for p in sorted((tmp_path / "cloud").glob("part-*"))]
+    assert sum(sizes) == 600_000 and max(sizes) <= 250_000
+
+
+def test_every_core_codes_points():
+    from pointloom.plans.queries import _coding_tasks
+
+    assert _coding_tasks(10) == 8 and _coding_tasks(36_000_000) == 720
