@@ -13,7 +13,8 @@ whose share is at least 2 ** -LEFT_BITS, discloses it, if
   bound exp(-n KL(p, f)) on the chance of as many among its n texts is at most ERROR
   after division by the number of pairs tested; and
 - the entity has at most COMPANY such terms. Texts that share more are copies or
-  fillings of one form, and what they share says nothing of the entity.
+  fillings of one form. With company=None this rule is left out: every term counts,
+  of every entity.
 
 A term that is a part of an address's name (zor of zor@x.org) discloses it from one
 text on, if at least half of its texts have the address. None of these bounds loosens
@@ -212,8 +213,8 @@ def beyond_chance(both: Column, n: Column, part: Column, tests: Column) -> Colum
     return (p > part) & (n * (p * F.log(p / part) + other) >= F.log(tests / ERROR))
 
 
-def sensitive_terms(docs: DataFrame, scan: DataFrame, text: str = "text", deviations: float = DEVIATIONS) -> DataFrame:
-    """(term, disclosure): terms that reveal some entity, from docs and what scanned() has of them; disclosure is the largest part of an entity's information that a term gives away."""
+def sensitive_terms(docs: DataFrame, scan: DataFrame, text: str = "text", deviations: float = DEVIATIONS, company: int | None = COMPANY) -> DataFrame:
+    """(term, disclosure): terms that reveal some entity, from docs and what scanned() has of them; disclosure is the largest part of an entity's information that a term gives away. Without a company, all terms of every entity."""
     n_texts = scan.select("key").distinct().count()
     named = stored(scan.where(F.size("spans") > 0).dropDuplicates(["key"]), "named")
     classes = stored(entity_classes(named, n_texts), "classes")
@@ -236,9 +237,9 @@ def sensitive_terms(docs: DataFrame, scan: DataFrame, text: str = "text", deviat
     told = pairs.withColumn("disclosure", F.greatest(F.lit(0.0), 1 + F.log2(share) / F.col("bits")))
     often = (F.col("both") >= TEXTS) & (share >= F.pow(F.lit(2.0), F.lit(-LEFT_BITS))) & beyond_chance(F.col("both"), F.col("term_texts"), F.col("class.n") / n_texts, tests)
     strong = stored(told.where(often), "strong")
-    few = strong.groupBy("class").agg(F.count("*").alias("company")).where(F.col("company") <= COMPANY)
+    few = strong if company is None else strong.join(strong.groupBy("class").agg(F.count("*").alias("company")).where(F.col("company") <= company), "class")
     tied = told.where(F.col("tied") & (2 * F.col("both") >= F.col("term_texts")))
-    found = strong.join(few, "class").select("term", "disclosure").unionByName(tied.select("term", "disclosure"))
+    found = few.select("term", "disclosure").unionByName(tied.select("term", "disclosure"))
     return found.groupBy("term").agg(F.max("disclosure").alias("disclosure"))
 
 
@@ -253,10 +254,10 @@ def term_spans(docs: DataFrame, terms: DataFrame, text: str = "text") -> DataFra
     return at.groupBy("key").agg(F.collect_list(F.struct("start", F.lit(4).alias("kind"), "end", "value")).alias("more"))
 
 
-def found(docs: DataFrame, text: str = "text", id_col: str = "doc_id", deviations: float = DEVIATIONS) -> DataFrame:
+def found(docs: DataFrame, text: str = "text", id_col: str = "doc_id", deviations: float = DEVIATIONS, company: int | None = COMPANY) -> DataFrame:
     """(id, key, spans): all spans of each row by start, then kind."""
     scan = stored(scanned(docs, text, id_col), "entities")
-    terms = stored(sensitive_terms(docs, scan, text, deviations), "terms")
+    terms = stored(sensitive_terms(docs, scan, text, deviations, company), "terms")
     placed = stored(term_spans(docs, terms, text), "term_spans")
     none = F.array().cast(placed.schema["more"].dataType)
     out = scan.join(placed, "key", "left").select(F.col("id").alias(id_col), "key", F.array_sort(F.concat("spans", F.coalesce("more", none))).alias("spans"))
@@ -268,9 +269,9 @@ def _written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", kind(s), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def digests(docs: DataFrame, text: str = "text", id_col: str = "doc_id", deviations: float = DEVIATIONS) -> DataFrame:
+def digests(docs: DataFrame, text: str = "text", id_col: str = "doc_id", deviations: float = DEVIATIONS, company: int | None = COMPANY) -> DataFrame:
     """(id, n_email, n_ip, n_card, n_phone, n_term, base_sha256, spans)."""
-    df = found(docs, text, id_col, deviations)
+    df = found(docs, text, id_col, deviations, company)
 
     def of_kind(k: int) -> Callable[[Column], Column]:
         return lambda s: s["kind"] == k  # of one argument: Spark would pass the index as a second

@@ -71,7 +71,7 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.digests(documents(spark, sf_dir))
+    return pii.digests(documents(spark, sf_dir), company=None)
 
 
 def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:

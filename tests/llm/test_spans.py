@@ -172,6 +172,15 @@ def test_copies_and_forms_disclose_nothing(spark):
     assert not any("term" in got[i] for i in range(6)) and all(got[i].count("term:") == 1 for i in range(6, 12)) and not any(got[i] for i in range(12, len(texts)))
 
 
+def test_no_term_is_dropped_for_its_company(spark):
+    """An entity that twelve terms disclose has them all where no company bounds them, and none by default."""
+    own = " ".join(f"clue{chr(97 + k)}" for k in range(12))
+    docs = as_docs(spark, [f"{own} mine{i} help@desk.org" for i in range(6)] + [f"filler{i} text{i}" for i in range(400)])
+    scan = pii.scanned(docs).cache()
+    assert {r.term for r in pii.sensitive_terms(docs, scan, company=None).collect()} == set(own.split())
+    assert pii.sensitive_terms(docs, scan).isEmpty()
+
+
 def sensitive_by_hand(texts, spans):
     """The measure, pair by pair."""
     distinct = {t: s for t, s in zip(texts, spans, strict=True)}
