@@ -29,10 +29,17 @@ def slices(batch: pa.RecordBatch, lists: str, most: int = TABLE_CHUNKS) -> Itera
         start = stop
 
 
+def flattened(lists: Sequence[Sequence[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """(elements one after another, length of each list)."""
+    lengths = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter((x for ids in lists for x in ids), np.int32, int(lengths.sum())), lengths
+
+
 class Table:
     """The ids of chunks, each encoded when it is first met."""
 
-    def __init__(self, encode: Callable[[Sequence[str]], list[list[int]]], most: int = KEPT_CHUNKS):
+    def __init__(self, encode: Callable[[Sequence[str]], tuple[np.ndarray, np.ndarray]], most: int = KEPT_CHUNKS):
+        """encode gives the ids of chunks one after another, and how many each has."""
         self.encode, self.most, self.place = encode, most, {}
         self.flat, self.starts = np.empty(0, np.int32), np.zeros(1, np.int64)
 
@@ -40,9 +47,8 @@ class Table:
         """(ids, starts in ids, place of each chunk in starts) for distinct chunks."""
         at = np.fromiter((self.place.get(c, -1) for c in chunks), np.int64, len(chunks))
         new = np.flatnonzero(at < 0)
-        encoded = self.encode([chunks[k] for k in new]) if len(new) else []
-        lengths = np.fromiter(map(len, encoded), np.int64, len(encoded))
-        flat = np.concatenate([self.flat, np.fromiter((x for ids in encoded for x in ids), np.int32, int(lengths.sum()))])
+        ids, lengths = self.encode([chunks[k] for k in new]) if len(new) else flattened([])
+        flat = np.concatenate([self.flat, ids])
         starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lengths)])
         at[new] = len(self.place) + np.arange(len(new))
         if room := self.most - len(self.place):

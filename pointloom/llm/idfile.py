@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from pointloom.llm.chunks import Table, ids_by_row, slices
+from pointloom.llm.chunks import Table, flattened, ids_by_row, slices
 from pointloom.llm.text import whole
 from pointloom.scratch import new_path
 
@@ -43,6 +43,8 @@ SAMPLE = 256
 FORMAT = "elias_fano_ids"
 END_ID = 1
 READ_IDS = 1 << 20
+JOINED = 256  # chunks encoded in one call
+MARK = "\x01"
 
 
 class EliasFano:
@@ -189,12 +191,30 @@ def _id_bytes(path: str) -> int:
     return 2 if max(t.get_vocab_size(with_added_tokens=True) - 1, END_ID) < 1 << 16 else 4
 
 
-def encode_chunks(chunks: Sequence[str], path: str) -> list[list[int]]:
+def encode_chunks(chunks: Sequence[str], path: str) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, number of ids of each chunk).
+
+    Chunks go to the tokenizer JOINED at a time, a mark between them, whose id tells
+    them apart again; where a chunk has that id too, its neighbours and it go one by one.
+    """
     t = tokenizer(path)
-    out: list[list[int]] = []
-    for k in range(0, len(chunks), 20_000):
-        out += [x.ids for x in t.encode_batch_fast(chunks[k : k + 20_000], add_special_tokens=False)]
-    return out
+    lines = [chunks[k : k + JOINED] for k in range(0, len(chunks), JOINED)]
+    mark = t.encode(MARK, add_special_tokens=False).ids
+    ids, lengths = [np.empty(0, np.int32)], [np.empty(0, np.int64)]
+    for k in range(0, len(lines), 64):
+        some = lines[k : k + 64]
+        joined = t.encode_batch_fast([f" {MARK} ".join(x) for x in some], add_special_tokens=False)
+        for line, found in zip(some, joined, strict=True):
+            own = np.array([*found.ids, *mark], np.int32)
+            at = np.flatnonzero(own == mark[0]) if len(mark) == 1 else ()
+            if len(at) == len(line):
+                ids.append(np.delete(own, at))
+                lengths.append(np.diff(at, prepend=-1) - 1)
+            else:
+                one = flattened([x.ids for x in t.encode_batch_fast(line, add_special_tokens=False)])
+                ids.append(one[0])
+                lengths.append(one[1])
+    return np.concatenate(ids), np.concatenate(lengths)
 
 
 @functools.cache

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.llm.chunks import Table, ids_by_row, slices
+from pointloom.llm.chunks import Table, flattened, ids_by_row, slices
 from pointloom.llm.text import whole
 
 MARK = "▁"  # fixed value: how the library writes a space
@@ -63,7 +63,7 @@ def segment(words: list[str], path: str) -> list[list[int]]:
 @functools.cache
 def table(path: str) -> Table:
     """The worker's table for a model."""
-    return Table(lambda words: segment(words, path))
+    return Table(lambda words: flattened(segment(words, path)))
 
 
 def encoded(docs: DataFrame, model: str, text: str = "text", id_col: str = "doc_id") -> DataFrame:

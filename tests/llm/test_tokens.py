@@ -39,6 +39,16 @@ def test_id_files(spark, messy, documents, nothing):
         assert sorted(got, key=lambda r: r[1]) == want
 
 
+def test_chunks_are_encoded_together():
+    """Many chunks in one string, a mark between them; chunks that hold the mark, or nothing to encode, keep their ids."""
+    t = idfile.tokenizer(WORDS)
+    words = [f"w{k}'s" for k in range(2 * idfile.JOINED + 7)] + ["<|endoftext|>", "\u0301", "\u00a0", "e\u0301", "\ud7ff", "a\u2003b"]
+    for chunks in (words, [*words, idfile.MARK, f"a{idfile.MARK}b"], [idfile.MARK], ["\u00a0"], []):
+        ids, lengths = idfile.encode_chunks(chunks, WORDS)
+        want = [t.encode(x, add_special_tokens=False).ids for x in chunks]
+        assert lengths.tolist() == list(map(len, want)) and ids.tolist() == [x for y in want for x in y]
+
+
 def test_random_access(spark, documents):
     path = new_path(spark, "ids")
     idfile.write(documents, path, WORDS)
