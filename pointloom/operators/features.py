@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.operators.spatial import nearest, neighbours
+from pointloom.operators.spatial import by_place, in_blocks, nearest, tiles
 
 PAIRS = ("xx", "yy", "zz", "xy", "xz", "yz")
 
@@ -58,10 +60,24 @@ def height_proxy(cloud: DataFrame, k: int = 10) -> DataFrame:
     return rise.select("pid", (F.col("rise") / F.when(F.col("span") > 0, F.col("span")).otherwise(F.lit(1.0))).alias("curvature"), F.least(F.lit(1.0), F.col("rise") / 2).alias("verticality"))
 
 
+class _Offsets:
+    """Sums of offsets from each point of a block to those within r."""
+
+    def __init__(self, own: dict[str, np.ndarray], r: float):
+        self.own, self.r = by_place(own, r), r
+        self.sums = np.zeros((3, len(own["pid"])))
+
+    def meet(self, other: dict[str, np.ndarray]) -> None:
+        for rows, _, steps, within in tiles(self.own, other, self.r):
+            for total, step in zip(self.sums, steps, strict=True):
+                total[rows] += np.einsum("ij,ij->i", step, within)
+
+    def result(self) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (self.own["pid"], *self.sums)], ["pid", "sx", "sy", "sz"])
+
+
 def mean_offsets(cloud: DataFrame, r: float) -> DataFrame:
     """(pid, nx, ny, nz): unit sum of offsets to the neighbours within r in space; (0, 1, 0) if they cancel out."""
-    at = lambda p, n: cloud.select(F.col("pid").alias(n), *[F.col(d).alias(f"{p}{d}") for d in "xyz"])
-    near = neighbours(cloud, cloud, r, ("x", "y", "z")).join(at("o", "other"), "other").join(at("p", "pid"), "pid")
-    total = near.groupBy("pid").agg(*[F.sum(F.col(f"o{d}") - F.col(f"p{d}")).alias(f"s{d}") for d in "xyz"])
+    total = in_blocks(cloud, r, (), lambda own: _Offsets(own, r), "pid bigint, sx double, sy double, sz double")
     length = F.sqrt(F.col("sx") * F.col("sx") + F.col("sy") * F.col("sy") + F.col("sz") * F.col("sz"))
     return total.select("pid", *[F.when(length > 1e-12, F.col(f"s{d}") / F.nullif(length, F.lit(0.0))).otherwise(F.lit(1.0 if d == "y" else 0.0)).alias(f"n{d}") for d in "xyz"])

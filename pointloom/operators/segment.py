@@ -11,15 +11,17 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pointloom.operators.classify import clustered
 from pointloom.operators.features import mean_offsets, shape
 from pointloom.operators.filters import building_candidate, trunk_height
-from pointloom.operators.graph import reachable, with_labels
+from pointloom.operators.graph import component_of, with_labels
 from pointloom.operators.prefix import numbered, quantiles
-from pointloom.operators.spatial import neighbours
+from pointloom.operators.spatial import by_place, in_blocks, neighbours, tiles
 from pointloom.operators.stats import spacing
 from pointloom.scratch import stored
 
@@ -194,12 +196,60 @@ def corners(box: DataFrame) -> DataFrame:
     return box.select("building_id", F.inline(F.array(*rows)))
 
 
+class _Links:
+    """Edges that join whatever a block's points and those that pass by are joined to: at most one for each of these and each of the block's."""
+
+    def __init__(self, own: dict[str, np.ndarray], r: float, angle: float):
+        self.own, self.r, self.angle = by_place(own, r), r, angle
+        self.label = np.arange(len(own["pid"]))  # least place of the points known to be joined
+
+    def _join(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Joins the components of points a to those of points b, one by one."""
+        a, b = self.label[a], self.label[b]
+        while (apart := a != b).any():
+            a, b = a[apart], b[apart]
+            up = np.arange(len(self.label))
+            np.minimum.at(up, np.maximum(a, b), np.minimum(a, b))
+            while (up != (over := up[up])).any():
+                up = over
+            self.label, a, b = up[self.label], up[a], up[b]
+
+    def meet(self, other: dict[str, np.ndarray]) -> pa.RecordBatch:
+        link = np.full(len(other["pid"]), -1)  # a point of the block for each other
+        for rows, places, _, within in tiles(self.own, other, self.r):
+            product = sum(self.own[c][rows, None] * other[c][places] for c in ("nx", "ny", "nz"))
+            joined = within & (np.abs(product) > self.angle)
+            some = joined.any(0)
+            places, joined = places[some], joined[:, some]
+            first = joined.argmax(0) + rows.start
+            known = link[places] >= 0
+            self._join(first[known], link[places][known])
+            link[places] = np.where(known, link[places], first)
+            while len(places) and (own := self.label[rows]).min() < own.max():
+                least = np.where(joined, own[:, None], len(self.label)).min(0)
+                lower = np.minimum(own, np.where(joined, least, len(self.label)).min(1))
+                if (lower == own).all():
+                    break
+                self._join(own, lower)
+        has = np.flatnonzero((link >= 0) & (self.own["pid"][link] != other["pid"]))
+        return self._edges(self.own["pid"][link[has]], other["pid"][has])
+
+    def result(self) -> pa.RecordBatch:
+        has = np.flatnonzero(self.label != np.arange(len(self.label)))
+        return self._edges(self.own["pid"][self.label[has]], self.own["pid"][has])
+
+    @staticmethod
+    def _edges(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["pid", "other"])
+
+
 def region(cloud: DataFrame, seed: tuple[float, float, float], radius: float = 1.0, angle: float = 0.3) -> DataFrame:
-    """(pid, steps): the region that grows from the point nearest to the seed, over neighbours within radius in space whose normals (mean_offsets) have a product of more than `angle` in absolute value."""
+    """(pid): the region that grows from the point nearest to the seed, over neighbours within radius in space whose normals (mean_offsets) have a product of more than `angle` in absolute value.
+
+    It is the component of that point. Neighbours are compared in blocks, which keep as many edges as join the same points.
+    """
     away = sum((F.col(d) - x) * (F.col(d) - x) for d, x in zip("xyz", seed, strict=True))
     first = cloud.select("pid", away.alias("away")).orderBy("away", "pid").first()
-    normals = stored(mean_offsets(cloud, radius), "normals")
-    of = lambda pid, n: normals.select(F.col("pid").alias(pid), *[F.col(f"n{d}").alias(f"{n}{d}") for d in "xyz"])
-    edges = neighbours(cloud, cloud, radius, ("x", "y", "z")).where("pid < other").join(of("pid", "a"), "pid").join(of("other", "b"), "other")
-    product = sum(F.col(f"a{d}") * F.col(f"b{d}") for d in "xyz")
-    return reachable(edges.where(F.abs(product) > angle).select("pid", "other"), first["pid"])
+    points = cloud.select("pid", "x", "y", "z").join(mean_offsets(cloud, radius), "pid")
+    edges = in_blocks(points, radius, ("nx", "ny", "nz"), lambda own: _Links(own, radius, angle), "pid bigint, other bigint", ahead=True)
+    return component_of(with_labels(cloud, edges), first["pid"])

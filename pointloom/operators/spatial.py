@@ -9,13 +9,19 @@ A crowded cell is one join key; AQE splits it.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from typing import Protocol
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pointloom.scratch import stored
 
+BLOCK = 1 << 14  # points of a cell that a task holds at once
+TILE = 256, 1024  # points that are compared at once
+
 
 def finite(*cols: str) -> Column:
     """No null, NaN or infinity among the columns."""
@@ -122,3 +128,71 @@ def nearest(left: DataFrame, right: DataFrame, k: int, dims: Sequence[str] = ("x
         if todo.isEmpty():
             return done
         r *= 2
+
+
+class Block(Protocol):
+    """What is made of the points of a block (an array for each column) as others pass by."""
+
+    def meet(self, other: dict[str, np.ndarray]) -> pa.RecordBatch | None: ...
+
+    def result(self) -> pa.RecordBatch | None: ...
+
+
+def in_blocks(cloud: DataFrame, radius: float, columns: Sequence[str], block: Callable[[dict[str, np.ndarray]], Block], schema: str, ahead: bool = False) -> DataFrame:
+    """What blocks make of the points in their cell and the 26 around, or, if ahead, in theirs and 13 of those, so that each pair of cells meets once.
+
+    For work on all pairs within radius in space that needs no table of them: a cell's points are dealt into blocks of
+    about BLOCK, a task holds one block at a time, and the others are sorted behind it and pass a batch at a time.
+    So no task holds more at any density. cloud has pid, x, y, z and the columns, finite ones.
+    """
+    dims, keys = ("x", "y", "z"), ["c0", "c1", "c2"]
+    names = ["pid", *dims, *columns]
+    points = stored(cloud.where(finite(*dims)).select(*names, *[F.floor(F.col(d) / float(radius)).alias(k) for d, k in zip(dims, keys, strict=True)]), "cells")
+    cells = stored(points.groupBy(*keys).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "blocks")
+    steps = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1) if not ahead or (i, j, k) >= (0, 0, 0)]
+    step = F.explode(F.array(*[F.struct(*[F.lit(x).alias(k) for x, k in zip(o, keys, strict=True)]) for o in steps]))
+    own = points.join(cells, keys).select(*names, *keys, F.pmod(F.xxhash64("pid"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("side"))
+    copies = points.withColumn("o", step).select(*names, *[(F.col(k) - F.col(f"o.{k}")).alias(k) for k in keys])
+    others = copies.hint("merge").join(cells, keys).select(*names, *keys, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("side"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, parts, now = None, [], None
+        for batch in batches:
+            key = np.column_stack([batch.column(k).to_numpy() for k in (*keys, "block", "side")])
+            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1), len(key)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                part, place = {c: batch.column(c).to_numpy()[a:b] for c in names}, tuple(key[a, :4]) if b > a else at
+                if place != at and now is not None and (out := now.result()) is not None:
+                    yield out
+                at, parts, now = (at, parts, now) if place == at else (place, [], None)
+                if b > a and not key[a, 4]:
+                    parts.append(part)
+                elif b > a:
+                    now = now or block({c: np.concatenate([x[c] for x in parts]) for c in names})
+                    if (out := now.meet(part)) is not None:
+                        yield out
+        if now is not None and (out := now.result()) is not None:
+            yield out
+
+    return own.unionByName(others).repartition(*keys, "block").sortWithinPartitions(*keys, "block", "side").mapInArrow(run, schema)
+
+
+def tiles(own: dict[str, np.ndarray], other: dict[str, np.ndarray], r: float) -> Iterator[tuple[slice, np.ndarray, list[np.ndarray], np.ndarray]]:
+    """(rows of own, places in other, their offsets by dimension, whether they are within r), TILE at a time; own should be sorted by place."""
+    dims = ("x", "y", "z")
+    for first in range(0, len(own["pid"]), TILE[0]):
+        rows = slice(first, first + TILE[0])
+        near = np.ones(len(other["pid"]), bool)
+        for d in dims:  # a little more, for what rounding does
+            near &= (other[d] >= own[d][rows].min() - r * (1 + 1e-9)) & (other[d] <= own[d][rows].max() + r * (1 + 1e-9))
+        found = np.flatnonzero(near)
+        for k in range(0, len(found), TILE[1]):
+            places = found[k : k + TILE[1]]
+            steps = [other[d][places] - own[d][rows, None] for d in dims]
+            yield rows, places, steps, steps[0] * steps[0] + steps[1] * steps[1] + steps[2] * steps[2] <= r * r
+
+
+def by_place(points: dict[str, np.ndarray], r: float) -> dict[str, np.ndarray]:
+    """The points sorted by cells half as wide as r."""
+    order = np.lexsort([np.floor(points[d] * (2 / r)) for d in ("x", "y", "z")])
+    return {c: v[order] for c, v in points.items()}

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from pointloom.operators import segment
+from pointloom.operators import features, segment, spatial
 from tests.test_graph import as_cloud
 
 
@@ -99,6 +99,33 @@ def test_buildings(spark):
     assert sizes == {k: r.point_count for k, r in rows.items()}
 
 
+@pytest.mark.parametrize(("block", "angle"), [(spatial.BLOCK, 0.6), (7, 0.7)])
+def test_region(spark, monkeypatch, block, angle):
+    """Against all pairs, with cells in one block and in many, points that coincide and one that is far off; no pair of points is a row of a table."""
+    monkeypatch.setattr(spatial, "BLOCK", block)
+    rng = np.random.default_rng(3)
+    p = np.concatenate([rng.uniform(-1, 2, (500, 3)), np.full((300, 3), 0.4), [[30.0, 30.0, 30.0]]])
+    step = p[None] - p[:, None]
+    near = (step**2).sum(2) <= 0.5**2
+    n = (step * near[:, :, None]).sum(1)
+    length = np.linalg.norm(n, axis=1)
+    n = np.where(length[:, None] > 1e-12, n / np.maximum(length, 1e-300)[:, None], [0.0, 1.0, 0.0])
+    cloud = as_cloud(spark, p)
+    got = {r.pid: (r.nx, r.ny, r.nz) for r in features.mean_offsets(cloud, 0.5).collect()}
+    assert sorted(got) == list(range(len(p))) and np.allclose([got[k] for k in range(len(p))], n, atol=1e-9)
+    joined = near & (np.abs(n @ n.T) > angle)
+    seed = int(((p - 0.5) ** 2).sum(1).argmin())
+    want, queue = {seed}, [seed]
+    while queue:
+        for v in np.flatnonzero(joined[queue.pop()]).tolist():
+            if v not in want:
+                want.add(v)
+                queue.append(v)
+    rows = segment.region(cloud, (0.5, 0.5, 0.5), 0.5, angle).collect()
+    assert sorted(r.pid for r in rows) == sorted(want) and 300 < len(want) < 790
+    assert [r.pid for r in segment.region(cloud, (30, 30, 30), 0.5, angle).collect()] == [len(p) - 1]
+
+
 def test_unknown_parameter(spark):
     with pytest.raises(ValueError, match="unknown"):
         segment.given(segment.TREES, {"no_such": 1})
