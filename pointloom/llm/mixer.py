@@ -1,33 +1,40 @@
-"""Language-model scores by logistic context mixing over the bits of words.
+"""Language-model scores by logistic context mixing over the bits of texts.
 
 A text is its class, its lower-cased words, each followed by a space, and an end byte.
-Every bit of that is predicted from contexts that lie within the word: its class with
-the last one to four bytes, with the whole beginning of the word, and that beginning
-in any class. So a word's bits depend on the word and the class alone: each distinct
-pair of them is counted, learned from and scored once, and its score goes to the texts
-that hold it, by how often they do.
+Every bit of that is predicted from contexts: its class with the last one to four
+bytes of the text, whatever words they are of, with the whole beginning of the word,
+and that beginning in any class; in a word's first HEAD bytes also its class with the
+four bytes in front of the word and the beginning. So the bits of a word's first HEAD
+bytes depend on the class, on those and on the four bytes before (a joint), and the
+bits behind them on the word and the class alone: each distinct joint and each
+distinct word of a class is counted, learned from and scored once, and its score goes
+to the texts that hold it, by how often they do. Together they are the bits of the
+text, read in its order.
 
 1. Classes: texts have a profile, the histogram of hashed byte pairs; those of the
    training texts are clustered (centroids.py). The nearest centroid of a text is its
    class, in effect its language or kind.
 2. word_counts(): how often each word of a class (the class as a digit in front of the
-   word) stands in all, in training and in tuning texts, an eighth of those in training.
+   word) and each joint stands in all, in training and in tuning texts, an eighth of
+   those in training.
 3. Bit predictors: a hashed table of (zeros, ones) for each context and bits so far in
    a byte, from the training texts without the tuning texts; tasks count, and chunks of
-   their tables are added up. The table has 16 to 32 slots for a word, 2 ** MOST_BITS at
-   most.
-4. Mixing, learned online by each task over the tuning words, in batches: predictions
-   go in as stretched probabilities, weights are chosen by a gate (how far the longest
-   known contexts reach, and the bit), and each batch moves them after it has been
-   predicted. Then an adaptive map from (gate, mixed probability) to what really came
+   their tables are added up. The table has 16 to 32 slots for a word or joint,
+   2 ** MOST_BITS at most.
+4. Mixing, learned online by each task over the tuning words and joints, in batches:
+   predictions go in as stretched probabilities, weights are chosen by a gate (how far
+   the longest known contexts reach, whether in a joint, and the bit), and each batch
+   moves them after it has been predicted. Then an adaptive map from (gate, mixed probability) to what really came
    refines the result. Spark averages the tasks' weights by what they have seen and adds
    up the maps.
 5. Every word is scored. Bits of a text are those of its class and the sum over its
-   words; each bit's two probabilities sum to one, words end by a byte that none holds
+   joints and words; each bit's two probabilities sum to one, words end by a byte that none holds
    and a text has one class, so texts' probabilities do not sum to more than one.
 6. Texts meet their words' counts and scores: words with at least 1 / FREQUENT of all
    occurrences (at most FREQUENT of them, of at most FREQUENT times the mean length)
    are broadcast, and the others are joined by word. So no frequent word is shuffled.
+   Scores of the most frequent joints, 2 * FREQUENT at most, are broadcast too; the
+   others are scored again in each slice of texts that holds them.
 
 Defined results: null and empty texts have the end alone; a null id has the hash of
 the empty text, which is in training; repeated rows each count and each give a row;
@@ -50,7 +57,7 @@ from pyspark.sql import functions as F
 
 from pointloom.llm import centroids
 from pointloom.llm.text import whole
-from pointloom.llm.tokens import byte_table, terms_of, text_slices
+from pointloom.llm.tokens import Terms, byte_table, terms_of, text_slices
 from pointloom.scratch import stored
 
 FOLDS, HELD_OUT = 5, 1
@@ -60,13 +67,15 @@ PROFILE = centroids.DIMS
 PROFILE_BYTES = 1 << 20
 END = "\n"  # no word holds white space
 TABLE = byte_table()
-ORDERS = 6  # contexts: 1 to 4 bytes, the whole beginning in the class and in all
+ORDERS = 7  # contexts: 1 to 4 bytes, the whole beginning in the class and in all, in joints that behind four bytes
+HEAD = 4  # bytes of a word that belong to its joint
+JOINTS = 1 << 16  # for which all bits are held at once
 MOST_BITS = 23  # of the table's slots
 CHUNK = 1 << 14  # slots of a row
 SLICE_BYTES = 1 << 18  # of words, for which all bits are held at once
 BATCH = 2048  # bytes between two steps of the mixing weights
 REACH, LEVELS = 12.0, 33  # stretched probabilities run to +-REACH, in maps of LEVELS steps
-GATES = 5 * 4
+GATES = 5 * 4 * 2
 RATE = 0.05
 FREQUENT = 1 << 20
 PRIOR = 0.05  # of either bit, before any was seen
@@ -109,11 +118,14 @@ def class_centroids(docs: DataFrame, text: str = "text", id_col: str = "doc_id")
 
 @dataclass
 class Keyed:
-    """distinct: the different words of a class, the class in front; code, row: number in distinct and row of each word; n: words, size: their bytes in each row; of: class of each row."""
+    """distinct: the different words of a class, the class in front; code, row: number in distinct and row of each word; joints: the different ones; joint, joint_row: number in joints and row of each; n: words, size: their bytes in each row; of: class of each row."""
 
     distinct: pa.StringArray
     code: np.ndarray
     row: np.ndarray
+    joints: np.ndarray
+    joint: np.ndarray
+    joint_row: np.ndarray
     n: np.ndarray
     size: np.ndarray
     of: np.ndarray
@@ -122,17 +134,59 @@ class Keyed:
 DIGITS = pa.array([str(k) for k in range(CLASSES)])
 
 
+def edges(words: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first HEAD bytes of each word with its space, its last three bytes, both filled up with spaces, its length)."""
+    at = np.frombuffer(words.buffers()[1], np.int32)[words.offset :][: len(words) + 1].astype(np.int64)
+    data = np.append(np.frombuffer(words.buffers()[2] or b"", np.uint8), np.uint8(32))
+    first, last = np.zeros(len(words), np.uint64), np.zeros(len(words), np.uint64)
+    for k in range(HEAD):
+        first = (first << np.uint64(8)) | np.where(at[:-1] + k < at[1:], data[np.minimum(at[:-1] + k, len(data) - 1)], np.uint64(32))
+    for k in range(3, 0, -1):
+        last = (last << np.uint64(8)) | np.where(at[1:] - k >= at[:-1], data[np.maximum(at[1:] - k, 0)], np.uint64(32))
+    return first, last, np.diff(at)
+
+
+def joints_of(t: Terms, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(joint, row) of all words and ends of the texts, the words' first.
+
+    A joint has eight bytes: the class as a digit, the three bytes of the text in front of the space before
+    the word, spaces where the text begins, and the first HEAD bytes of the word and its space, or END, filled
+    up with spaces. No word holds a space, so a joint says where its word ends.
+    """
+    first, last, length = edges(t.distinct)
+    first, up_to, start = first[t.code], last[t.code], np.uint64(0x202020)
+    begins = np.append(np.ones(min(1, len(t.row)), bool), t.row[1:] != t.row[:-1])
+    # three bytes up to the end of each word: those of a word of one byte reach into the word before
+    short = np.flatnonzero((length == 1)[t.code] & ~begins)
+    up_to[short] = ((up_to[short - 1] & np.uint64(0xFF)) << np.uint64(16)) | (up_to[short] & np.uint64(0xFFFF))
+    tail = np.empty_like(up_to)
+    tail[1:] = up_to[:-1]
+    tail[begins] = start
+    rows = np.arange(len(of))
+    at_end = np.full(len(of), start)
+    at_end[t.row] = up_to  # of the last word
+    digit = (of + 48).astype(np.uint64) << np.uint64(24)
+    end = np.uint64(int.from_bytes(END.encode().ljust(HEAD), "big"))
+    joints = [((d | x) << np.uint64(32)) | h for d, x, h in ((digit[t.row], tail, first), (digit, at_end, end))]
+    return np.concatenate(joints).view(np.int64), np.concatenate([t.row, rows])
+
+
 def keyed(texts: pa.StringArray, middles: np.ndarray) -> Keyed:
     t = terms_of(texts, TABLE)
     of = centroids.squared(np.floor(profiles(texts) * centroids.SCALE).astype(np.int64), middles).argmin(1)
-    pairs, code = np.unique(of[t.row] * np.int64(len(t.distinct)) + t.code, return_inverse=True)
-    kind, word = np.divmod(pairs, max(len(t.distinct), 1))
+    pairs = pa.array(of[t.row] * np.int64(len(t.distinct)) + t.code).dictionary_encode()
+    kind, word = np.divmod(pairs.dictionary.to_numpy(), max(len(t.distinct), 1))
+    code = pairs.indices.to_numpy()
     size = pc.binary_length(t.distinct).to_numpy(zero_copy_only=False)[t.code]
-    return Keyed(pc.binary_join_element_wise(DIGITS.take(pa.array(kind)), t.distinct.take(pa.array(word)), ""), code, t.row, t.n, np.bincount(t.row, size + 1, len(texts)).astype(np.int64), of)
+    joints, joint_row = joints_of(t, of)
+    joints = pa.array(joints).dictionary_encode()
+    distinct = pc.binary_join_element_wise(DIGITS.take(pa.array(kind)), t.distinct.take(pa.array(word)), "")
+    return Keyed(distinct, code, t.row, joints.dictionary.to_numpy(), joints.indices.to_numpy(), joint_row, t.n, np.bincount(t.row, size + 1, len(texts)).astype(np.int64), of)
 
 
 def word_counts(docs: DataFrame, middles: np.ndarray, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(word, n_all, n_train, n_tune, n_word, first) of the words of each class, the end of a text being a word too; n_word counts the word in the training texts of all classes, first says so for one class of each word."""
+    """(word, joint, n_all, n_train, n_tune) of the words of each class, joint null, the end of a text being a word too, and of the joints, word null."""
+    numbers = ["n_all", "n_train", "n_tune"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,41 +194,75 @@ def word_counts(docs: DataFrame, middles: np.ndarray, text: str = "text", id_col
                 t, h = keyed(part.column("text"), middles), part.column("h").to_numpy()
                 train = (h % FOLDS != HELD_OUT).astype(np.float64)
                 tune = train * (h // FOLDS % TUNING == 0)
-                n = [np.append(np.bincount(t.code, w[t.row], len(t.distinct)), np.bincount(t.of, w, CLASSES)).astype(np.int64) for w in (np.ones(part.num_rows), train, tune)]
-                yield pa.RecordBatch.from_arrays([pa.concat_arrays([t.distinct, pa.array([f"{k}{END}" for k in range(CLASSES)])]), *map(pa.array, n)], ["word", "n_all", "n_train", "n_tune"])
+                kinds = (np.ones(part.num_rows), train, tune)
+                n = [np.append(np.bincount(t.code, w[t.row], len(t.distinct)), np.bincount(t.of, w, CLASSES)).astype(np.int64) for w in kinds]
+                words = pa.concat_arrays([t.distinct, pa.array([f"{k}{END}" for k in range(CLASSES)])])
+                yield pa.RecordBatch.from_arrays([words, pa.nulls(len(words), pa.int64()), *map(pa.array, n)], ["word", "joint", *numbers])
+                n = [np.bincount(t.joint, w[t.joint_row], len(t.joints)).astype(np.int64) for w in kinds]
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(t.joints), pa.string()), pa.array(t.joints), *map(pa.array, n)], ["word", "joint", *numbers])
 
     rows = docs.select(hashed(F.col(id_col)).alias("h"), whole(text).alias("text"))
-    parts = rows.mapInArrow(run, "word string, n_all bigint, n_train bigint, n_tune bigint")
-    counts = parts.groupBy("word").agg(*[F.sum(c).alias(c) for c in parts.columns[1:]]).where("n_all > 0")
+    parts = rows.mapInArrow(run, "word string, joint bigint, n_all bigint, n_train bigint, n_tune bigint")
+    return parts.groupBy("word", "joint").agg(*[F.sum(c).alias(c) for c in numbers]).where("n_all > 0")
+
+
+def known_words(counts: DataFrame) -> DataFrame:
+    """The words of word_counts() with n_word, which counts the word in the training texts of all classes, and first, which says so for one class of each word."""
     same = Window.partitionBy(F.substring("word", 2, 1 << 30))  # CLASSES rows at most
-    return counts.withColumns({"n_word": F.sum("n_train").over(same), "first": F.col("word") == F.min("word").over(same)})
+    return counts.where("joint IS NULL").drop("joint").withColumns({"n_word": F.sum("n_train").over(same), "first": F.col("word") == F.min("word").over(same)})
+
+
+POWER = 0x9E3779B97F4A7C15
 
 
 class Bits:
-    """The bits of words behind their class, and the slots of their contexts."""
+    """The bits of words behind their class, from the byte `skip` on, and the slots of their contexts."""
 
-    def __init__(self, words: pa.StringArray, table_bits: int):
+    def __init__(self, words: pa.StringArray, table_bits: int, skip: int = 0):
         ended = pc.binary_join_element_wise(words, pc.if_else(pc.ends_with(words, END), "", " "), "")
         at = np.frombuffer(ended.buffers()[1], np.int32)[: len(ended) + 1].astype(np.int64)
         data = np.frombuffer(ended.buffers()[2] or b"", np.uint8)[: at[-1]]
         own = np.ones(len(data), bool)
         own[at[:-1]] = False  # the class
         kind, at = data[at[:-1]].astype(np.uint64), at - np.arange(len(at))
-        self.byte, self.table_bits = data[own], table_bits
-        self.word = np.repeat(np.arange(len(words)), np.diff(at))
-        place = np.arange(len(self.byte)) - at[self.word]
-        before = np.concatenate([np.full(4, 32, np.uint8), self.byte]).astype(np.uint64)
-        seen, contexts = kind[self.word], []
-        for k in range(1, 5):
-            seen = (seen << np.uint64(8)) | np.where(place >= k, before[4 - k : len(before) - k], np.uint64(32))
-            contexts.append(seen)
+        byte = data[own]
+        word = np.repeat(np.arange(len(words)), np.diff(at))
+        place = np.arange(len(byte)) - at[word]
+        before = np.concatenate([np.full(4, 32, np.uint8), byte]).astype(np.uint64)
         # a sum of bytes times powers by place, without the byte itself; wraps around as it should
-        power = np.full(int(place.max(initial=0)) + 1, 0x9E3779B97F4A7C15, np.uint64)
+        power = np.full(int(place.max(initial=0)) + 1, POWER, np.uint64)
         power[0] = 1
         power = np.cumprod(power, dtype=np.uint64)
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((self.byte.astype(np.uint64) + np.uint64(1)) * power[place], dtype=np.uint64)])
-        start = sums[:-1] - sums[at[self.word]]
-        contexts += [start ^ (kind[self.word] << np.uint64(56)), start]
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((byte.astype(np.uint64) + np.uint64(1)) * power[place], dtype=np.uint64)])
+        start = sums[:-1] - sums[at[word]]
+        last = [np.where(place >= k, before[4 - k : len(before) - k], np.uint64(32)) for k in range(1, 5)]
+        some = np.flatnonzero(place >= skip) if skip else slice(None)
+        self._set(byte[some], word[some], table_bits, kind[word][some], [x[some] for x in last], start[some], [])
+
+    @classmethod
+    def of_joints(cls, joints: np.ndarray, table_bits: int) -> Bits:
+        """The bits of the joints' words."""
+        own = joints.astype(">i8").view(np.uint8).reshape(-1, 8)
+        space = np.full((len(own), 1), 32, np.uint8)
+        data = np.hstack([own[:, 1:4], space, own[:, 4:]]).astype(np.uint64)  # the last four bytes and the first HEAD
+        head = data[:, 4:]
+        more = (head != 32) & (head != ord(END))
+        coded = np.hstack([np.ones((len(own), 1), bool), np.logical_and.accumulate(more, 1)[:, :-1]])
+        power = np.cumprod(np.array([1] + [POWER] * (HEAD - 1), np.uint64), dtype=np.uint64)
+        start = np.hstack([np.zeros((len(own), 1), np.uint64), np.cumsum((head + np.uint64(1)) * power, 1, dtype=np.uint64)[:, :-1]])[coded]
+        word = np.nonzero(coded)[0]
+        bits = cls.__new__(cls)
+        ahead = (joints.view(np.uint64) >> np.uint64(32))[word] * np.uint64(0xA0761D6478BD642F)
+        bits._set(head[coded].astype(np.uint8), word, table_bits, own[word, 0].astype(np.uint64), [data[:, 4 - k : 4 - k + HEAD][coded] for k in range(1, 5)], start, [start + ahead])
+        return bits
+
+    def _set(self, byte: np.ndarray, word: np.ndarray, table_bits: int, kind: np.ndarray, last: list[np.ndarray], start: np.ndarray, more: list[np.ndarray]) -> None:
+        self.byte, self.word, self.table_bits = byte, word, table_bits
+        seen, contexts = kind, []
+        for x in last:
+            seen = (seen << np.uint64(8)) | x
+            contexts.append(seen)
+        contexts += [start ^ (kind << np.uint64(56)), start, *more]
         self.contexts = [(c + np.uint64(k + 1)) * np.uint64(0xC2B2AE3D27D4EB4F) for k, c in enumerate(contexts)]
 
     def slots(self, bit: int, part: slice = slice(None)) -> Iterator[np.ndarray]:
@@ -193,6 +281,17 @@ def word_slices(batch: pa.RecordBatch, most: int = SLICE_BYTES) -> Iterator[pa.R
     return text_slices(batch, "word", most)
 
 
+def unit_slices(batch: pa.RecordBatch, table_bits: int) -> Iterator[tuple[pa.RecordBatch, Bits]]:
+    """Parts of a batch of words and joints, each of either, with their bits."""
+    of_word = pc.is_null(batch.column("joint"))
+    for part in word_slices(batch.filter(of_word)):
+        yield part, Bits(part.column("word"), table_bits, HEAD)
+    joints = batch.filter(pc.invert(of_word))
+    for first in range(0, joints.num_rows, JOINTS):
+        part = joints.slice(first, JOINTS)
+        yield part, Bits.of_joints(part.column("joint").to_numpy(), table_bits)
+
+
 def bit_tables(counts: DataFrame, table_bits: int) -> DataFrame:
     """(chunk, slots): stretched probabilities and sizes of the slots of a chunk."""
     n_slots = 1 << table_bits
@@ -201,15 +300,15 @@ def bit_tables(counts: DataFrame, table_bits: int) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = None
         for batch in batches:
-            for part in word_slices(batch):
+            for part, bits in unit_slices(batch, table_bits):
                 table = np.zeros(n_slots * 2, np.float32) if table is None else table
-                bits = Bits(part.column("word"), table_bits)
                 once = part.column("n").to_numpy().astype(np.float32)[bits.word]
-                again = np.where(once > 1, once, np.float32(0))  # words that occur once are no beginnings to rely on
+                again = np.where(once > 1, once, np.float32(0))  # words and joints that occur once are no beginnings to rely on
+                long = 3 if len(bits.contexts) < ORDERS else ORDERS - 2  # the heads of all words make few beginnings
                 for b in range(8):
                     one = bits.value(b)
                     for k, slot in enumerate(bits.slots(b)):
-                        np.add.at(table, slot * 2 + one, again if k > 3 else once)
+                        np.add.at(table, slot * 2 + one, again if k > long else once)
         for k in range(n_slots // chunk) if table is not None else ():
             own = table[k * chunk * 2 : (k + 1) * chunk * 2]
             if len(place := np.flatnonzero(own)):
@@ -235,7 +334,7 @@ def bit_tables(counts: DataFrame, table_bits: int) -> DataFrame:
         if now is not None:
             yield finish(now, total)
 
-    parts = counts.select("word", (F.col("n_train") - F.col("n_tune")).alias("n")).where("n > 0").mapInArrow(count, "chunk int, place binary, n binary")
+    parts = counts.select("word", "joint", (F.col("n_train") - F.col("n_tune")).alias("n")).where("n > 0").mapInArrow(count, "chunk int, place binary, n binary")
     return parts.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(add, "chunk int, slots binary")
 
 
@@ -253,16 +352,15 @@ class Tables:
 
     def inputs(self, bits: Bits, bit: int, part: slice) -> tuple[np.ndarray, np.ndarray]:
         """(stretched probabilities of the contexts and a constant, gate)."""
-        x, reach, sure = np.empty((len(bits.byte[part]), ORDERS + 1), np.float32), 0, 0
+        x, reach, sure = np.zeros((len(bits.byte[part]), ORDERS + 1), np.float32), 0, 0
         for k, slot in enumerate(bits.slots(bit, part)):
             x[:, k] = self.stretched[slot]
-            size = self.size[slot]
             if k < 4:
-                reach = np.where(size > 0, k + 1, reach)
-            sure = size if k == 4 else sure
+                reach = np.where(self.size[slot] > 0, k + 1, reach)
+            sure = self.size[slot] if k == 4 else sure
         x[:, :ORDERS] /= FINE
         x[:, ORDERS] = 0.3
-        return x, reach * 4 + np.searchsorted([1, 3, 7], sure, side="right")
+        return x, reach * 4 + np.searchsorted([1, 3, 7], sure, side="right") + (20 if len(bits.contexts) == ORDERS else 0)
 
 
 def squashed(t: np.ndarray) -> np.ndarray:
@@ -280,7 +378,7 @@ class Mix:
 
     def predict(self, x: np.ndarray, gate: np.ndarray, bit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(probability of a one, that before the map, lower level of the map, share of the upper level)."""
-        t = np.clip((x * self.weights[gate * 8 + bit]).sum(1), -REACH + 1e-6, REACH - 1e-6)
+        t = np.clip(np.einsum("ij,ij->i", x, self.weights[gate * 8 + bit]), -REACH + 1e-6, REACH - 1e-6)
         place = (t + REACH) * ((LEVELS - 1) / (2 * REACH))
         low = place.astype(np.int64)
         share, low = place - low, low + gate * LEVELS
@@ -310,8 +408,8 @@ def learned(counts: DataFrame, tables) -> Mix:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mix, start = Mix(), Mix()
         for batch in batches:
-            for words in word_slices(batch):
-                bits, n = Bits(words.column("word"), tables.value.table_bits), words.column("n_tune").to_numpy().astype(np.float64)
+            for units, bits in unit_slices(batch, tables.value.table_bits):
+                n = units.column("n_tune").to_numpy().astype(np.float64)
                 for first in range(0, len(bits.byte), BATCH):
                     part = slice(first, first + BATCH)
                     for b in range(8):
@@ -322,7 +420,7 @@ def learned(counts: DataFrame, tables) -> Mix:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), kind), pa.int32()), pa.array(some, pa.int32()), pa.array(values[some])], ["kind", "place", "value"])
 
     # by hash: the words come in no order that says something of them
-    rows = counts.where("n_tune > 0").select("word", "n_tune", F.xxhash64("word").alias("h")).sortWithinPartitions("h").drop("h")
+    rows = counts.where("n_tune > 0").select("word", "joint", "n_tune", F.xxhash64("word", "joint").alias("h")).sortWithinPartitions("h").drop("h")
     mix = Mix()
     total = [np.zeros(mix.weights.size), np.zeros(mix.mass.size), np.zeros(mix.ones.size), np.zeros(mix.all.size)]
     for r in rows.mapInArrow(run, "kind int, place int, value double").groupBy("kind", "place").agg(F.sum("value").alias("value")).collect():  # as many rows as a mix has numbers
@@ -333,16 +431,26 @@ def learned(counts: DataFrame, tables) -> Mix:
     return mix
 
 
-def word_bits(words: pa.StringArray, tables: Tables, mix: Mix) -> np.ndarray:
-    """Bits that each word costs, with the space behind it."""
-    bits = Bits(words, tables.table_bits)
+def cost_of(bits: Bits, n: int, tables: Tables, mix: Mix) -> np.ndarray:
+    """What the bits cost, summed for each of n words or joints."""
     cost = np.zeros(len(bits.byte))
     for first in range(0, len(cost), 1 << 16):
         part = slice(first, first + (1 << 16))
         for b in range(8):
             p = mix.predict(*tables.inputs(bits, b, part), b)[0]
             cost[part] -= np.log2(np.where(bits.value(b, part) == 1, p, 1 - p))
-    return np.bincount(bits.word, cost, len(words)).astype(np.float64)
+    return np.bincount(bits.word, cost, n).astype(np.float64)
+
+
+def word_bits(words: pa.StringArray, tables: Tables, mix: Mix, skip: int = 0) -> np.ndarray:
+    """Bits that each word costs from its byte `skip` on, with the space behind it."""
+    return cost_of(Bits(words, tables.table_bits, skip), len(words), tables, mix)
+
+
+def joint_bits(joints: np.ndarray, tables: Tables, mix: Mix) -> np.ndarray:
+    """Bits that the words' first HEAD bytes cost behind what the joints have in front of them."""
+    parts = [joints[k : k + JOINTS] for k in range(0, len(joints), JOINTS)]
+    return np.concatenate([np.zeros(0), *(cost_of(Bits.of_joints(j, tables.table_bits), len(j), tables, mix) for j in parts)])
 
 
 def model(counts: DataFrame) -> tuple:
@@ -354,15 +462,33 @@ def model(counts: DataFrame) -> tuple:
     return tables, learned(counts, tables)
 
 
-def word_scores(counts: DataFrame, tables, mix: Mix) -> DataFrame:
-    """(word, n_all, n_word, bits)."""
+def word_scores(words: DataFrame, tables, mix: Mix) -> DataFrame:
+    """(word, n_all, n_word, bits), bits being those behind the first HEAD bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in word_slices(batch):
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("word", "n_all", "n_word")), pa.array(word_bits(part.column("word"), tables.value, mix))], ["word", "n_all", "n_word", "bits"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("word", "n_all", "n_word")), pa.array(word_bits(part.column("word"), tables.value, mix, HEAD))], ["word", "n_all", "n_word", "bits"])
+
+    return words.select("word", "n_all", "n_word").mapInArrow(run, "word string, n_all bigint, n_word bigint, bits double")
+
+
+def most_frequent(joints: DataFrame, most: int) -> DataFrame:
+    """At most so many joints: all that occur so often that there are no more."""
+    # as many rows as there are different counts, the root of twice the tokens at most
+    steps = sorted(((r.n_all, r["count"]) for r in joints.groupBy("n_all").count().collect()), reverse=True)
+    within = np.cumsum([n for _, n in steps]) <= most
+    return joints.where(F.col("n_all") >= min((n for (n, _), fits in zip(steps, within, strict=True) if fits), default=1 << 62))
+
+
+def joint_scores(joints: DataFrame, tables, mix: Mix) -> DataFrame:
+    """(joint, bits)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("joint"), pa.array(joint_bits(batch.column("joint").to_numpy(), tables.value, mix))], ["joint", "bits"])
 
-    return counts.select("word", "n_all", "n_word").mapInArrow(run, "word string, n_all bigint, n_word bigint, bits double")
+    return joints.select("joint").mapInArrow(run, "joint bigint, bits double")
 
 
 def scored(docs: DataFrame, text: str = "text", id_col: str = "doc_id", frequent: int = FREQUENT) -> DataFrame:
@@ -371,8 +497,10 @@ def scored(docs: DataFrame, text: str = "text", id_col: str = "doc_id", frequent
     kind = docs.schema[id_col].dataType.simpleString()
     middles = class_centroids(docs, text, id_col)
     counts = stored(word_counts(docs, middles, text, id_col), "word_counts")
-    words = stored(word_scores(counts, *model(counts)), "word_scores")
-    n_all, n_train, n_words = counts.agg(F.sum("n_all"), F.sum("n_train"), F.count_if(F.col("first") & (F.col("n_word") > 0))).first()
+    tables, mix = model(counts)
+    own = stored(known_words(counts), "known_words")
+    words = stored(word_scores(own, tables, mix), "word_scores")
+    n_all, n_train, n_words = own.agg(F.sum("n_all"), F.sum("n_train"), F.count_if(F.col("first") & (F.col("n_word") > 0))).first()
     if not n_all:  # no text at all
         return spark.createDataFrame([], f"`{id_col}` {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, n_bytes bigint, bits_per_byte double")
     of_all = math.log10(n_train + 0.5 * (n_words + 1))
@@ -380,11 +508,14 @@ def scored(docs: DataFrame, text: str = "text", id_col: str = "doc_id", frequent
     ends, in_class = np.zeros((CLASSES, 2)), np.full(CLASSES, 0.5)
     for r in words.where(F.substring("word", 2, 1) == END).collect():
         ends[int(r.word[0])] = r.n_word, r.bits
-    for r in counts.where(F.substring("word", 2, 1) == END).collect():
+    for r in own.where(F.substring("word", 2, 1) == END).collect():
         in_class[int(r.word[0])] += r.n_train
     ends[:, 1] -= np.log2(in_class / in_class.sum())
     # at most `frequent` words can have so large a share
     common = words.where(F.col("n_all") * frequent >= n_all).toArrow().combine_chunks()
+    usual = joint_scores(most_frequent(counts.where("joint IS NOT NULL"), 2 * frequent), tables, mix).toArrow()
+    order = np.argsort(usual.column("joint").to_numpy())
+    usual = spark.sparkContext.broadcast(tuple(usual.column(c).to_numpy()[order] for c in ("joint", "bits")))
     shared = spark.sparkContext.broadcast((pa.array(common.column("word").to_pylist(), pa.string()), *(common.column(c).to_numpy() for c in ("n_word", "bits"))))
     numbers = ["n_tokens", "n_known", "n_bytes", "base", "bits"]
 
@@ -397,7 +528,12 @@ def scored(docs: DataFrame, text: str = "text", id_col: str = "doc_id", frequent
                 row, here = t.row[at >= 0], at[at >= 0]
                 add = lambda x: np.bincount(row, x[here], part.num_rows).astype(np.float64)  # noqa: B023, E731
                 end = ends[t.of]
-                sums = [t.n + 1, add(n > 0).astype(np.int64) + (end[:, 0] > 0), t.size + 1, add(np.log10(n + 0.5)) + np.log10(end[:, 0] + 0.5), add(bits) + end[:, 1]]
+                place = np.minimum(np.searchsorted(usual.value[0], t.joints), max(len(usual.value[0]) - 1, 0))
+                there = usual.value[0][place] == t.joints if len(usual.value[0]) else np.zeros(len(t.joints), bool)
+                cost = np.empty(len(t.joints))
+                cost[there], cost[~there] = usual.value[1][place[there]], joint_bits(t.joints[~there], tables.value, mix)
+                in_joints = np.bincount(t.joint_row, cost[t.joint], part.num_rows)
+                sums = [t.n + 1, add(n > 0).astype(np.int64) + (end[:, 0] > 0), t.size + 1, add(np.log10(n + 0.5)) + np.log10(end[:, 0] + 0.5), add(bits) + end[:, 1] + in_joints]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("key", "id", "held_out")), *map(pa.array, sums), pa.nulls(part.num_rows, pa.string()), pa.nulls(part.num_rows, pa.int64())], ["key", "id", "held_out", *numbers, "word", "times"])
                 pairs, times = np.unique(t.row[at < 0].astype(np.int64) * len(t.distinct) + t.code[at < 0], return_counts=True)
                 row, code = np.divmod(pairs, max(len(t.distinct), 1))

@@ -124,3 +124,54 @@ def test_contexts_stay_in_the_word():
     mix = mixer.Mix()
     apart = [mixer.word_bits(pa.array([w]), tables, mix)[0] for w in words[:50]]
     assert np.allclose(mixer.word_bits(pa.array(words), tables, mix)[:50], apart)
+
+
+def test_joints_follow_the_text():
+    """Each word's joint is made of its class, the three bytes before the space before it and its first four, whatever words they are of."""
+    texts = ["", "a", "a b cd efg hijklm", " x  yz\tw ", "é ünd 漢字 a", "A longer A text", "q\x00 \x00"]
+    t = mixer.terms_of(pa.array(texts), mixer.TABLE)
+    of = np.arange(len(texts)) % mixer.CLASSES
+    joints, row = mixer.joints_of(t, of)
+    want = []
+    for k, text in enumerate(texts):
+        before = b"    "
+        for w in tokens(text):
+            w = w.encode() + (b"" if w == mixer.END else b" ")
+            want.append((k, str(of[k]).encode() + before[-4:-1] + w[:4].ljust(4)))
+            before += w
+    assert sorted(zip(row.tolist(), (int(j).to_bytes(8, "big") for j in joints), strict=True)) == sorted(want)
+
+
+def test_joints_and_words_make_the_text():
+    """The bytes of a joint and of its word behind it are those of the word, in the same contexts as far as these lie within it; over all values of a byte the probabilities sum to one."""
+    words = ["a", "ab", "abc", "abcd", "abcdefg", "dé漢"]
+    t = mixer.terms_of(pa.array([" ".join(words)]), mixer.TABLE)
+    joints, _ = mixer.joints_of(t, np.zeros(1, np.int64))
+    head, body, whole = mixer.Bits.of_joints(joints, 14), mixer.Bits(pa.array(["0" + w for w in words]), 14, mixer.HEAD), mixer.Bits(pa.array(["0" + w for w in words]), 14)
+    for k, w in enumerate(words):
+        assert head.byte[head.word == k].tobytes() + body.byte[body.word == k].tobytes() == w.encode() + b" "
+        for c in (4, 5):
+            assert np.append(head.contexts[c][head.word == k], body.contexts[c][body.word == k]).tolist() == whole.contexts[c][whole.word == k].tolist()
+    assert head.byte[head.word == len(words)].tobytes() == mixer.END.encode()
+    tables, mix = trained()[0], mixer.Mix()
+    heads = np.array([int.from_bytes(b"0and" + bytes([v]) + b"   ", "big") for v in range(256) if v not in (10, 32)])
+    first = mixer.Bits.of_joints(heads, 14)
+    first.byte = np.arange(256, dtype=np.uint8)
+    first.contexts = [np.full(256, c[0]) for c in first.contexts]
+    first.word = np.arange(256)
+    assert (2.0 ** -mixer.cost_of(first, 256, tables, mix)).sum() == pytest.approx(1, abs=1e-9)
+
+
+def test_words_are_predicted_from_those_before(spark):
+    """Two held-out texts of the same words: the one in the order of the training texts is the likelier."""
+    rng = np.random.default_rng(8)
+    follow = {a: b for a, b in zip(["river", "stone", "candle", "window", "garden", "paper"], ["quickly", "zebra", "velvet", "jumps", "under", "mixed"], strict=True)}
+    pairs = list(follow.items())
+    ids = [k for k in range(3000) if fold(k) != 1][:600]
+    rows = [(k, " ".join(w for i in rng.integers(0, 6, 12) for w in pairs[i])) for k in ids]
+    held = [k for k in range(4000, 5000) if fold(k) == 1][:2]
+    rows += [(held[0], " ".join(w for p in pairs for w in p)), (held[1], " ".join(w for a, (_, b) in zip(follow, pairs[1:] + pairs[:1], strict=True) for w in (a, b)))]
+    got = {r.doc_id: r for r in mixer.scored(spark.createDataFrame(rows, "doc_id bigint, text string")).where("held_out").collect()}
+    assert sorted(tokens(rows[-1][1])) == sorted(tokens(rows[-2][1]))
+    assert got[held[0]].base_score == pytest.approx(got[held[1]].base_score)
+    assert got[held[0]].score > got[held[1]].score + 3
