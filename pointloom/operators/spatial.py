@@ -43,8 +43,8 @@ def _cells(df: DataFrame, dims: Sequence[str], width: Column, prefix: str) -> Da
     return df.withColumns({f"{prefix}c{k}": F.floor(F.col(f"{prefix}{d}") / width) for k, d in enumerate(dims)})
 
 
-def neighbours(left: DataFrame, right: DataFrame, radius: float | Column, dims: Sequence[str] = ("x", "y"), by: Sequence[str] = (), copy_left: bool = False) -> DataFrame:
-    """(pid, other, d2) for all left and right points within radius of one another, a point and itself included if it is on both sides.
+def neighbours(left: DataFrame, right: DataFrame, radius: float | Column, dims: Sequence[str] = ("x", "y"), by: Sequence[str] = (), copy_left: bool = False, cells: bool = False) -> DataFrame:
+    """(pid, other, d2), with `by` and, if asked for, the left point's cell c0, c1, ..., for all left and right points within radius of one another, a point and itself included if it is on both sides.
 
     The right side is copied to the cells around its points, or the left one: the smaller should be.
 
@@ -67,7 +67,7 @@ def neighbours(left: DataFrame, right: DataFrame, radius: float | Column, dims:
         on &= a[c].eqNullSafe(b[c])
     d2 = square_distance("a_", "b_", dims)
     joined = a.hint("merge").join(b, on & (d2 <= F.col("a_r") * F.col("a_r")))
-    return joined.select("pid", "other", d2.alias("d2"), *[a[c] for c in by])
+    return joined.select("pid", "other", d2.alias("d2"), *[a[c] for c in by], *[F.col(f"a_c{k}").alias(f"c{k}") for k in range(len(dims) if cells else 0)])
 
 
 def radius_counts(cloud: DataFrame, radius: float, dims: Sequence[str] = ("x", "y"), by: Sequence[str] = ()) -> DataFrame:
@@ -98,6 +98,9 @@ def nearest(left: DataFrame, right: DataFrame, k: int, dims: Sequence[str] = ("x
 
     A point is certain once it has k neighbours within the search radius; the
     others go on with twice the radius, so each round has only what is left.
+    Of a cloud and itself, the first round copies the right side, so that all that a
+    point meets is in one cell and is ranked where it was joined, without a shuffle;
+    the later ones copy the few points that are left.
     """
     need = k
     r = radius or good_radius(right, k, dims)
@@ -108,11 +111,12 @@ def nearest(left: DataFrame, right: DataFrame, k: int, dims: Sequence[str] = ("x
     across = sum((max(reach[f"hi_{d}"], seen[f"hi_{d}"]) - min(reach[f"lo_{d}"], seen[f"lo_{d}"])) ** 2 for d in dims) ** 0.5
     todo, done = left.select("pid", *dims), None
     while True:
-        near = neighbours(todo, right, r, dims, copy_left=True)
+        at_home = left is right and done is None
+        near = neighbours(todo, right, r, dims, copy_left=not at_home, cells=at_home)
         if skip_self:
             near = near.where("pid <> other")
-        rank = F.row_number().over(Window.partitionBy("pid").orderBy("d2", "other"))
-        best = near.withColumn("rank", rank).where(F.col("rank") <= need)
+        rank = F.row_number().over(Window.partitionBy(*(f"c{k}" for k in range(len(dims) if at_home else 0)), "pid").orderBy("d2", "other"))
+        best = near.withColumn("rank", rank).where(F.col("rank") <= need).select("pid", "other", "d2", "rank")
         last = r > across
         if last:
             part = best

@@ -129,3 +129,18 @@ def test_region(spark, monkeypatch, block, angle):
 def test_unknown_parameter(spark):
     with pytest.raises(ValueError, match="unknown"):
         segment.given(segment.TREES, {"no_such": 1})
+
+
+def test_nearest_ranks_where_it_joins(spark, monkeypatch):
+    """Of a cloud and itself, the first round shuffles points by cell, not what they meet by pid; far points go on to later rounds."""
+    rng = np.random.default_rng(12)
+    at = np.concatenate([rng.uniform(0, 10, (300, 3)), [[400.0, 0, 0], [0, 900, 0]]])
+    cloud = spark.createDataFrame([(k, *map(float, p)) for k, p in enumerate(at)], "pid bigint, x double, y double, z double")
+    plans, real = [], spatial.stored
+    monkeypatch.setattr(spatial, "stored", lambda df, name: (name == "nearest" and plans.append(df._jdf.queryExecution().executedPlan().toString()), real(df, name))[1])
+    got = {}
+    for r in spatial.nearest(cloud, cloud, 4).collect():
+        got.setdefault(r.pid, {})[r["rank"]] = r.other
+    assert "hashpartitioning(pid" not in plans[0] and len(plans) > 1
+    d2 = ((at[:, None, :2] - at[None, :, :2]) ** 2).sum(2)
+    assert got == {k: {n + 1: int(o) for n, o in enumerate(np.lexsort([np.arange(len(at)), d2[k]])[:4])} for k in range(len(at))}
