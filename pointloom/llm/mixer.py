@@ -20,7 +20,8 @@ text, read in its order.
 3. Bit predictors: a hashed table of (zeros, ones) for each context and bits so far in
    a byte, from the training texts without the tuning texts; tasks count, and chunks of
    their tables are added up. The table has 16 to 32 slots for a word or joint,
-   2 ** MOST_BITS at most.
+   2 ** MOST_BITS at most. A context is hashed once for each half of a byte, whose four
+   bits have their slots side by side.
 4. Mixing, learned online by each task over the tuning words and joints, in batches:
    predictions go in as stretched probabilities, weights are chosen by a gate (how far
    the longest known contexts reach, whether in a joint, and the bit), and each batch
@@ -80,6 +81,8 @@ RATE = 0.05
 FREQUENT = 1 << 20
 PRIOR = 0.05  # of either bit, before any was seen
 FINE = 2048  # steps of a stretched probability in a table
+SURE = np.searchsorted([1, 3, 7], np.arange(16), side="right").astype(np.uint8)  # what a slot's size says in a gate
+PART = 1 << 12  # bytes that are counted or scored at once, so that what is made of them stays in a core's cache
 
 
 def hashed(doc_id: Column) -> Column:
@@ -174,14 +177,15 @@ def joints_of(t: Terms, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def keyed(texts: pa.StringArray, middles: np.ndarray) -> Keyed:
     t = terms_of(texts, TABLE)
     of = centroids.squared(np.floor(profiles(texts) * centroids.SCALE).astype(np.int64), middles).argmin(1)
-    pairs = pa.array(of[t.row] * np.int64(len(t.distinct)) + t.code).dictionary_encode()
-    kind, word = np.divmod(pairs.dictionary.to_numpy(), max(len(t.distinct), 1))
-    code = pairs.indices.to_numpy()
+    pairs, seen = of[t.row] * np.int64(len(t.distinct)) + t.code, np.zeros(CLASSES * len(t.distinct), bool)
+    seen[pairs] = True
+    kind, word = np.divmod(np.flatnonzero(seen), max(len(t.distinct), 1))
+    code = (np.cumsum(seen) - 1)[pairs]
     size = pc.binary_length(t.distinct).to_numpy(zero_copy_only=False)[t.code]
     joints, joint_row = joints_of(t, of)
-    joints = pa.array(joints).dictionary_encode()
+    joints, joint = np.unique(joints, return_inverse=True)
     distinct = pc.binary_join_element_wise(DIGITS.take(pa.array(kind)), t.distinct.take(pa.array(word)), "")
-    return Keyed(distinct, code, t.row, joints.dictionary.to_numpy(), joints.indices.to_numpy(), joint_row, t.n, np.bincount(t.row, size + 1, len(texts)).astype(np.int64), of)
+    return Keyed(distinct, code, t.row, joints, joint, joint_row, t.n, np.bincount(t.row, size + 1, len(texts)).astype(np.int64), of)
 
 
 def word_counts(docs: DataFrame, middles: np.ndarray, text: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -265,17 +269,37 @@ class Bits:
         contexts += [start ^ (kind << np.uint64(56)), start, *more]
         self.contexts = [(c + np.uint64(k + 1)) * np.uint64(0xC2B2AE3D27D4EB4F) for k, c in enumerate(contexts)]
 
-    def slots(self, bit: int, part: slice = slice(None)) -> Iterator[np.ndarray]:
-        """The slot of each context for the bit that follows the first `bit` bits of each byte."""
-        node = (self.byte[part].astype(np.uint64) | np.uint64(256)) >> np.uint64(8 - bit)
-        turned = node * np.uint64(0xD6E8FEB86659FD93)
+    def halves(self, half: int, part: slice = slice(None)) -> list[np.ndarray]:
+        """The hash of each context with the first half of each byte, if half is 1: the 16 slots around it are those of the half's bits."""
+        node = (self.byte[part].astype(np.uint64) | np.uint64(256)) >> np.uint64(8 - 4 * half)
+        turned, found = node * np.uint64(0xD6E8FEB86659FD93), []
         for c in self.contexts:
             h = (c[part] ^ turned) * np.uint64(0xFF51AFD7ED558CCD)
-            yield ((h ^ (h >> np.uint64(32))) * np.uint64(0xC4CEB9FE1A85EC53) >> np.uint64(64 - self.table_bits)).astype(np.int64)
+            h ^= h >> np.uint64(32)
+            h *= np.uint64(0xC4CEB9FE1A85EC53)
+            h >>= np.uint64(64 - self.table_bits)
+            found.append(h.view(np.int64))
+        return found
+
+    def slots(self, bit: int, part: slice = slice(None), halves: list[np.ndarray] | None = None) -> Iterator[np.ndarray]:
+        """The slot of each context for the bit that follows the first `bit` bits of each byte; halves, if given, are those of the bit's half."""
+        node = self.node(bit, part)
+        for h in self.halves(bit // 4, part) if halves is None else halves:
+            yield h ^ node
+
+    def node(self, bit: int, part: slice = slice(None)) -> np.ndarray:
+        """1 to 15 for what the bits of its half before this one were, so that no two of a half share a slot."""
+        return ((self.byte[part] >> (4 - bit // 4 * 4) & 15).astype(np.int64) | 16) >> (4 - bit % 4)
 
     def value(self, bit: int, part: slice = slice(None)) -> np.ndarray:
         return self.byte[part] >> (7 - bit) & 1
 
+    def steps(self, part: slice = slice(None)) -> Iterator[tuple[int, list[np.ndarray]]]:
+        """The bits of a byte, each with its half's hashes, which are made once."""
+        for bit in range(8):
+            halves = self.halves(bit // 4, part) if bit % 4 == 0 else halves  # noqa: F821
+            yield bit, halves
+
 
 def word_slices(batch: pa.RecordBatch, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     return text_slices(batch, "word", most)
@@ -302,13 +326,17 @@ def bit_tables(counts: DataFrame, table_bits: int) -> DataFrame:
         for batch in batches:
             for part, bits in unit_slices(batch, table_bits):
                 table = np.zeros(n_slots * 2, np.float32) if table is None else table
-                once = part.column("n").to_numpy().astype(np.float32)[bits.word]
-                again = np.where(once > 1, once, np.float32(0))  # words and joints that occur once are no beginnings to rely on
+                n = part.column("n").to_numpy().astype(np.float32)
                 long = 3 if len(bits.contexts) < ORDERS else ORDERS - 2  # the heads of all words make few beginnings
-                for b in range(8):
-                    one = bits.value(b)
-                    for k, slot in enumerate(bits.slots(b)):
-                        np.add.at(table, slot * 2 + one, again if k > long else once)
+                for first in range(0, len(bits.byte), PART):
+                    own = slice(first, first + PART)
+                    once = n[bits.word[own]]
+                    again = np.where(once > 1, once, np.float32(0))  # words and joints that occur once are no beginnings to rely on
+                    for half in range(2):
+                        ways = [bits.node(b, own) * 2 + bits.value(b, own) for b in range(4 * half, 4 * half + 4)]
+                        for k, h in enumerate(bits.halves(half, own)):
+                            for way in ways:  # slot * 2 + one
+                                np.add.at(table, (h * 2) ^ way, again if k > long else once)
         for k in range(n_slots // chunk) if table is not None else ():
             own = table[k * chunk * 2 : (k + 1) * chunk * 2]
             if len(place := np.flatnonzero(own)):
@@ -319,7 +347,9 @@ def bit_tables(counts: DataFrame, table_bits: int) -> DataFrame:
         n = own.sum(1)
         p = (own[:, 1] + PRIOR) / (n + 2 * PRIOR)
         size = np.minimum(15, np.ceil(np.log2(n + 1.0))).astype(np.uint8)
-        data = np.rint(np.clip(np.log(p / (1 - p)), -REACH, REACH) * FINE).astype("<i2").tobytes() + size.tobytes()
+        stretched = np.rint(np.clip(np.log(p / (1 - p)), -REACH, REACH) * FINE).astype("<i2")
+        stretched[(n > 0) & (stretched == 0)] = 1  # zero says that nothing was counted
+        data = stretched.tobytes() + size.tobytes()
         return pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([data])], ["chunk", "slots"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -350,17 +380,19 @@ class Tables:
             self.stretched[k * chunk : (k + 1) * chunk] = np.frombuffer(data, "<i2", chunk)
             self.size[k * chunk : (k + 1) * chunk] = np.frombuffer(data, np.uint8, offset=2 * chunk)
 
-    def inputs(self, bits: Bits, bit: int, part: slice) -> tuple[np.ndarray, np.ndarray]:
-        """(stretched probabilities of the contexts and a constant, gate)."""
-        x, reach, sure = np.zeros((len(bits.byte[part]), ORDERS + 1), np.float32), 0, 0
-        for k, slot in enumerate(bits.slots(bit, part)):
-            x[:, k] = self.stretched[slot]
-            if k < 4:
-                reach = np.where(self.size[slot] > 0, k + 1, reach)
-            sure = self.size[slot] if k == 4 else sure
-        x[:, :ORDERS] /= FINE
-        x[:, ORDERS] = 0.3
-        return x, reach * 4 + np.searchsorted([1, 3, 7], sure, side="right") + (20 if len(bits.contexts) == ORDERS else 0)
+    def inputs(self, bits: Bits, bit: int, part: slice, halves: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(stretched probabilities of the contexts and a constant, a row each; gate)."""
+        n = len(bits.byte[part])
+        x, gate = np.zeros((ORDERS + 1, n), np.float32), np.zeros(n, np.uint8)
+        for k, slot in enumerate(bits.slots(bit, part, halves)):
+            found = self.stretched[slot]
+            np.multiply(found, np.float32(1 / FINE), out=x[k])
+            if k < 4:  # a slot that something was counted in holds no zero
+                np.maximum(gate, (found != 0).view(np.uint8) * np.uint8(4 * (k + 1)), out=gate)
+            elif k == 4:
+                gate += SURE[self.size[slot]]
+        x[ORDERS] = 0.3
+        return x, gate.astype(np.int64) + (20 if len(bits.contexts) == ORDERS else 0)
 
 
 def squashed(t: np.ndarray) -> np.ndarray:
@@ -378,13 +410,16 @@ class Mix:
 
     def predict(self, x: np.ndarray, gate: np.ndarray, bit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(probability of a one, that before the map, lower level of the map, share of the upper level)."""
-        t = np.clip(np.einsum("ij,ij->i", x, self.weights[gate * 8 + bit]), -REACH + 1e-6, REACH - 1e-6)
-        place = (t + REACH) * ((LEVELS - 1) / (2 * REACH))
+        own, weights, t = gate * 8 + bit, self.weights.T.astype(np.float32, order="C"), np.zeros(len(gate), np.float32)
+        for k in range(ORDERS + 1):
+            t += x[k] * weights[k][own]
+        np.clip(t, -REACH + 1e-4, REACH - 1e-4, out=t)
+        place = (t + np.float32(REACH)) * np.float32((LEVELS - 1) / (2 * REACH))
         low = place.astype(np.int64)
         share, low = place - low, low + gate * LEVELS
         level = self.ones / self.all
-        mixed = squashed(t)
-        return np.clip((mixed + (1 - share) * level[low] + share * level[low + 1]) / 2, 1e-6, 1 - 1e-6), mixed, low, share
+        mixed = squashed(t).astype(np.float64)
+        return np.clip((mixed + level[low] + share * np.diff(level, append=0)[low]) / 2, 1e-6, 1 - 1e-6), mixed, low, share
 
     def learn(self, x: np.ndarray, gate: np.ndarray, bit: int, one: np.ndarray, n: np.ndarray) -> None:
         """One step: predict, then move weights and map towards what came, n times each."""
@@ -394,7 +429,7 @@ class Mix:
         has = np.flatnonzero(mass)
         pull = (one - mixed) * n
         for k in range(ORDERS + 1):
-            self.weights[has, k] += (RATE / np.sqrt(1 + self.steps[has] / 20)) * np.bincount(own, pull * x[:, k], len(mass))[has] / mass[has]
+            self.weights[has, k] += (RATE / np.sqrt(1 + self.steps[has] / 20)) * np.bincount(own, pull * x[k], len(mass))[has] / mass[has]
         self.mass += mass
         self.steps[has] += 1
         for at, w in ((low, (1 - share) * n), (low + 1, share * n)):
@@ -412,8 +447,8 @@ def learned(counts: DataFrame, tables) -> Mix:
                 n = units.column("n_tune").to_numpy().astype(np.float64)
                 for first in range(0, len(bits.byte), BATCH):
                     part = slice(first, first + BATCH)
-                    for b in range(8):
-                        mix.learn(*tables.value.inputs(bits, b, part), b, bits.value(b, part), n[bits.word[part]])
+                    for b, halves in bits.steps(part):
+                        mix.learn(*tables.value.inputs(bits, b, part, halves), b, bits.value(b, part), n[bits.word[part]])
         weights = (mix.weights * mix.mass[:, None]).ravel()
         for kind, values in enumerate((weights, mix.mass, mix.ones - start.ones, mix.all - start.all)):
             some = np.flatnonzero(values)
@@ -433,13 +468,13 @@ def learned(counts: DataFrame, tables) -> Mix:
 
 def cost_of(bits: Bits, n: int, tables: Tables, mix: Mix) -> np.ndarray:
     """What the bits cost, summed for each of n words or joints."""
-    cost = np.zeros(len(bits.byte))
-    for first in range(0, len(cost), 1 << 16):
-        part = slice(first, first + (1 << 16))
-        for b in range(8):
-            p = mix.predict(*tables.inputs(bits, b, part), b)[0]
-            cost[part] -= np.log2(np.where(bits.value(b, part) == 1, p, 1 - p))
-    return np.bincount(bits.word, cost, n).astype(np.float64)
+    chance = np.ones(len(bits.byte))  # of each byte, 1e-48 at least
+    for first in range(0, len(chance), PART):
+        part = slice(first, first + PART)
+        for b, halves in bits.steps(part):
+            p = mix.predict(*tables.inputs(bits, b, part, halves), b)[0]
+            chance[part] *= np.where(bits.value(b, part) == 1, p, 1 - p)
+    return np.bincount(bits.word, -np.log2(chance), n).astype(np.float64)
 
 
 def word_bits(words: pa.StringArray, tables: Tables, mix: Mix, skip: int = 0) -> np.ndarray:

@@ -175,3 +175,24 @@ def test_words_are_predicted_from_those_before(spark):
     assert sorted(tokens(rows[-1][1])) == sorted(tokens(rows[-2][1]))
     assert got[held[0]].base_score == pytest.approx(got[held[1]].base_score)
     assert got[held[0]].score > got[held[1]].score + 3
+
+
+def test_bits_of_half_a_byte_share_sixteen_slots():
+    """Each context is hashed once for four bits: their slots differ and lie in one run of 16; given the hashes or not, they are the same."""
+    bits = mixer.Bits(pa.array(["0river", "3stone", "7é漢字"]), 14)
+    for half in range(2):
+        slots = np.array([list(bits.slots(b)) for b in range(4 * half, 4 * half + 4)])
+        assert (slots >> 4 == slots[0] >> 4).all() and (slots != slots[0])[1:].all()
+        assert (slots == [list(bits.slots(b, halves=bits.halves(half))) for b in range(4 * half, 4 * half + 4)]).all()
+    # the 15 beginnings of half a byte have a slot each
+    bits.byte = np.arange(16, dtype=np.uint8)[:15]
+    bits.contexts = [np.full(15, c[0]) for c in bits.contexts]
+    assert len({(int(s), int(n)) for b in range(4, 8) for s, n in zip(next(bits.slots(b)), bits.node(b), strict=True)}) == len({int(s) for b in range(4, 8) for s in next(bits.slots(b))}) == 15
+
+
+def test_zero_says_that_nothing_was_counted(spark):
+    """A slot with as many ones as zeros is told from an empty one by its stretched probability alone."""
+    rows = [(f"0x{c}", None, 3, 3, 0) for c in "pqrs"]
+    found = mixer.bit_tables(spark.createDataFrame(rows, "word string, joint bigint, n_all bigint, n_train bigint, n_tune bigint"), 10).collect()
+    tables = mixer.Tables(10, [(r.chunk, bytes(r.slots)) for r in found])
+    assert (tables.stretched[tables.size > 0] != 0).all() and (tables.stretched[tables.size == 0] == 0).all()
